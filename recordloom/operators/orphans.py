@@ -31,7 +31,7 @@ BITS_PER_KEY = 12
 HASHES = 4
 MOST_FILTER_BYTES = 64 * 2**20
 ANCHOR_KINDS = ("anchor:ticket", "anchor:diff", "anchor:trunk")
-_TEXT = re.compile(r"\s*(record|anchor\s*:\s*ticket|anchor\s*:\s*diff|anchor\s*:\s*trunk)\s*:(.*)", re.S | re.I)
+_TEXT = re.compile(r"\s*(record|anchor:ticket|anchor:diff|anchor:trunk)\s*:(.*)", re.S | re.I)
 
 
 class Bloom:
@@ -115,7 +115,7 @@ def evidence_references(value: Any) -> list[tuple[str, str]]:
             m = _TEXT.fullmatch(e)
             if m is None:
                 continue
-            kind, ref = re.sub(r"\s", "", m[1]).lower(), m[2]
+            kind, ref = m[1].lower(), m[2]
         else:
             continue
         ref = ref.strip()

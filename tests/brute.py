@@ -86,8 +86,8 @@ def faults(records, anchors, compacted):
             e = stand(e)
             if isinstance(e, str):
                 low = e.strip().lower()
-                kind = next((k for k in ("record", "anchor:ticket", "anchor:diff", "anchor:trunk") if low.startswith(k + ":")), None)
-                ref = low[len(kind) + 1 :] if kind else None
+                kind = next((k for k in ("record", "anchor:ticket", "anchor:diff", "anchor:trunk") if re.match(re.escape(k) + r"\s*:", low)), None)
+                ref = low[len(kind) :].strip()[1:] if kind else None
             elif isinstance(e, dict):
                 kind, ref = e.get("kind"), e.get("reference")
             else:
