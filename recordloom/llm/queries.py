@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import mixing, neardup, packing
+from recordloom.llm import mixing, neardup, packing, sentences
 from recordloom.sources.tables import table
 
 
@@ -33,5 +33,9 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_pack, p6_report, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_pack, p6_report, p7_mix, p7_shares, p8_found)}
 SQL: dict[str, str] = {}
