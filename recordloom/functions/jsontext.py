@@ -10,7 +10,10 @@ import json
 import sys
 from typing import Any
 
-NOTHING = object()
+
+class NOTHING:
+    """What null and damaged text hold. A class, so that it stays itself when it travels to workers."""
+
 
 
 def _reject(_: str) -> None:
