@@ -104,6 +104,8 @@ METRICS = ("cosine", "dot", "euclid", "manhattan")
 
 def similarity(metric: str, a: Column, b: Column) -> Column:
     """Similarity of two vector columns: higher is nearer (distances are negated)."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     if metric == "dot":
@@ -112,9 +114,7 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
         return dot / (norm(a) * norm(b))
     if metric == "euclid":
         return -F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
-    if metric == "manhattan":
-        return -F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    raise ValueError(f"metric must be one of {METRICS}")
+    return -F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
 def valid_vector(v: Column, dimensions: int) -> Column:

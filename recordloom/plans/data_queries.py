@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.operators import features, flatten, hierarchy, orphans
+from recordloom.plans.sqltext import clean_sql, us_sql, uuid_sql
 from recordloom.session import materialize
 from recordloom.sources.tables import table
 
@@ -75,3 +76,46 @@ def p5_features_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_report, p4_found, p4_variants, p4_objects, p5_features, p5_features_long, p5_features_window)}
+
+_NODES = (
+    f"WITH RECURSIVE raw AS (SELECT {uuid_sql('id')} AS id, nullif({uuid_sql('supersedes')}, '00000000-0000-0000-0000-000000000000') AS parent, coalesce(revoked, 0) = 1 AS revoked FROM records), "
+    "n AS (SELECT id, min(parent) AS parent, bool_or(revoked) AS revoked FROM raw WHERE id IS NOT NULL GROUP BY id), "
+    "e AS (SELECT c.id, c.parent, c.revoked, p.revoked AS p_revoked FROM n c JOIN n p ON p.id = c.parent), "
+    # A line stops at a root, or where it meets itself: ``circle`` is then the part that repeats.
+    "walk AS (SELECT id, parent AS cur, [id, parent] AS path, CAST(revoked AS INT) + CAST(p_revoked AS INT) AS rev, CASE WHEN parent = id THEN [id] END AS circle FROM e UNION ALL "
+    "SELECT w.id, e.parent, list_append(w.path, e.parent), w.rev + CAST(e.p_revoked AS INT), CASE WHEN list_contains(w.path, e.parent) THEN w.path[list_position(w.path, e.parent):] END FROM walk w JOIN e ON e.id = w.cur WHERE w.circle IS NULL), "
+    "done AS (SELECT id, cur, path, rev, circle FROM walk w WHERE circle IS NOT NULL OR NOT EXISTS (SELECT 1 FROM e WHERE e.id = w.cur))\n"
+)
+_KINDS = "record|anchor:ticket|anchor:diff|anchor:trunk"
+_P3 = f"""WITH d AS (SELECT {uuid_sql('id')} AS id, {us_sql('recorded_at')} AS us, nullif({uuid_sql('supersedes')}, '00000000-0000-0000-0000-000000000000') AS sup, {clean_sql('evidence_json')} AS ev FROM records),
+own AS (SELECT id, min(us) AS us FROM d GROUP BY id), gone AS (SELECT DISTINCT {uuid_sql('record_id')} AS key FROM compacted_records),
+anchors AS (SELECT lower(trim(kind)) || '/' || lower(trim(target)) AS key, min(epoch_us(recorded_at)) AS us, arg_max(lower(trim(state)) = 'dead', (recorded_at, lower(trim(state)) = 'dead')) AS dead FROM anchor_facts WHERE kind IS NOT NULL AND target IS NOT NULL GROUP BY 1),
+el AS (SELECT id, unnest(CASE WHEN json_type(ev) = 'ARRAY' THEN CAST(ev AS JSON[]) WHEN json_type(ev) = 'OBJECT' THEN [CAST(ev AS JSON)] ELSE [] END) AS e FROM d WHERE ev IS NOT NULL),
+kr AS (SELECT id, CASE WHEN json_type(e) = 'OBJECT' AND json_type(e, '$.kind') = 'VARCHAR' AND json_type(e, '$.reference') = 'VARCHAR' THEN lower(regexp_replace(e->>'$.kind', '^\\s+|\\s+$', '', 'g')) WHEN json_type(e) = 'VARCHAR' THEN regexp_extract(lower(e->>'$'), '^\\s*({_KINDS})\\s*:', 1) END AS kind,
+ CASE WHEN json_type(e) = 'OBJECT' THEN e->>'$.reference' ELSE regexp_replace(e->>'$', '^(?i)\\s*({_KINDS})\\s*:', '') END AS ref FROM el),
+refs AS (SELECT DISTINCT id, 'supersedes' AS source_field, 'records' AS target_table, sup AS target_key FROM d WHERE sup IS NOT NULL UNION SELECT DISTINCT id, 'evidence_json', 'records', {uuid_sql('ref')} FROM kr WHERE kind = 'record' AND trim(ref) <> ''
+ UNION SELECT DISTINCT id, 'evidence_json', 'anchor_facts', kind || '/' || lower(regexp_replace(ref, '^\\s+|\\s+$', '', 'g')) FROM kr WHERE kind IN ('anchor:ticket', 'anchor:diff', 'anchor:trunk') AND trim(ref) <> ''),
+st AS (SELECT r.id AS record_id, r.source_field, r.target_table, r.target_key, strftime(make_timestamp(o.us), '%Y-%m') AS period, CASE WHEN r.target_table = 'records' THEN CASE WHEN t.id IS NULL AND g.key IS NOT NULL THEN 'deleted' WHEN t.id IS NULL THEN 'missing' WHEN t.us > o.us THEN 'late' END
+ ELSE CASE WHEN a.key IS NULL THEN 'missing' WHEN a.dead THEN 'deleted' WHEN a.us > o.us THEN 'late' END END AS status
+ FROM refs r JOIN own o ON o.id = r.id LEFT JOIN own t ON r.target_table = 'records' AND t.id = r.target_key LEFT JOIN gone g ON r.target_table = 'records' AND g.key = r.target_key LEFT JOIN anchors a ON r.target_table = 'anchor_facts' AND a.key = r.target_key WHERE r.target_key IS NOT NULL)
+"""
+_OPEN = "CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(j->>'$') AND json_type(j->>'$') IN ('OBJECT', 'ARRAY') THEN CAST(j->>'$' AS JSON) ELSE j END"
+_P4 = f"""WITH RECURSIVE d AS (SELECT {uuid_sql('id')} AS id, {clean_sql('payload_json')} AS payload_json, {clean_sql('evidence_json')} AS evidence_json, {clean_sql('tags_json')} AS tags_json FROM records),
+one AS (SELECT id, min(payload_json) AS payload_json, min(evidence_json) AS evidence_json, min(tags_json) AS tags_json FROM d GROUP BY id),
+roots AS (SELECT id, 'payload_json' AS field, CAST(payload_json AS JSON) AS v FROM one WHERE payload_json IS NOT NULL UNION ALL SELECT id, 'evidence_json', CAST(evidence_json AS JSON) FROM one WHERE evidence_json IS NOT NULL UNION ALL SELECT id, 'tags_json', CAST(tags_json AS JSON) FROM one WHERE tags_json IS NOT NULL),
+t AS (SELECT id, field, v, '' AS pointer, '' AS up, false AS row FROM roots UNION ALL
+ SELECT id, field, {_OPEN}, p, up2, l OR json_type({_OPEN}) = 'OBJECT' FROM (SELECT id, field, json_extract(v, '/' || y) AS j, pointer || '/' || y AS p, CASE WHEN row THEN pointer ELSE up END AS up2, l FROM (
+  SELECT t.*, json_type(v) = 'ARRAY' AS l, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE list_transform(json_keys(v), lambda k: replace(replace(k, '~', '~0'), '/', '~1')) END) AS y FROM t WHERE json_type(v) IN ('ARRAY', 'OBJECT'))))
+SELECT id AS record_id, field, pointer, up AS parent_pointer FROM t WHERE row"""
+_P5 = "WITH once AS (SELECT DISTINCT ON (id) id, \"at\", coalesce(duration, 0) AS duration, nullif(lower(trim(actor)), '') AS actor, operation, outcome, coalesce(operation, 'missing') || '|' || coalesce(outcome, 'missing') AS label FROM audit_events)\n"
+SQL = {
+    "p2_found": _NODES + "SELECT id AS record_id, CASE WHEN circle IS NULL THEN cur ELSE list_min(circle) END AS root_id, CAST(CASE WHEN circle IS NULL THEN len(path) - 1 ELSE -1 END AS BIGINT) AS depth, CAST(CASE WHEN circle IS NULL THEN rev ELSE -1 END AS BIGINT) AS n_revoked FROM done",
+    "p2_paths": _NODES + "SELECT id AS record_id, CASE WHEN circle IS NULL THEN cur ELSE list_min(circle) END AS root_id, CAST(CASE WHEN circle IS NULL THEN len(path) - 1 ELSE -1 END AS BIGINT) AS depth, circle IS NOT NULL AS cyclic, CASE WHEN circle IS NULL THEN array_to_string(list_reverse(path), '>') ELSE '' END AS path FROM done",
+    "p2_descendants": _NODES + "SELECT path[i + 1] AS ancestor_id, id AS record_id, CAST(i AS BIGINT) AS distance FROM (SELECT id, path, unnest(range(1, len(path))) AS i FROM done WHERE circle IS NULL)",
+    "p3_found": _P3 + "SELECT * FROM st WHERE status IS NOT NULL",
+    "p3_report": _P3 + "SELECT target_table, source_field, period, status, count(*) AS n_references, count(DISTINCT target_key) AS n_targets FROM st WHERE status IS NOT NULL GROUP BY ALL",
+    "p4_found": _P4,
+    "p5_features": _P5 + "SELECT * FROM (PIVOT (SELECT a.actor, l.label, coalesce(f.n, 0) AS n, f.latest_at, coalesce(f.total_duration, 0) AS total_duration FROM (SELECT DISTINCT actor FROM once) a CROSS JOIN (SELECT DISTINCT label FROM once) l LEFT JOIN (SELECT actor, label, count(*) AS n, max(\"at\") AS latest_at, sum(duration) AS total_duration FROM once GROUP BY ALL) f ON f.actor IS NOT DISTINCT FROM a.actor AND f.label = l.label) ON label USING any_value(n) AS n, any_value(latest_at) AS latest_at, any_value(total_duration) AS total_duration GROUP BY actor)",
+    "p5_features_long": _P5 + "SELECT a.actor, l.label AS event_type, coalesce(f.n, 0) AS n, f.latest_at, CAST(coalesce(f.total_duration, 0) AS BIGINT) AS total_duration FROM (SELECT DISTINCT actor FROM once) a CROSS JOIN (SELECT DISTINCT label FROM once) l LEFT JOIN (SELECT actor, label, count(*) AS n, max(\"at\") AS latest_at, sum(duration) AS total_duration FROM once GROUP BY ALL) f ON f.actor IS NOT DISTINCT FROM a.actor AND f.label = l.label",
+    "p5_features_window": _P5 + "SELECT actor, operation, outcome, count(*) AS n, max(\"at\") AS latest_at, CAST(sum(duration) AS BIGINT) AS total_duration FROM once WHERE \"at\" >= 1735689600 AND \"at\" < 1751328000 GROUP BY ALL",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.functions.ids import clean_key
 from recordloom.operators import audit, compaction, context, defense, digests, filters, ingest, ledger, search, sync
 from recordloom.plans.registry import Registry
+from recordloom.plans.sqltext import clean_sql, us_sql, uuid_sql
 from recordloom.session import materialize
 from recordloom.sources.tables import table
 
@@ -15,25 +16,10 @@ _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
 
 
-def _uuid_sql(c: str) -> str:
-    t = f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
-    h = f"replace(regexp_replace(regexp_replace({t}, '^(urn:)?(uuid:)?\\{{?', ''), '\\}}$', ''), '-', '')"
-    return f"(CASE WHEN regexp_full_match({h}, '[0-9a-f]{{32}}') THEN substr({h},1,8)||'-'||substr({h},9,4)||'-'||substr({h},13,4)||'-'||substr({h},17,4)||'-'||substr({h},21,12) ELSE nullif({t}, '') END)"
-
-
-def _clean_sql(c: str) -> str:
-    opened = f"(CASE WHEN json_valid({c}) AND json_type({c}) = 'VARCHAR' THEN ({c}::JSON)->>'$' WHEN json_valid({c}) THEN {c} END)"
-    return f"(CASE WHEN json_valid({opened}) THEN {opened} END)"
-
-
-def _us_sql(c: str) -> str:
-    return f"epoch_us(CAST(regexp_replace({c}, '(\\.\\d{{6}})\\d+', '\\1') AS TIMESTAMPTZ))"
-
-
 _NIL = "'00000000-0000-0000-0000-000000000000'"
 #: led: one row a record; v: the same with ``superseded``.
-VIEW = f"""WITH d AS (SELECT {_uuid_sql('id')} AS id, namespace, type_name, actor, recorded_at, observed_at, valid_at, {_clean_sql('payload_json')} AS payload, {_clean_sql('evidence_json')} AS evidence, {_clean_sql('tags_json')} AS tags,
- nullif({_uuid_sql('supersedes')}, {_NIL}) AS supersedes, coalesce(revoked, 0) = 1 AS revoked, CAST(coalesce(superseded, 0) AS INT) AS superseded_flag, record_sha256, ledger FROM records),
+VIEW = f"""WITH d AS (SELECT {uuid_sql('id')} AS id, namespace, type_name, actor, recorded_at, observed_at, valid_at, {clean_sql('payload_json')} AS payload, {clean_sql('evidence_json')} AS evidence, {clean_sql('tags_json')} AS tags,
+ nullif({uuid_sql('supersedes')}, {_NIL}) AS supersedes, coalesce(revoked, 0) = 1 AS revoked, CAST(coalesce(superseded, 0) AS INT) AS superseded_flag, record_sha256, ledger FROM records),
 led AS (SELECT id, min(namespace) AS namespace, min(type_name) AS type_name, min(actor) AS actor, min(recorded_at) AS recorded_at, min(observed_at) AS observed_at, min(valid_at) AS valid_at, min(payload) AS payload, min(evidence) AS evidence,
  min(tags) AS tags, min(supersedes) AS supersedes, min(record_sha256) AS record_sha256, min(ledger) AS ledger, bool_or(revoked) AS revoked FROM d WHERE id IS NOT NULL GROUP BY id),
 v AS (SELECT led.*, EXISTS (SELECT 1 FROM led c WHERE c.supersedes = led.id) AS superseded FROM led)
@@ -59,7 +45,7 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged(spark, sf_dir, "type_name").select("id", "type_name", "superseded", "revoked")
 
 
-@query(f"SELECT row_number() OVER (ORDER BY w.id) AS ordinal, w.id, min(r.ledger) AS ledger, min(r.record_sha256) AS record_sha256 FROM (SELECT DISTINCT {_uuid_sql('record_id')} AS id FROM compacted_records) w JOIN records r ON {_uuid_sql('r.id')} = w.id GROUP BY w.id")
+@query(f"SELECT row_number() OVER (ORDER BY w.id) AS ordinal, w.id, min(r.ledger) AS ledger, min(r.record_sha256) AS record_sha256 FROM (SELECT DISTINCT {uuid_sql('record_id')} AS id FROM compacted_records) w JOIN records r ON {uuid_sql('r.id')} = w.id GROUP BY w.id")
 def locate_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the compacted records that stand in the ledger again are to be found."""
     from recordloom.functions.ids import canonical_uuid
@@ -84,7 +70,7 @@ def scope_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.counts(_flagged(spark, sf_dir, "namespace", "type_name"), ["namespace", "type_name"])
 
 
-@query(f"SELECT {_uuid_sql('id')} AS id, count(*) AS n_rows, count(DISTINCT coalesce(payload_json, '')) AS n_spellings, count(DISTINCT recorded_at) AS n_instants FROM records GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT {uuid_sql('id')} AS id, count(*) AS n_rows, count(DISTINCT coalesce(payload_json, '')) AS n_spellings, count(DISTINCT recorded_at) AS n_instants FROM records GROUP BY 1 HAVING count(*) > 1")
 def repeated_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.repeated_deliveries(table(spark, sf_dir, "records"))
 
@@ -116,12 +102,12 @@ def lifecycle_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.heads(_view(spark, sf_dir, "supersedes", "namespace", "type_name"), table(spark, sf_dir, "type_registry"))
 
 
-@query(VIEW + f"SELECT id, {_us_sql('observed_at')} - {_us_sql('recorded_at')} AS ahead_us FROM led WHERE {_us_sql('observed_at')} - {_us_sql('recorded_at')} > 60000000")
+@query(VIEW + f"SELECT id, {us_sql('observed_at')} - {us_sql('recorded_at')} AS ahead_us FROM led WHERE {us_sql('observed_at')} - {us_sql('recorded_at')} > 60000000")
 def observed_too_early(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.too_early(_view(spark, sf_dir, "observed_at", "recorded_at"))
 
 
-@query(VIEW + f"SELECT type_name, count(*) AS n FROM led WHERE {_us_sql('coalesce(valid_at, observed_at)')} <= {_us_sql(chr(39) + '2025-06-01T00:00:00Z' + chr(39))} GROUP BY 1")
+@query(VIEW + f"SELECT type_name, count(*) AS n FROM led WHERE {us_sql('coalesce(valid_at, observed_at)')} <= {us_sql(chr(39) + '2025-06-01T00:00:00Z' + chr(39))} GROUP BY 1")
 def valid_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.valid_as_of(_view(spark, sf_dir, "valid_at", "observed_at", "type_name"), "2025-06-01T00:00:00Z").groupBy("type_name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -136,7 +122,7 @@ def type_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.type_lineage(table(spark, sf_dir, "type_registry"))
 
 
-@query(VIEW + f"SELECT namespace, CAST(row_number() OVER (PARTITION BY namespace ORDER BY {_us_sql('recorded_at')} DESC NULLS LAST, id) AS INT) AS rank, id FROM v WHERE NOT superseded AND NOT revoked QUALIFY rank <= 3")
+@query(VIEW + f"SELECT namespace, CAST(row_number() OVER (PARTITION BY namespace ORDER BY {us_sql('recorded_at')} DESC NULLS LAST, id) AS INT) AS rank, id FROM v WHERE NOT superseded AND NOT revoked QUALIFY rank <= 3")
 def latest_per_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.latest_per_scope(_view(spark, sf_dir, "namespace", "recorded_at", "supersedes"), 3)
 
@@ -364,7 +350,7 @@ _SELECTORS = [
 _GRANTS = [(ns, t) for ns in ("fleet.memory", "plan.briaquufaen", "store.baekrouploun") for t in ("fleet.lesson.v1", "fleet.roleset.v1", "plan.decision.v1", "plan.task.v1")]
 _REQUEST = context.Request("2026-01-01T00:00:00Z", "migration", ("retro",), (), {"role": ["runner", "reviewer"]})
 _GATE_SQL = f""", g AS (SELECT v.*, CASE WHEN NOT (namespace IN ('fleet.memory', 'plan.briaquufaen', 'store.baekrouploun') AND type_name IN ('fleet.lesson.v1', 'fleet.roleset.v1', 'plan.decision.v1', 'plan.task.v1')) THEN 'unauthorized' WHEN superseded THEN 'superseded'
- WHEN revoked OR len(list_filter({_TAGS}, lambda t: regexp_full_match(lower(t), '[a-z]+:revoked'))) > 0 THEN 'revoked' WHEN {_us_sql('coalesce(valid_at, observed_at)')} > 1767225600000000 THEN 'invalid_at_request_time'
+ WHEN revoked OR len(list_filter({_TAGS}, lambda t: regexp_full_match(lower(t), '[a-z]+:revoked'))) > 0 THEN 'revoked' WHEN {us_sql('coalesce(valid_at, observed_at)')} > 1767225600000000 THEN 'invalid_at_request_time'
  WHEN type_name NOT IN ('fleet.lesson.v1', 'fleet.roleset.v1', 'plan.decision.v1') THEN 'selector_mismatch' WHEN type_name = 'fleet.roleset.v1' AND NOT coalesce({_ROLE} IN ('runner', 'reviewer'), true) THEN 'selector_mismatch' END AS reason FROM v)
 """
 

@@ -5,11 +5,16 @@ import re
 from datetime import datetime, timezone
 from uuid import UUID
 
+NIL = "00000000-0000-0000-0000-000000000000"
+
 
 def uid(t):
     if t is None or not t.strip():
         return None
-    return str(UUID(t.strip().lower()))
+    try:
+        return str(UUID(t.strip().lower()))
+    except ValueError:
+        return t.strip().lower()
 
 
 def jparse(t):
@@ -41,7 +46,7 @@ def lineages(rows):
     parent, rev = {}, {}
     for i, s, r in rows:
         s = uid(s)
-        parent[i] = None if s is None or UUID(s).int == 0 else s
+        parent[i] = None if s == NIL else s
         rev[i] = rev.get(i, False) or r == 1
     out = set()
     for i in parent:
@@ -79,7 +84,7 @@ def faults(records, anchors, compacted):
     for r in records:
         refs = set()
         s = uid(r["supersedes"])
-        if s and UUID(s).int:
+        if s and s != NIL:
             refs.add(("supersedes", "records", s))
         v, ok = jparse(r["evidence_json"])
         for e in ([v] if isinstance(v, dict) else v if isinstance(v, list) else []) if ok else []:
