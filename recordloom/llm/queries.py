@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import mixing, neardup, packing, sentences
+from recordloom.plans.data_queries import JSON_WALK
+from recordloom.plans.sqltext import uuid_sql
 from recordloom.sources.tables import table
 
 
@@ -38,4 +40,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_pack, p6_report, p7_mix, p7_shares, p8_found)}
-SQL: dict[str, str] = {}
+_EDGE = "[^\\p{L}\\p{N}]+"
+SQL: dict[str, str] = {
+    "p1_found": JSON_WALK
+    + f""", s AS (SELECT id, v->>'$' AS text FROM t WHERE field = 'payload_json' AND json_type(v) = 'VARCHAR'),
+w AS (SELECT DISTINCT id, word FROM (SELECT id, regexp_replace(lower(x), '^{_EDGE}|{_EDGE}$', '', 'g') AS word FROM (SELECT id, unnest(regexp_split_to_array(text, '[\\s\\p{{Z}}]+')) AS x FROM s)) WHERE strlen(word) > 2),
+r AS (SELECT {uuid_sql('id')} AS id, min(namespace) AS namespace, min(type_name) AS type_name FROM records GROUP BY 1), g AS (SELECT w.id, w.word, r.namespace, r.type_name, count(*) OVER (PARTITION BY w.id) AS n FROM w JOIN r ON r.id = w.id)
+SELECT a.id AS record_a, b.id AS record_b FROM g a JOIN g b ON a.namespace = b.namespace AND a.type_name = b.type_name AND a.word = b.word AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 100 >= 70 * greatest(a.n, b.n)""",
+}
