@@ -106,7 +106,9 @@ roots AS (SELECT id, 'payload_json' AS field, CAST(payload_json AS JSON) AS v FR
 t AS (SELECT id, field, v, '' AS pointer, '' AS up, false AS row FROM roots UNION ALL
  SELECT id, field, {_OPEN}, p, up2, l OR json_type({_OPEN}) = 'OBJECT' FROM (SELECT id, field, json_extract(v, '/' || y) AS j, pointer || '/' || y AS p, CASE WHEN row THEN pointer ELSE up END AS up2, l FROM (
   SELECT t.*, json_type(v) = 'ARRAY' AS l, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: CAST(i AS VARCHAR)) ELSE list_transform(json_keys(v), lambda k: replace(replace(k, '~', '~0'), '/', '~1')) END) AS y FROM t WHERE json_type(v) IN ('ARRAY', 'OBJECT'))))
-SELECT id AS record_id, field, pointer, up AS parent_pointer FROM t WHERE row"""
+"""
+#: All values of the JSON columns, opened: id, field, v, pointer, up (parent row's pointer), row. For checks built on it.
+JSON_WALK = _P4
 _P5 = "WITH once AS (SELECT DISTINCT ON (id) id, \"at\", coalesce(duration, 0) AS duration, nullif(lower(trim(actor)), '') AS actor, operation, outcome, coalesce(operation, 'missing') || '|' || coalesce(outcome, 'missing') AS label FROM audit_events)\n"
 SQL = {
     "p2_found": _NODES + "SELECT id AS record_id, CASE WHEN circle IS NULL THEN cur ELSE list_min(circle) END AS root_id, CAST(CASE WHEN circle IS NULL THEN len(path) - 1 ELSE -1 END AS BIGINT) AS depth, CAST(CASE WHEN circle IS NULL THEN rev ELSE -1 END AS BIGINT) AS n_revoked FROM done",
@@ -114,7 +116,7 @@ SQL = {
     "p2_descendants": _NODES + "SELECT path[i + 1] AS ancestor_id, id AS record_id, CAST(i AS BIGINT) AS distance FROM (SELECT id, path, unnest(range(1, len(path))) AS i FROM done WHERE circle IS NULL)",
     "p3_found": _P3 + "SELECT * FROM st WHERE status IS NOT NULL",
     "p3_report": _P3 + "SELECT target_table, source_field, period, status, count(*) AS n_references, count(DISTINCT target_key) AS n_targets FROM st WHERE status IS NOT NULL GROUP BY ALL",
-    "p4_found": _P4,
+    "p4_found": _P4 + "SELECT id AS record_id, field, pointer, up AS parent_pointer FROM t WHERE row",
     "p5_features": _P5 + "SELECT * FROM (PIVOT (SELECT a.actor, l.label, coalesce(f.n, 0) AS n, f.latest_at, coalesce(f.total_duration, 0) AS total_duration FROM (SELECT DISTINCT actor FROM once) a CROSS JOIN (SELECT DISTINCT label FROM once) l LEFT JOIN (SELECT actor, label, count(*) AS n, max(\"at\") AS latest_at, sum(duration) AS total_duration FROM once GROUP BY ALL) f ON f.actor IS NOT DISTINCT FROM a.actor AND f.label = l.label) ON label USING any_value(n) AS n, any_value(latest_at) AS latest_at, any_value(total_duration) AS total_duration GROUP BY actor)",
     "p5_features_long": _P5 + "SELECT a.actor, l.label AS event_type, coalesce(f.n, 0) AS n, f.latest_at, CAST(coalesce(f.total_duration, 0) AS BIGINT) AS total_duration FROM (SELECT DISTINCT actor FROM once) a CROSS JOIN (SELECT DISTINCT label FROM once) l LEFT JOIN (SELECT actor, label, count(*) AS n, max(\"at\") AS latest_at, sum(duration) AS total_duration FROM once GROUP BY ALL) f ON f.actor IS NOT DISTINCT FROM a.actor AND f.label = l.label",
     "p5_features_window": _P5 + "SELECT actor, operation, outcome, count(*) AS n, max(\"at\") AS latest_at, CAST(sum(duration) AS BIGINT) AS total_duration FROM once WHERE \"at\" >= 1735689600 AND \"at\" < 1751328000 GROUP BY ALL",
