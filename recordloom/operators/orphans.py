@@ -29,13 +29,22 @@ from recordloom.session import materialize
 
 BITS_PER_KEY = 12
 HASHES = 4
+SLICES = 256
 MOST_FILTER_BYTES = 64 * 2**20
 ANCHOR_KINDS = ("anchor:ticket", "anchor:diff", "anchor:trunk")
 _TEXT = re.compile(r"\s*(record|anchor:ticket|anchor:diff|anchor:trunk)\s*:(.*)", re.S | re.I)
 
 
+def key_hashes(keys: list[str]) -> np.ndarray:
+    """What Spark's xxhash64 gives for the same texts, as unsigned numbers."""
+    return np.fromiter((xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), 42) for k in keys), np.uint64, len(keys))
+
+
 class Bloom:
-    """A Bloom filter over texts: two xxh3 halves, double hashing."""
+    """A Bloom filter in SLICES parts: a key's hash names its slice, and HASHES bits in it by double hashing.
+
+    Each slice depends on its own keys only, so one task builds it alone.
+    """
 
     def __init__(self, n_bits: int, bits: bytes | None = None) -> None:
         self.n_bits = n_bits
@@ -43,57 +52,51 @@ class Bloom:
 
     @staticmethod
     def size_for(keys: int) -> int:
-        return max(1024, 1 << int(max(1, keys) * BITS_PER_KEY - 1).bit_length())
+        return max(SLICES * 64, 1 << int(max(1, keys) * BITS_PER_KEY - 1).bit_length())
 
-    def places(self, keys: list[str]) -> np.ndarray:
-        h = np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), np.uint64, len(keys))
-        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        return (a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) % np.uint64(self.n_bits)
+    def places(self, h: np.ndarray) -> np.ndarray:
+        in_slice = np.uint64(self.n_bits // SLICES)
+        a, b = h & np.uint64(0xFFFFFFFF), ((h >> np.uint64(24)) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+        inner = (a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) & (in_slice - np.uint64(1))
+        return (h >> np.uint64(56))[:, None] * in_slice + inner
 
-    def add(self, keys: list[str]) -> None:
-        at = self.places(keys).ravel()
+    def add(self, h: np.ndarray) -> None:
+        at = self.places(h).ravel()
         np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
 
     def holds(self, keys: list[str]) -> np.ndarray:
-        at = self.places(keys)
+        at = self.places(key_hashes(keys))
         return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
 def build_bloom(keys: DataFrame, count: int) -> Bloom | None:
-    """Filter of the single text column of ``keys``; None if it would be too large to broadcast."""
+    """Filter of the single text column of ``keys``; None if it would be too large to broadcast.
+
+    Hashes (8 bytes a key) are shuffled to the tasks of their slices; the driver
+    gets each byte of the filter once.
+    """
     n_bits = Bloom.size_for(count)
     if n_bits // 8 > MOST_FILTER_BYTES:
         return None
-    slice_bytes = max(128, n_bits // 8 // 256)
+    slice_bytes = n_bits // 8 // SLICES
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bloom(n_bits)
-        any_key = False
-        for b in batches:
-            got = [k for k in b.column(0).to_pylist() if k is not None]
-            if got:
-                any_key = True
-                own.add(got)
-        if any_key:
-            raw = own.bits.tobytes()
-            cuts = [(i, raw[i : i + slice_bytes]) for i in range(0, len(raw), slice_bytes)]
-            cuts = [c for c in cuts if any(c[1])]
-            yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.binary())], ["at", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        shape = Bloom(n_bits, b"")
         for b in batches:
-            for at, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(bits, np.uint8)
-                held[at] = held[at] | x if at in held else x
+            h = b.column(0).to_numpy().view(np.uint64)
+            for s in np.unique(h >> np.uint64(56)).tolist():
+                part = shape.places(h[h >> np.uint64(56) == s]).ravel() - np.uint64(s * slice_bytes * 8)
+                bits = held.setdefault(s, np.zeros(slice_bytes, np.uint8))
+                np.bitwise_or.at(bits, (part >> np.uint64(3)).astype(np.int64), (1 << (part & np.uint64(7))).astype(np.uint8))
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["at", "bits"])
 
-    # The slices of one place are OR-ed by one task; the driver gets each byte of the filter once.
-    parts = keys.mapInArrow(local, "at long, bits binary").repartition("at").mapInArrow(merge, "at long, bits binary")
+    name = keys.columns[0]
+    hashes = keys.where(F.col(name).isNotNull()).select(F.xxhash64(name).alias("h"))
     raw = np.zeros(n_bits // 8, np.uint8)
-    for at, bits in parts.collect():
-        raw[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    for at, bits in hashes.repartition(F.shiftrightunsigned("h", 56)).mapInArrow(build, "at long, bits binary").collect():
+        raw[at * slice_bytes : (at + 1) * slice_bytes] = np.frombuffer(bits, np.uint8)
     return Bloom(n_bits, raw.tobytes())
 
 

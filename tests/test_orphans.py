@@ -64,6 +64,15 @@ def test_null_columns(spark):
 def test_bloom_has_no_false_negatives():
     keys = [f"k{i}" for i in range(5000)]
     b = orphans.Bloom(orphans.Bloom.size_for(len(keys)))
-    b.add(keys)
+    b.add(orphans.key_hashes(keys))
     assert b.holds(keys).all()
     assert np.mean(b.holds([f"other{i}" for i in range(5000)])) < 0.02
+
+
+def test_bloom_is_built_by_slices(spark):
+    keys = [f"k{i}é" for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k string")
+    one = orphans.Bloom(orphans.Bloom.size_for(3000))
+    one.add(orphans.key_hashes(keys))
+    assert orphans.build_bloom(df, 3000).bits.tobytes() == one.bits.tobytes()
+    assert not orphans.build_bloom(df.limit(0), 0).holds(["x"]).any()
