@@ -276,3 +276,26 @@ def unmatched_coordinates(view: DataFrame, pointers: dict[str, str], wanted: dic
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+def keep_first_source(candidates: DataFrame, preferred: str = "vector") -> DataFrame:
+    """Without ``fill_remaining``: if the preferred source kept any hybrid-only candidate, the other source's hybrid-only ones go."""
+    only = (F.size("strategies") == 1) & (F.col("strategies")[0] == "hybrid") & (F.col("tier") == "relevant")
+    answered = candidates.where(only & (F.col("source") == preferred)).limit(1).select(F.lit(True).alias("answered"))
+    flagged = candidates.withColumn("stood_in", F.coalesce(only & (F.col("source") != preferred), F.lit(False)))
+    marked = flagged.join(F.broadcast(answered), F.col("stood_in"), "left")  # at most one row
+    return marked.where(F.col("answered").isNull()).drop("stood_in", "answered")
+
+
+def cardinality_faults(candidates: DataFrame, expect: dict[str, str]) -> DataFrame:
+    """type_name, expected, n_found of each selector that found too few or too many; expect: type -> any, some or one."""
+    want = candidates.sparkSession.createDataFrame(sorted(expect.items()), "type_name string, expected string")
+    found = candidates.where(F.col("tier").isNotNull()).groupBy("type_name").agg(F.count(F.lit(1)).alias("n_found"))
+    j = want.join(found, "type_name", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    return j.where(((F.col("expected") == "some") & (F.col("n_found") < 1)) | ((F.col("expected") == "one") & (F.col("n_found") != 1)))
+
+
+def tier_totals(picked: list[dict]) -> dict[str, int]:
+    """Tokens by tier, and records by the source that found them."""
+    out = {f"{t}_tokens": sum(p["tokens"] for p in picked if p["tier"] == t) for t in TIERS}
+    return out | {f"{s}_records": sum(p.get("source") == s for p in picked) for s in ("vector", "fts")}

@@ -154,3 +154,23 @@ def latest_per_scope(view: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("namespace").orderBy(F.col("us").desc_nulls_last(), "id")
     ranked = current(view).withColumn("us", F.unix_micros(instant(F.col("recorded_at")))).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).select("namespace", "rank", "id")
+
+
+def tombstones(view: DataFrame, ids: DataFrame, tag: str, observed_at: str) -> DataFrame:
+    """Drafts that withdraw the given current records: the payload as it is, the tag added, superseding the record."""
+    named = view.where(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("id"))
+    held = F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>"))
+    target = view.join(ids.select("id"), "id", "left_semi").join(named, "id", "left_anti")
+    return target.select("namespace", "type_name", F.lit(observed_at).alias("observed_at"), "payload", F.to_json(F.array_union(held, F.array(F.lit(tag)))).alias("tags"), F.col("id").alias("supersedes"))
+
+
+def pending(corpus: DataFrame, indexed: int, digest: str) -> tuple[str, int | None]:
+    """("none", 0), ("records", n) or ("unknown", None): what an index that covered ``indexed`` records with ``digest`` lacks."""
+    from recordloom.operators.digests import corpus_digest, prefix_digest
+
+    if corpus_digest(corpus) == digest:
+        return "none", 0
+    n = corpus.count()
+    if indexed > n or prefix_digest(corpus, indexed) != digest:
+        return "unknown", None
+    return "records", n - indexed

@@ -91,6 +91,12 @@ def bm25(view: DataFrame, query: str, stem: bool = False) -> DataFrame:
     return scored.select("id", score.alias("score"))
 
 
+def ranked(hits: DataFrame, key: list[Column], limit: int) -> DataFrame:
+    """rank (from 1), id of the first ``limit`` hits by ``key``."""
+    page = hits.orderBy(*key).limit(limit)
+    return page.select(F.row_number().over(Window.orderBy(*key)).cast("int").alias("rank"), "id")  # over a page
+
+
 def top_text(view: DataFrame, query: str, k: int, scope: Column | None = None, stem: bool = False) -> DataFrame:
     """rank, id, score of the k best hits in scope; ties by recorded_at (text, newest first), then id."""
     hits = bm25(view, query, stem).join(view.where(scope) if scope is not None else view, "id").select("id", "score", "recorded_at")

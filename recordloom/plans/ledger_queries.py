@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import clean_key
-from recordloom.operators import audit, compaction, context, defense, digests, filters, ingest, ledger, search, sync
+from recordloom.operators import audit, compaction, context, defense, digests, engine, filters, ingest, ledger, search, sync, types
 from recordloom.plans.registry import Registry
 from recordloom.plans.sqltext import clean_sql, us_sql, uuid_sql
 from recordloom.session import materialize
@@ -519,3 +519,46 @@ def stream_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT coalesce(nullif(lower(trim(source)), ''), '') AS source, count(*) AS n, count(DISTINCT sha256(text)) AS n_texts FROM documents GROUP BY 1")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.coalesce(clean_key(F.col("source")), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"))
+
+
+@query(VIEW + """SELECT id, CASE WHEN list_contains(string_split(type_name, '.'), 'role') THEN 'role' WHEN list_contains(string_split(type_name, '.'), 'process') THEN 'process' WHEN list_contains(string_split(type_name, '.'), 'step') THEN 'step'
+ WHEN json_extract_string(payload, '$.does') IS NOT NULL OR (json_extract_string(payload, '$.gate') IS NOT NULL AND json_extract_string(payload, '$.do') IS NOT NULL) THEN 'step' WHEN json_extract_string(payload, '$.purpose') IS NOT NULL THEN 'process'
+ WHEN json_extract_string(payload, '$.do') IS NOT NULL AND json_extract_string(payload, '$.kind') IS NOT NULL THEN 'role' ELSE 'other' END AS kind FROM led""")
+def record_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "type_name", "payload").select("id", types.record_kind().alias("kind"))
+
+
+_SCHEMAS = {
+    "fleet.lesson.v1": {"type": "object", "required": ["rule", "confidence"], "properties": {"rule": {"type": "string"}, "confidence": {"type": "number", "minimum": 0, "maximum": 1}}},
+    "fleet.roleset.v1": {"type": "object", "required": ["title"], "properties": {"role": {"type": ["string", "array", "null"]}}},
+}
+
+
+@query(VIEW + """SELECT id, CAST(n AS INT) AS n_faults FROM (SELECT id, CASE WHEN payload IS NULL OR json_type(payload) <> 'OBJECT' THEN 1 WHEN type_name = 'fleet.lesson.v1' THEN CAST(json_type(payload, '$.rule') IS NULL AS INT) + CAST(json_type(payload, '$.confidence') IS NULL AS INT)
+ + CAST(coalesce(json_type(payload, '$.rule') <> 'VARCHAR', false) AS INT) + CAST(coalesce(json_type(payload, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT'), false) AS INT) + CAST(coalesce(json_type(payload, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND NOT (TRY_CAST(json_extract_string(payload, '$.confidence') AS DOUBLE) BETWEEN 0 AND 1), false) AS INT)
+ ELSE CAST(json_type(payload, '$.title') IS NULL AS INT) + CAST(coalesce(json_type(payload, '$.role') NOT IN ('VARCHAR', 'ARRAY', 'NULL'), false) AS INT) END AS n FROM led WHERE type_name IN ('fleet.lesson.v1', 'fleet.roleset.v1')) WHERE n > 0""")
+def payload_schema_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _view(spark, sf_dir, "type_name", "payload").where(F.col("type_name").isin(sorted(_SCHEMAS)))
+    return types.payload_faults(v, _SCHEMAS).select("id", "n_faults")
+
+
+@query("SELECT * FROM (VALUES ('fleet.lesson.v1', 'confidence', 'number', true, NULL), ('fleet.lesson.v1', 'rule', 'string', true, NULL), ('fleet.roleset.v1', 'role', 'string|array|null', false, NULL)) t(type_name, field, type, required, enum)")
+def type_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return types.catalog(spark, _SCHEMAS)
+
+
+@query(VIEW + "SELECT id, '{' || CASE WHEN json_type(payload, '$.confidence') IS NOT NULL THEN '\"confidence\":' || json_extract(payload, '$.confidence') || ',' ELSE '' END || '\"type\":\"' || type_name || '\"}' AS fields FROM led WHERE type_name = 'fleet.lesson.v1'")
+def projected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _view(spark, sf_dir, "type_name", "payload").where(F.col("type_name") == "fleet.lesson.v1")
+    return types.project_fields(v, ["type", "confidence", "nowhere"])
+
+
+@query()
+def engine_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves over the ledger, the vectors made by the offline embedder; the text half fills what the vector half leaves."""
+    v = materialize(_flagged(spark, sf_dir, "namespace", "type_name", "actor", "recorded_at", "observed_at", "valid_at", "record_sha256", "payload", "evidence", "tags"), "engine")
+    docs = materialize(sync.documents(v), "documents")
+    points = materialize(sync.hashed_embedding(docs).join(docs.select("id", "input_sha256"), "id"), "points")
+    embed = lambda q: [float(x) for x in sync.hashed_embedding(spark.createDataFrame([("q", q)], "id string, text string")).first()[1]]
+    e = engine.SearchEngine(v, points, docs, embed, engine.Policy(score_threshold=0.2))
+    return e.search("the migration returned a frozen receipt", "hybrid", 100, namespace="fleet.memory", flags=["record.tags=!draft"]).hits
