@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import clean_key
@@ -34,18 +34,43 @@ def newest(events: DataFrame, limit: int) -> DataFrame:
     return events.orderBy(F.desc("at"), F.desc("nanos"), F.desc("id")).limit(limit)
 
 
-def statistics(events: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n, failures, error_rate, least, most, mean and nearest-rank p95 of durations; zeros over nothing.
+#: Durations are counted in steps of 2^16 us (65 ms) first, so a step holds at most that many distinct ones.
+_STEP_BITS = 16
+
+
+def nearest_rank(rows: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """by, name: the value at rank ceil(q * n) of each group, exactly.
 
-    The percentile of a group is found with a count per distinct duration, so a
-    group with a third of all rows is combined map-side before any shuffle.
+    Values are counted map-side; a window over the counts of coarse steps finds
+    the step that holds the rank, and only that step's distinct values are
+    ordered. No task sees all values of a large group.
     """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c")).withColumn("step", F.shiftright(value, _STEP_BITS))
+    steps = counts.groupBy(*by, "step").agg(F.sum("c").alias("c"))
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("step")
+    rank = F.ceil(F.sum("c").over(whole) * q).cast("long")
+    steps = steps.select(*by, "step", "c", rank.alias("rank"), F.sum("c").over(upto).alias("cum"))
+    hit = steps.where((F.col("cum") >= F.col("rank")) & (F.col("cum") - F.col("c") < F.col("rank"))).select(*[F.col(k).alias(f"_{k}") for k in by], F.col("step").alias("_step"), (F.col("rank") - F.col("cum") + F.col("c")).alias("need"))
+    on = F.col("step") == F.col("_step")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    inner = counts.join(hit, on).withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
+    return inner.where(F.col("upto") >= F.col("need")).groupBy(*by).agg(F.min(value).alias(name))
+
+
+def statistics(events: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n, failures, error_rate, least, most, mean and nearest-rank p95 of durations; zeros over nothing."""
     keys = by or []
-    d = F.coalesce(F.col("duration"), F.lit(0))
-    base = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "error").alias("failures"), F.min(d).alias("least_us"), F.max(d).alias("most_us"), F.sum(d).alias("total"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY coalesce(duration, 0))").cast("long").alias("p95_us"))
+    rows = events.select(*keys, F.coalesce(F.col("duration"), F.lit(0)).cast("long").alias("d"), "outcome")
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "error").alias("failures"), F.min("d").alias("least_us"), F.max("d").alias("most_us"), F.sum("d").alias("total"))
+    p95 = nearest_rank(rows, keys, "d", 0.95, "p95_us").select(*[F.col(k).alias(f"_{k}") for k in keys], "p95_us")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = base.join(p95, on, "left") if keys else base.join(F.broadcast(p95), how="left")  # one row each without keys
     zero = F.lit(0).cast("long")
     n = F.col("n")
-    return base.select(*keys, "n", "failures", F.when(n > 0, F.round(F.col("failures") / n, 6)).otherwise(0.0).alias("error_rate"), *[F.coalesce(c, zero).cast("long").alias(c) for c in ("least_us", "most_us", "p95_us")], F.when(n > 0, F.round(F.col("total") / n, 3)).otherwise(0.0).alias("mean_us"))
+    return joined.select(*keys, "n", "failures", F.when(n > 0, F.round(F.col("failures") / n, 6)).otherwise(0.0).alias("error_rate"), *[F.coalesce(c, zero).cast("long").alias(c) for c in ("least_us", "most_us", "p95_us")], F.when(n > 0, F.round(F.col("total") / n, 3)).otherwise(0.0).alias("mean_us"))
 
 
 def coordinate(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import canonical_uuid, instant
@@ -53,11 +53,16 @@ def read_shards(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
 
 
 def import_plan(lines: DataFrame, known_digests: DataFrame) -> DataFrame:
-    """ordinal, sha256, action for (ordinal, sha256): import, known (already in the ledger) or repeated (in this batch)."""
-    w = Window.partitionBy("sha256").orderBy("ordinal")
+    """ordinal, sha256, action for (ordinal, sha256): import, known (already in the ledger) or repeated (in this batch).
+
+    Ordinals are unique. The first of equal lines is found by a map-side minimum
+    and marked by a join on digest and ordinal, so a line that makes up a third
+    of the batch stays spread.
+    """
     known = known_digests.select("sha256").distinct().withColumn("known", F.lit(True))
-    j = lines.join(known, "sha256", "left").withColumn("n", F.row_number().over(w))
-    return j.select("ordinal", "sha256", F.when(F.col("known"), "known").when(F.col("n") > 1, "repeated").otherwise("import").alias("action"))
+    first = lines.groupBy("sha256").agg(F.min("ordinal").alias("ordinal")).withColumn("first", F.lit(True))
+    j = lines.join(first, ["sha256", "ordinal"], "left").join(known, "sha256", "left")
+    return j.select("ordinal", "sha256", F.when(F.col("known"), "known").when(F.col("first"), "import").otherwise("repeated").alias("action"))
 
 
 def resolve_supersedes(lines: DataFrame, id_map: DataFrame, known_ids: DataFrame) -> DataFrame:
@@ -74,12 +79,11 @@ def replay(requests: DataFrame, done: DataFrame) -> DataFrame:
 
     Both sides: actor, key, draft_sha256. Within a batch the first request of a key counts as done.
     """
-    w = Window.partitionBy("actor", "key").orderBy("ordinal")
-    first = F.first("draft_sha256").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = done.groupBy("actor", "key").agg(F.min("draft_sha256").alias("done_sha"))
-    j = requests.join(d, ["actor", "key"], "left").withColumn("first_sha", F.coalesce("done_sha", first)).withColumn("n", F.row_number().over(w))
-    fresh = F.col("done_sha").isNull() & (F.col("n") == 1)
-    return j.select("ordinal", F.when(fresh, "new").when(F.col("draft_sha256") == F.col("first_sha"), "replay").otherwise("conflict").alias("verdict"))
+    first = requests.groupBy("actor", "key").agg(F.min(F.struct("ordinal", "draft_sha256")).alias("f"))
+    judge = first.join(d, ["actor", "key"], "left").select("actor", "key", F.col("f.ordinal").alias("first_ordinal"), F.coalesce("done_sha", "f.draft_sha256").alias("sha"), F.col("done_sha").isNull().alias("fresh"))
+    j = requests.join(judge, ["actor", "key"])
+    return j.select("ordinal", F.when(F.col("fresh") & (F.col("ordinal") == F.col("first_ordinal")), "new").when(F.col("draft_sha256") == F.col("sha"), "replay").otherwise("conflict").alias("verdict"))
 
 
 def validity(view: DataFrame) -> DataFrame:
