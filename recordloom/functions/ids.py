@@ -53,3 +53,11 @@ def instant_micros(c: Column) -> Column:
 
 def utc_month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
+
+
+def point_id(store: str, record: Column) -> Column:
+    """The name-based UUID (version 5) of a record in a store's namespace, by column functions alone."""
+    bare = F.unhex(F.translate(record, "-", ""))
+    h = F.sha1(F.concat(F.unhex(F.lit(store.replace("-", ""))), bare))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

@@ -66,3 +66,24 @@ def fingerprint(names: Column) -> Column:
 def chain(lines: Column) -> Column:
     """h = sha256(h + line) over an ordered array, from the empty text."""
     return F.aggregate(lines, F.lit("").cast("string"), lambda acc, x: F.sha2(F.concat(acc, x), 256))
+
+
+def set_digest(manifest_sha256: str, inputs: list[str]) -> str:
+    """sha256 of a manifest's digest followed by each input's, in order, parted by NUL."""
+    return hashlib.sha256("\0".join([manifest_sha256, *inputs]).encode()).hexdigest()
+
+
+def write_receipt(folder: str, body: dict) -> str:
+    """Write a receipt under its own digest; the same body gives the same file, written once. Returns the digest."""
+    import json
+    import os
+
+    text = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    name = hashlib.sha256(text.encode()).hexdigest()
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{name}.json")
+    if not os.path.exists(path):
+        with open(f"{path}.part", "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(f"{path}.part", path)
+    return name

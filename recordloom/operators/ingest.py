@@ -111,3 +111,49 @@ def over_word_limit(view: DataFrame, limits: dict[tuple[str, str], int]) -> Data
     if out is None:
         raise ValueError("no limits given")
     return out
+
+
+def read_manifest(path: str) -> list[dict]:
+    """Inputs of an import: JSONL of path, role, expiry and anchor resolver; a path may stand there once."""
+    import json
+
+    out: list[dict] = []
+    with open(path, encoding="utf-8") as lines:
+        for n, line in enumerate(lines, 1):
+            if not line.strip():
+                continue
+            entry = json.loads(line)
+            if not isinstance(entry, dict) or not isinstance(entry.get("path"), str) or not entry["path"]:
+                raise ValueError(f"line {n} names no path")
+            if unknown := set(entry) - {"path", "role", "expiry", "anchor_resolver"}:
+                raise ValueError(f"line {n} has unknown fields {sorted(unknown)}")
+            if any(e["path"] == entry["path"] for e in out):
+                raise ValueError(f"line {n} repeats {entry['path']}")
+            if entry.get("expiry") is not None:
+                entry["expiry"] = {"warning_days": 30} | entry["expiry"]
+            out.append(entry)
+    return out
+
+
+def is_batch(path: str) -> bool:
+    """Whether a draft file holds several drafts, one a line, rather than one JSON document."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        json.loads(text)
+    except ValueError:
+        lines = [x for x in text.splitlines() if x.strip()]
+        return len(lines) > 1 and all(x.lstrip().startswith("{") for x in lines)
+    return False
+
+
+def verify_receipts(receipt_lines: DataFrame, ledger_digests: DataFrame) -> DataFrame:
+    """Lines an import receipt claims that no record's evidence names: each is an integrity fault."""
+    return receipt_lines.join(ledger_digests.select("sha256"), "sha256", "left_anti")
+
+
+def kept_keys(done: DataFrame, kept: DataFrame) -> DataFrame:
+    """Idempotency keys whose record survived a compaction, with the record's digest as it is now."""
+    return done.drop("record_sha256").join(kept.select("id", "record_sha256"), "id")

@@ -174,3 +174,28 @@ def pending(corpus: DataFrame, indexed: int, digest: str) -> tuple[str, int | No
     if indexed > n or prefix_digest(corpus, indexed) != digest:
         return "unknown", None
     return "records", n - indexed
+
+
+def compare(truth: DataFrame, projection: DataFrame) -> DataFrame:
+    """id, fault of every difference between the ledger and what was derived from it: missing, extra or digest."""
+    t = truth.select("id", F.col("record_sha256").alias("t"), F.lit(True).alias("in_t"))
+    p = projection.select("id", F.col("record_sha256").alias("p"), F.lit(True).alias("in_p"))
+    j = t.join(p, "id", "full_outer")
+    fault = F.when(F.col("in_p").isNull(), "missing").when(F.col("in_t").isNull(), "extra").when(~F.col("t").eqNullSafe(F.col("p")), "digest")
+    return j.select("id", fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def integrity(records: DataFrame) -> DataFrame:
+    """One row of counts over all deliveries: rows, ids, unreadable columns and instants, and predecessors that do not exist."""
+    d = deliveries(records)
+    by_id = d.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("payload").isNotNull()).alias("payload"), F.max(F.col("evidence").isNotNull()).alias("evidence"), F.max(F.col("tags").isNotNull()).alias("tags"),
+        F.max(instant(F.col("recorded_at")).isNotNull()).alias("at"), F.min("supersedes").alias("supersedes"),
+    )
+    parents = by_id.select(F.col("id").alias("supersedes"), F.lit(True).alias("there"))
+    j = by_id.join(parents, "supersedes", "left")
+    bad = lambda c: F.count_if(~F.col(c))
+    return j.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("n") > 1).alias("n_repeated"), bad("payload").alias("n_without_payload"), bad("evidence").alias("n_without_evidence"),
+        bad("tags").alias("n_without_tags"), bad("at").alias("n_bad_instants"), F.count_if(F.col("supersedes").isNotNull() & F.col("there").isNull()).alias("n_dangling"),
+    )

@@ -562,3 +562,24 @@ def engine_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     embed = lambda q: [float(x) for x in sync.hashed_embedding(spark.createDataFrame([("q", q)], "id string, text string")).first()[1]]
     e = engine.SearchEngine(v, points, docs, embed, engine.Policy(score_threshold=0.2))
     return e.search("the migration returned a frozen receipt", "hybrid", 100, namespace="fleet.memory", flags=["record.tags=!draft"]).hits
+
+
+@query(VIEW + """, p AS (SELECT id, count(*) AS n, bool_or(payload IS NOT NULL) AS pl, bool_or(evidence IS NOT NULL) AS ev, bool_or(tags IS NOT NULL) AS tg, min(supersedes) AS supersedes FROM d WHERE id IS NOT NULL GROUP BY id)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_records, count(*) FILTER (n > 1) AS n_repeated, count(*) FILTER (NOT pl) AS n_without_payload, count(*) FILTER (NOT ev) AS n_without_evidence, count(*) FILTER (NOT tg) AS n_without_tags, 0 AS n_bad_instants,
+ count(*) FILTER (supersedes IS NOT NULL AND supersedes NOT IN (SELECT id FROM p)) AS n_dangling FROM p""")
+def integrity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.integrity(table(spark, sf_dir, "records"))
+
+
+@query(VIEW + "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'extra' ELSE 'digest' END AS fault FROM (SELECT id, record_sha256 FROM v WHERE NOT superseded) a FULL JOIN (SELECT id, record_sha256 FROM v WHERE NOT revoked) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.record_sha256 IS DISTINCT FROM b.record_sha256")
+def projection_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a projection without the revoked has against a truth without the superseded."""
+    v = _flagged(spark, sf_dir, "record_sha256")
+    return ledger.compare(v.where(~F.col("superseded")), v.where(~F.col("revoked")))
+
+
+@query()
+def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.functions.ids import point_id
+
+    return _view(spark, sf_dir).select("id", point_id("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("id")).alias("point_id"))

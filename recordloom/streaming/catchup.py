@@ -50,3 +50,31 @@ def merged_counts(spark: SparkSession, target: str) -> DataFrame:
 def windowed(events: DataFrame, ts: str = "ts", size: str = "1 day", late: str = "1 day") -> DataFrame:
     """Events per window and type; on a stream, rows later than ``late`` behind the newest are dropped by the watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def drain_until_level(run_once, behind, most_passes: int = 64, most_seconds: float = 900.0) -> int:
+    """Repeat passes while ``behind()`` says work is left; returns the passes made. A pass that fails ends the drain."""
+    import time
+
+    began, passes = time.monotonic(), 0
+    while behind() and passes < most_passes and time.monotonic() - began < most_seconds:
+        run_once()
+        passes += 1
+    return passes
+
+
+def cooldown(failures: int) -> int:
+    """Seconds to wait after so many failures in a row: 1, 2, 4 ... 32."""
+    return 0 if failures <= 0 else 1 << (min(failures, 6) - 1)
+
+
+class Position:
+    """How far a derived index came: its version, row count and digest, and whether the settings it was made with still hold."""
+
+    def __init__(self, version: int, rows: int, digest: str, settings: dict) -> None:
+        self.version, self.rows, self.digest, self.settings = version, rows, digest, dict(settings)
+
+    def freshness(self, version: int, settings: dict) -> str:
+        if settings != self.settings:
+            return "other settings"
+        return "current" if version == self.version else "behind" if version > self.version else "ahead"
