@@ -97,7 +97,7 @@ def _packer(capacity: int, tasks: int):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).combine_chunks()
+        t = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()  # the same packing however the rows arrived
         sizes = t.column("n_tokens").to_numpy().astype(np.int64)
         place = TaskContext.get().partitionId()
         box = pack_sizes(sizes, capacity) * tasks + place
