@@ -8,6 +8,7 @@ Hybrid: a priority merge of ranked lists, or reciprocal ranks as exact fractions
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.text import fold, porter, search_text, tokens
+from recordloom.session import materialize
 
 # The customary BM25 constants, the least idf, and the rank constant of reciprocal rank fusion.
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -80,14 +82,15 @@ def bm25(view: DataFrame, query: str, stem: bool = False) -> DataFrame:
     rows = words.select("id", F.size("w").cast("double").alias("len"), *tfs)
     if not terms:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
-    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"t{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(terms))])
-    hit = rows.where(F.greatest(*[F.col(f"t{k}") for k in range(len(terms))], F.lit(0.0)) > 0)
-    scored = hit.join(F.broadcast(stats))  # one row of statistics
+    rows = materialize(rows, "term-counts")  # read twice, and the tokens need be cut only once
+    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"t{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(terms))]).first()  # one row
+    n, avg_len = stats["n"], stats["avg_len"] or 1.0
+    scored = rows.where(F.greatest(*[F.col(f"t{k}") for k in range(len(terms))], F.lit(0.0)) > 0)
     score: Column = F.lit(0.0)
     for k in range(len(terms)):
-        df, tf = F.col(f"d{k}"), F.col(f"t{k}")
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        df, tf = stats[f"d{k}"], F.col(f"t{k}")
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
     return scored.select("id", score.alias("score"))
 
 

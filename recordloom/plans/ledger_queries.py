@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import clean_key
@@ -55,7 +55,7 @@ def locate_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ordinals by a sort, not by one window over all rows: rank within range partitions plus the partitions' offsets.
     ordered = materialize(wanted.orderBy("id").select(F.monotonically_increasing_id().alias("m"), "id"), "wanted")
     sizes = ordered.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))  # one row a partition
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a partition
     numbered = ordered.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(offsets), "part").select((F.col("base") + (F.col("m") - F.shiftleft("part", 33)) + 1).alias("ordinal"), "id")
     return ledger.locate(records, numbered)
 
@@ -388,8 +388,6 @@ def tier_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEW + _CLASS_SQL + "SELECT CAST(row_number() OVER (ORDER BY CASE tier WHEN 'required' THEN 0 WHEN 'core' THEN 1 ELSE 2 END, rank DESC NULLS LAST, observed_at DESC NULLS LAST, id) AS INT) AS position, id, tier FROM c WHERE tier IS NOT NULL QUALIFY position <= 10000")
 def context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     page = context.page(_classified(spark, sf_dir))
     return page.select(F.row_number().over(Window.orderBy(*context.candidate_order())).alias("position"), "id", "tier")  # over a page of at most 10,000 rows
 
