@@ -182,7 +182,7 @@ def place(pointer: str = "pointer"):
     return F.regexp_replace(F.col(pointer), r"/[0-9]+(?=/|$)", "/*")
 
 
-_OBJECTS = "record_id string, field string, pointers array<string>, parents array<int>, variants array<long>, members array<map<string,string>>"
+_OBJECTS = "record_id string, field string, pointers array<string>, parents array<int>, variants array<long>, members array<map<string,string>>, types array<map<string,string>>"
 
 
 def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,27 +212,29 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, u, k, v = walk(root, interned)
                 own = [i for i, kind in enumerate(k) if kind == "object"]
                 if own:
-                    found = [find(root, p[i]) for i in own]
-                    out.append((rid, field, [p[i] for i in own], [u[i] for i in own], [v[i] for i in own], [[(key, member(x)) for key, x in o.items() if type(x) not in (dict, list) and type(unwrap(x)) not in (dict, list)] for o in found]))
+                    scalars = [[(key, x) for key, x in find(root, p[i]).items() if type(x) not in (dict, list) and type(unwrap(x)) not in (dict, list)] for i in own]
+                    out.append((rid, field, [p[i] for i in own], [u[i] for i in own], [v[i] for i in own], [[(key, member(x)) for key, x in o] for o in scalars], [[(key, LEAVES[type(x)]) for key, x in o] for o in scalars]))
             if out:
                 cols = list(zip(*out))
-                kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.map_(pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["record_id", "field", "pointers", "parents", "variants", "members"])
+                kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.map_(pa.string(), pa.string())), pa.list_(pa.map_(pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["record_id", "field", "pointers", "parents", "variants", "members", "types"])
 
 
 def object_rows(records: DataFrame) -> DataFrame:
-    """Every nested object: record_id, field, pointer, parent_pointer, place, variant, members (its scalars)."""
+    """Every nested object: record_id, field, pointer, parent_pointer, place, variant, members (its scalars as text), types (their types)."""
     rows = one_delivery(records, *FIELDS).mapInArrow(_objects, _OBJECTS)
-    each = rows.select("record_id", "field", F.explode(F.arrays_zip("pointers", "parents", "variants", "members")).alias("n"))
-    return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.variants").alias("variant"), F.col("n.members").alias("members")).withColumn("place", place())
+    each = rows.select("record_id", "field", F.explode(F.arrays_zip("pointers", "parents", "variants", "members", "types")).alias("n"))
+    return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.variants").alias("variant"), F.col("n.members").alias("members"), F.col("n.types").alias("types")).withColumn("place", place())
 
 
 def variant_catalog(objects: DataFrame) -> DataFrame:
-    """field, place, variant, n_objects, keys, common_keys: the supertypes and their variants.
+    """field, place, variant, n_objects, types, keys, common_keys: the supertypes and their variants.
 
-    ``common_keys`` holds the scalar keys of every variant at the place.
+    ``types`` gives the type of each scalar key, which is the same in all
+    objects of a variant; ``common_keys`` holds the keys of every variant at the
+    place.
     """
-    v = objects.groupBy("field", "place", "variant").agg(F.count(F.lit(1)).alias("n_objects"), F.array_sort(F.map_keys(F.min_by("members", F.col("pointer")))).alias("keys"))
+    v = objects.groupBy("field", "place", "variant").agg(F.count(F.lit(1)).alias("n_objects"), F.any_value("types").alias("types")).withColumn("keys", F.array_sort(F.map_keys("types")))
     per_key = v.select("field", "place", F.explode("keys").alias("key")).groupBy("field", "place", "key").agg(F.count(F.lit(1)).alias("n_with"))
     per_place = v.groupBy("field", "place").agg(F.count(F.lit(1)).alias("n_variants"))
     common = per_key.join(per_place, ["field", "place"]).where(F.col("n_with") == F.col("n_variants")).groupBy("field", "place").agg(F.array_sort(F.collect_list("key")).alias("common_keys"))
@@ -252,7 +254,19 @@ def write_variant_tables(records: DataFrame, path: str) -> None:
     objects.write.mode("overwrite").partitionBy("variant").parquet(f"{path}/subtypes")
 
 
-def subtype_table(records_path: str, spark, variant: int, keys: list[str]) -> DataFrame:
-    """One variant's table with a column for each of its keys."""
-    rows = spark.read.parquet(f"{records_path}/subtypes").where(F.col("variant") == variant)
-    return rows.select("record_id", "field", "pointer", "parent_pointer", *[F.col("members")[k].alias(k) for k in keys])
+# Column types of the automaton's leaves; whole numbers of any length a JSON text may hold fit a decimal or stay in ``members``.
+_COLUMNS = {"null": "void", "bool": "boolean", "int": "decimal(38,0)", "float": "double", "text": "string"}
+
+
+def subtype_table(path: str, spark, variant: int) -> DataFrame:
+    """One variant's table: record_id, field, pointer, parent_pointer and a typed column for each of its scalar keys.
+
+    A key named like one of the four link columns gets an underscore behind it.
+    """
+    types: dict[str, str] = {}
+    for r in spark.read.parquet(f"{path}/catalog").where(F.col("variant") == variant).select("types").collect():  # one row for each place the variant stands at
+        types |= r["types"]
+    rows = spark.read.parquet(f"{path}/subtypes").where(F.col("variant") == variant)
+    links = ["record_id", "field", "pointer", "parent_pointer"]
+    cols = [F.col("members")[F.lit(k)].try_cast(_COLUMNS[t] if t != "null" else "string").alias(f"{k}_" if k in links else k) for k, t in sorted(types.items())]
+    return rows.select(*links, *cols)

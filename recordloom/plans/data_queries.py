@@ -42,7 +42,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten.variant_catalog(materialize(flatten.object_rows(table(spark, sf_dir, "records")), "objects"))
+    c = flatten.variant_catalog(materialize(flatten.object_rows(table(spark, sf_dir, "records")), "objects"))
+    types = F.array_join(F.array_sort(F.transform(F.map_entries("types"), lambda e: F.concat_ws(":", e["key"], e["value"]))), ",")
+    return c.select("field", "place", "variant", "n_objects", types.alias("types"), F.array_join("keys", ",").alias("keys"), F.array_join("common_keys", ",").alias("common_keys"))
 
 
 def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:

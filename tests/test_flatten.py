@@ -60,8 +60,11 @@ def test_variants_route_to_typed_tables(spark, tmp_path):
     assert sorted((r.n_objects, tuple(r["keys"])) for r in cat) == [(1, ("k",)), (1, ("k", "t")), (2, ("k", "t"))]
     assert {tuple(r.common_keys) for r in cat} == {("k",)}
     two = next(r for r in cat if r.n_objects == 2)
-    got = flatten.subtype_table(str(tmp_path), spark, two.variant, ["k", "t"]).orderBy("pointer").collect()
-    assert [(r.pointer, r.parent_pointer, r.k, r.t) for r in got] == [("/o/0", "", "1", "a"), ("/o/1", "", "2", "b")]
+    assert two.types == {"k": "int", "t": "text"}
+    table = flatten.subtype_table(str(tmp_path), spark, two.variant)
+    assert dict(table.dtypes)["k"] == "decimal(38,0)" and dict(table.dtypes)["t"] == "string"
+    got = table.orderBy("pointer").collect()
+    assert [(r.pointer, r.parent_pointer, int(r.k), r.t) for r in got] == [("/o/0", "", 1, "a"), ("/o/1", "", 2, "b")]
     child = spark.read.parquet(f"{tmp_path}/subtypes").where("pointer = '/o/0/in'").collect()
     assert [r.parent_pointer for r in child] == ["/o/0"]
 
@@ -69,3 +72,11 @@ def test_variants_route_to_typed_tables(spark, tmp_path):
 def test_same_shape_same_variant():
     a = flatten.walk(json.loads('[{"x": 1, "y": "s"}]'), {})[3][0]
     assert a == flatten.walk(json.loads('[{"y": "t", "x": 9}]'), {})[3][0] != flatten.walk(json.loads('[{"y": 1, "x": 9}]'), {})[3][0]
+
+
+def test_typed_columns_and_clashing_keys(spark, tmp_path):
+    rows = [{"id": "00000000-0000-7000-8000-000000000001", "payload_json": '[{"pointer": true, "f": 1.5, "n": null, "big": 123456789012345678901234567890, "s": "[broken"}]', "evidence_json": None, "tags_json": None, "pointer": "", "field": ""}]
+    flatten.write_variant_tables(frame(spark, rows), str(tmp_path))
+    v = spark.read.parquet(f"{tmp_path}/catalog").first()
+    r = flatten.subtype_table(str(tmp_path), spark, v.variant).first()
+    assert (r.pointer, r.pointer_, r.f, r.n, int(r.big), r.s) == ("/0", True, 1.5, None, 123456789012345678901234567890, "[broken")
