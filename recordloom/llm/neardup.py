@@ -207,8 +207,9 @@ def _grid(counts: Any):
                     if not len(r):
                         continue
                     grid = _mix(_mix(scope[r], (cell[r] + step).astype(np.uint64)), w).view(np.int64)
-                    cols = [pa.array(grid), part.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(cell[r].astype(np.int32)), pa.array((cell[r] + step).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([*cols, *[pa.array(fp[r, k]) for k in range(4)]], ["grid", "c", "n", "cell", "probe", "f0", "f1", "f2", "f3"])
+                    # One number for size, own cell and probed cell: the grid's rows are what is shuffled.
+                    shape = (n[r] << 16) | (cell[r] << 8) | (cell[r] + step)
+                    yield pa.RecordBatch.from_arrays([pa.array(grid), part.column(0).take(pa.array(r)), pa.array(shape), *[pa.array(fp[r, k]) for k in range(4)]], ["grid", "c", "shape", "f0", "f1", "f2", "f3"])
 
     return run
 
@@ -228,17 +229,19 @@ def class_links(classes: DataFrame) -> DataFrame:
     """a, b, overlap: all pairs of classes of one scope with an overlap of OVERLAP or more, each once."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(segment_counts(classes.select("words")))
-    cells = classes.select("c", "scope_key", "n", "words").mapInArrow(_grid(counts), "grid long, c long, n int, cell int, probe int, f0 long, f1 long, f2 long, f3 long")
+    cells = classes.select("c", "scope_key", "n", "words").mapInArrow(_grid(counts), "grid long, c long, shape long, f0 long, f1 long, f2 long, f3 long")
     x, y = cells.alias("x"), cells.alias("y")
+    size = lambda side: F.shiftright(f"{side}.shape", 16)
+    cell = lambda side: F.shiftright(f"{side}.shape", 8).bitwiseAND(F.lit(255))
+    probe = lambda side: F.col(f"{side}.shape").bitwiseAND(F.lit(255))
     apart = F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0")))
     for k in ("f1", "f2", "f3"):
         apart = apart + F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}")))
-    least = F.ceil(F.col("y.n") * OVERLAP / 100)
-    # y is met in its own cell (cell >= probe), x in its own or the next; x is the smaller set.
-    # x.cell <= y.probe then holds by itself; with it both sides read the same columns and share one shuffle.
+    least = F.ceil(size("y") * OVERLAP / 100)
+    # y is met in its own cell (cell >= probe), x in its own or the next; x is the smaller set. Both sides read the same columns and share one shuffle.
     close = (
-        (F.col("x.grid") == F.col("y.grid")) & (F.col("y.cell") >= F.col("x.probe")) & (F.col("x.cell") <= F.col("y.probe")) & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.c") < F.col("y.c"))))
-        & (F.col("x.n") >= least) & (apart <= F.col("x.n") + F.col("y.n") - 2 * least)
+        (F.col("x.grid") == F.col("y.grid")) & (cell("y") >= probe("x")) & ((size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.c") < F.col("y.c"))))
+        & (size("x") >= least) & (apart <= size("x") + size("y") - 2 * least)
     )
     met = materialize(x.join(y, close).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "met")
     left = classes.select(F.col("c").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"), F.col("scope").alias("sa"))
