@@ -31,8 +31,8 @@ def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the setting is missing (tests, a single machine) a temporary
-    folder takes its place.
+    Only where the setting is missing and everything runs on one machine (tests)
+    a temporary folder takes its place; a cluster without it is refused.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if found:
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = spark.sparkContext.getCheckpointDir()
     if jvm_dir:
         return jvm_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="recordloom-")
     spark.conf.set(CHECKPOINT_KEY, f"file://{own}")
     return f"file://{own}"
