@@ -172,11 +172,10 @@ def _solve(q: DataFrame, rows_per_task: int, spent: int | None = None) -> DataFr
     count = q.count()
     if spent is not None and count > rows_per_task and count > 0.8 * spent:
         return _double(q, count)
-    frag = _local(q, rows_per_task, False, count)
-    direct = lambda f: f.select("id", F.col("top").alias("end"), "steps", F.col("revoked_below").alias("rev"), "loop")
-    if count <= rows_per_task:
-        return direct(frag.coalesce(1)) if count else direct(frag)
-    frag = materialize(frag, "fragments")
+    if count <= rows_per_task:  # final, so all of it in one task: coalesced before the body runs, not behind it
+        whole = q.coalesce(1).mapInArrow(_contract(False), _FRAGMENT)
+        return whole.select("id", F.col("top").alias("end"), "steps", F.col("revoked_below").alias("rev"), "loop")
+    frag = materialize(_local(q, rows_per_task, False, count), "fragments")
     inner = _quotient(frag).where(F.col("e_top").isNotNull())
     nxt = inner.select("id", "zone", F.col("e_top").alias("parent"), "revoked", F.lit(None).cast("long").alias("x"), "e_steps", "e_rev", "e_loop", "exit")
     edge = q.select("id", F.col("w").alias("own_w"), F.col("wr").alias("own_wr"))

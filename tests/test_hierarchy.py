@@ -82,3 +82,23 @@ def test_hot_root(spark):
     rows = [(uid(0), None, 0, "a", "")] + [(uid(i), uid(0), 0, "a", "") for i in range(1, 500)]
     got = hierarchy(make(spark, rows), rows_per_task=50).collect()
     assert len(got) == 499 and {(r.root, r.depth) for r in got} == {(uid(0), 1)}
+
+
+@pytest.mark.parametrize("with_paths", [False, True])
+def test_quotient_of_over_20_000_rows_is_solved_whole(spark, with_paths):
+    n, rng = 45_000, random.Random(3)
+    order = list(range(n))
+    rng.shuffle(order)
+    parents = {order[0]: None} | {order[k]: order[max(0, k - rng.randint(1, 2000))] for k in range(1, n)}
+    circle = {n + k: n + (k + 1) % 3 for k in range(3)}
+    rows = rows_of(parents | circle, {i for i in range(n) if rng.random() < 0.2}, rng)
+    got = hierarchy(make(spark, rows), with_paths=with_paths).collect()
+    flags = {i: r for i, _, r, *_ in rows}
+    depth, rev = {uid(order[0]): 0}, {uid(order[0]): flags[uid(order[0])]}
+    for k in range(1, n):
+        i, p = uid(order[k]), uid(parents[order[k]])
+        depth[i], rev[i] = depth[p] + 1, rev[p] + flags[i]
+    want = {(i, uid(order[0]), d, rev[i]) for i, d in depth.items() if d} | {(uid(i), uid(n), -1, -1) for i in circle}
+    assert len(got) == len(want) and {(r.id, r.root, r.depth, r.n_revoked) for r in got} == want
+    if with_paths:
+        assert all(r.path[-1] == r.root and len(r.path) == r.depth + 1 for r in got if not r.cyclic)
