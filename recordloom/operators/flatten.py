@@ -5,8 +5,10 @@ value a state: a scalar has the state of its type, a list the state of the set
 of its elements' states, an object the state of its sorted (key, state) pairs.
 The state of an object is its structural variant. Objects at the same place
 (the pointer with list positions taken out) form a supertype; its common keys
-are those every variant there has. Each variant is routed to its own typed
-subtype table, every row of which keeps record, pointer and parent pointer.
+are those every variant there has. Each variant, the root's too, is routed to its
+own typed subtype table; lists and their scalar elements go to typed element
+tables. Every row keeps record, pointer and parent pointer, so that the records
+(with text that stands for JSON opened) can be rebuilt from the tables.
 
 Reading is one pass in Arrow batches, a record at a time, so neither a large
 record nor a hot namespace needs more than one record's values in memory.
@@ -14,6 +16,8 @@ record nor a hot namespace needs more than one record's values in memory.
 
 from __future__ import annotations
 
+import json
+import sys
 from collections.abc import Iterator
 from typing import Any
 
@@ -129,8 +133,6 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         try:
                             p, u, k, v = walk(root, interned)
                         except RecursionError:
-                            import sys
-
                             sys.setrecursionlimit(1_000_000)
                             p, u, k, v = walk(root, interned)
                         ps += p
@@ -183,50 +185,113 @@ def place(pointer: str = "pointer"):
 
 
 _OBJECTS = "record_id string, field string, pointers array<string>, parents array<int>, variants array<long>, members array<map<string,string>>, types array<map<string,string>>"
+_ELEMENTS = "record_id string, field string, pointers array<string>, parents array<int>, kinds array<string>, texts array<string>"
 
 
-def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Objects with their scalar members as text, for the subtype tables."""
-    import json
-
-    allow_big_numbers()
-    interned: dict = {}
+def _scalar(v: Any) -> str | None:
+    return v if type(v) is str else None if v is None else json.dumps(v)
 
-    def member(v: Any) -> str | None:
-        return v if type(v) is str else None if v is None else json.dumps(v)
 
-    def find(root: Any, pointer: str) -> dict:
-        at = root
-        for step in pointer.split("/")[1:]:
-            at = unwrap(at[int(step)] if type(at) is list else at[step.replace("~1", "/").replace("~0", "~")])
-        return at
+def table_rows(root: Any, interned: dict) -> tuple[list[tuple], list[tuple]]:
+    """(objects, elements) that hold the whole value.
 
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for f, field in enumerate(FIELDS):
-            out: list[tuple] = []
-            for rid, text in zip(ids, batch.column(f + 1).to_pylist()):
-                root = parse(text)
-                if root is NOTHING:
-                    continue
-                p, u, k, v = walk(root, interned)
-                own = [i for i, kind in enumerate(k) if kind == "object"]
-                if own:
-                    scalars = [[(key, x) for key, x in find(root, p[i]).items() if type(x) not in (dict, list) and type(unwrap(x)) not in (dict, list)] for i in own]
-                    out.append((rid, field, [p[i] for i in own], [u[i] for i in own], [v[i] for i in own], [[(key, member(x)) for key, x in o] for o in scalars], [[(key, LEAVES[type(x)]) for key, x in o] for o in scalars]))
-            if out:
-                cols = list(zip(*out))
-                kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.map_(pa.string(), pa.string())), pa.list_(pa.map_(pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["record_id", "field", "pointers", "parents", "variants", "members", "types"])
+    objects: pointer, length of the parent's pointer, variant, [(key, text, type)] of the scalar members.
+    elements: pointer, length of the parent's pointer, type, text; every list, every scalar in a list, and a scalar root.
+    The root has no parent (null).
+    """
+    objects: list[Any] = []
+    elements: list[tuple] = []
+
+    def visit(v: Any, ptr: str, up: int | None, row: bool) -> Any:
+        t = type(v)
+        if t is dict:
+            k = len(objects)
+            objects.append(None)
+            shape, own = [], []
+            for key, x in v.items():
+                x = unwrap(x)
+                if type(x) is dict or type(x) is list:
+                    s = visit(x, f"{ptr}/{_esc(key)}", len(ptr), False)
+                else:
+                    s = LEAVES[type(x)]
+                    own.append((key, _scalar(x), s))
+                shape.append((key, s))
+            shape.sort(key=lambda x: x[0])
+            variant = _state(interned, tuple(shape))
+            objects[k] = (ptr, up, variant, own)
+            return variant
+        if t is list:
+            elements.append((ptr, up, "list", None))
+            inner = len(ptr) if row else up
+            states = {visit(unwrap(x), f"{ptr}/{i}", inner, True) for i, x in enumerate(v)}
+            return _state(interned, ("list", *sorted(map(str, states))))
+        elements.append((ptr, up, LEAVES[t], _scalar(v)))
+        return LEAVES[t]
+
+    visit(root, "", None, True)
+    return objects, elements
+
+
+def _lists(offsets: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _tables(which: int):
+    """Task body: the objects (0) or the elements (1) of every record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allow_big_numbers()
+        interned: dict = {}
+        for batch in batches:
+            for f, field in enumerate(FIELDS):
+                for start in range(0, batch.num_rows, 512):
+                    ids, column = batch.column(0).slice(start, 512), batch.column(f + 1).slice(start, 512)
+                    offsets, rows = [0], []
+                    for text in column.to_pylist():
+                        root = parse(text)
+                        if root is not NOTHING:
+                            try:
+                                rows += table_rows(root, interned)[which]
+                            except RecursionError:
+                                sys.setrecursionlimit(1_000_000)
+                                rows += table_rows(root, interned)[which]
+                        offsets.append(len(rows))
+                    if not rows:
+                        continue
+                    ps, us, x, y = zip(*rows)
+                    head = [ids, pa.array([field] * len(ids), pa.string()), _lists(offsets, strings(list(ps))), _lists(offsets, pa.array(us, pa.int32()))]
+                    if which:
+                        yield pa.RecordBatch.from_arrays([*head, _lists(offsets, pa.array(x, pa.string())), _lists(offsets, strings(list(y)))], ["record_id", "field", "pointers", "parents", "kinds", "texts"])
+                        continue
+                    at = [0]
+                    for own in y:
+                        at.append(at[-1] + len(own))
+                    keys, texts, kinds = (strings([m[i] for own in y for m in own]) for i in range(3))
+                    maps = [_lists(offsets, pa.MapArray.from_arrays(pa.array(at, pa.int32()), keys, v)) for v in (texts, kinds)]
+                    yield pa.RecordBatch.from_arrays([*head, _lists(offsets, pa.array(x, pa.int64())), *maps], ["record_id", "field", "pointers", "parents", "variants", "members", "types"])
+
+    return run
 
 
 def object_rows(records: DataFrame) -> DataFrame:
-    """Every nested object: record_id, field, pointer, parent_pointer, place, variant, members (its scalars as text), types (their types)."""
-    rows = one_delivery(records, *FIELDS).mapInArrow(_objects, _OBJECTS)
+    """Every object, the root (pointer '', parent null) included: record_id, field, pointer, parent_pointer, place, variant, members (its scalars as text), types (their types)."""
+    rows = one_delivery(records, *FIELDS).mapInArrow(_tables(0), _OBJECTS)
     each = rows.select("record_id", "field", F.explode(F.arrays_zip("pointers", "parents", "variants", "members", "types")).alias("n"))
     return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.variants").alias("variant"), F.col("n.members").alias("members"), F.col("n.types").alias("types")).withColumn("place", place())
 
 
+def element_rows(records: DataFrame) -> DataFrame:
+    """What the object rows do not hold: record_id, field, pointer, parent_pointer, place, kind, value (as text).
+
+    A row is each list (value null; also an empty one, a member, the root),
+    each scalar element of a list, and a scalar that is the whole column.
+    ``parent_pointer`` is as in ``nested_nodes``; null at the root.
+    """
+    rows = one_delivery(records, *FIELDS).mapInArrow(_tables(1), _ELEMENTS)
+    each = rows.select("record_id", "field", F.explode(F.arrays_zip("pointers", "parents", "kinds", "texts")).alias("n"))
+    return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.kinds").alias("kind"), F.col("n.texts").alias("value")).withColumn("place", place())
+
+
 def variant_catalog(objects: DataFrame) -> DataFrame:
     """field, place, variant, n_objects, types, keys, common_keys: the supertypes and their variants.
 
@@ -242,16 +307,18 @@ def variant_catalog(objects: DataFrame) -> DataFrame:
 
 
 def write_variant_tables(records: DataFrame, path: str) -> None:
-    """The flat tables on disk: ``catalog`` and ``subtypes/variant=…``, one typed table a variant.
+    """The flat tables on disk: ``catalog``, ``subtypes/variant=…``, one typed table a variant, and ``elements/kind=…``, one a type of list element.
 
     Rows keep record_id, field, pointer, parent_pointer (the link to the row
-    they hang from) and their own scalar members.
+    they hang from) and their own scalar members, or their value. Together they
+    hold every value of the records.
     """
     from recordloom.session import materialize
 
     objects = materialize(object_rows(records), "objects")
     variant_catalog(objects).write.mode("overwrite").parquet(f"{path}/catalog")
     objects.write.mode("overwrite").partitionBy("variant").parquet(f"{path}/subtypes")
+    element_rows(records).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/elements")
 
 
 # Column types of the automaton's leaves; whole numbers of any length a JSON text may hold fit a decimal or stay in ``members``.
@@ -270,3 +337,9 @@ def subtype_table(path: str, spark, variant: int) -> DataFrame:
     links = ["record_id", "field", "pointer", "parent_pointer"]
     cols = [F.col("members")[F.lit(k)].try_cast(_COLUMNS[t] if t != "null" else "string").alias(f"{k}_" if k in links else k) for k, t in sorted(types.items())]
     return rows.select(*links, *cols)
+
+
+def element_table(path: str, spark, kind: str) -> DataFrame:
+    """The elements of one type: record_id, field, pointer, parent_pointer and the typed value (lists and nulls: null)."""
+    rows = spark.read.parquet(f"{path}/elements").where(F.col("kind") == kind)
+    return rows.select("record_id", "field", "pointer", "parent_pointer", F.col("value").try_cast(_COLUMNS.get(kind, "void").replace("void", "string")).alias("value"))

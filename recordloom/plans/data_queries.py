@@ -52,6 +52,10 @@ def p4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("record_id", "field", "pointer", "parent_pointer", "place", "variant", F.to_json("members").alias("members"))
 
 
+def p4_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatten.element_rows(table(spark, sf_dir, "records")).select("record_id", "field", "pointer", "parent_pointer", "place", "kind", "value")
+
+
 def _feature_store(spark: SparkSession, sf_dir: str) -> tuple[features.FeatureStore, DataFrame]:
     events = table(spark, sf_dir, "audit_events")
     store = features.FeatureStore(spark)
@@ -77,7 +81,7 @@ def p5_features_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merged(events, 1_735_689_600, 1_751_328_000)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_report, p4_found, p4_variants, p4_objects, p5_features, p5_features_long, p5_features_window)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_report, p4_found, p4_variants, p4_objects, p4_elements, p5_features, p5_features_long, p5_features_window)}
 
 _NODES = (
     f"WITH RECURSIVE raw AS (SELECT {uuid_sql('id')} AS id, nullif({uuid_sql('supersedes')}, '00000000-0000-0000-0000-000000000000') AS parent, coalesce(revoked, 0) = 1 AS revoked FROM records), "
