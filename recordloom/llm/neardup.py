@@ -25,6 +25,7 @@ word; what remains uneven is split by AQE's skew join. No bucket is capped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -45,7 +46,7 @@ OVERLAP = 70
 #: Fine segments of the fingerprint whose words are counted; bounds the broadcast (8 bytes each).
 SEGMENTS = 1 << 18
 COARSE, LEVELS = 64, 4
-#: A class of copies is listed pair by pair up to this size; a larger one as pairs with its representative.
+#: Copies of one payload are listed pair by pair up to so many; more of them as pairs with their smallest id.
 COPIES_IN_FULL = 100
 _EDGE = regex.compile(r"^[^\p{Alphabetic}\p{N}]+|[^\p{Alphabetic}\p{N}]+$")
 _SIGN = np.uint64(1 << 63)
@@ -70,6 +71,47 @@ def text_values(value: Any, out: list[str]) -> list[str]:
     return out
 
 
+def open_up(root: Any) -> None:
+    """Strings that stand for JSON become, in place, what they stand for."""
+    todo = [root]
+    while todo:
+        v = todo.pop()
+        for k, x in v.items() if type(v) is dict else enumerate(v) if type(v) is list else ():
+            if type(x) is str:
+                w = unwrap(x)
+                if type(w) is str:
+                    continue
+                v[k] = x = w
+            if type(x) is dict or type(x) is list:
+                todo.append(x)
+
+
+def canonical(root: Any) -> str:
+    """One text for each opened JSON value: sorted keys, no spaces, everything escaped the same way."""
+    try:
+        return json.dumps(root, sort_keys=True, separators=(",", ":"))
+    except RecursionError:  # nesting the C encoder refuses: the same text without recursion
+        out: list[str] = []
+        todo: list[tuple[bool, Any]] = [(False, root)]
+        while todo:
+            raw, v = todo.pop()
+            if raw:
+                out.append(v)
+            elif type(v) is dict:
+                todo.append((True, "}"))
+                for i, k in reversed(list(enumerate(sorted(v)))):
+                    todo += [(False, v[k]), (True, ("," if i else "") + json.dumps(k) + ":")]
+                out.append("{")
+            elif type(v) is list:
+                todo.append((True, "]"))
+                for i in range(len(v) - 1, -1, -1):
+                    todo += [(False, v[i]), (True, "," if i else "")]
+                out.append("[")
+            else:
+                out.append(json.dumps(v))
+        return "".join(out)
+
+
 def word(raw: str) -> str | None:
     w = _EDGE.sub("", raw).lower()
     return w if len(w.encode("utf-8", "surrogatepass")) > 2 else None
@@ -94,11 +136,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         for start in range(0, b.num_rows, 2048):
             part = b.slice(start, 2048)
-            offsets, flat, digests, keep = [0], [], [], []
+            offsets, flat, digests, texts, keep = [0], [], [], [], []
             for row, text in enumerate(part.column(2).to_pylist()):
                 root = parse(text)
                 if root is NOTHING:
                     continue
+                open_up(root)
                 found = set()
                 for raw in set(" ".join(text_values(root, [])).split()):
                     if raw in cache:
@@ -117,12 +160,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     flat.append(arr)
                     offsets.append(offsets[-1] + len(arr))
                     digests.append(xxhash.xxh3_128_digest(arr.tobytes()))
+                    texts.append(xxhash.xxh3_128_digest(canonical(root).encode()))
                     keep.append(row)
             if keep:
                 at = pa.array(keep)
                 words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat)))
                 n = pa.array(np.diff(offsets).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(digests, pa.binary()), n, words], ["id", "scope", "digest", "n", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(digests, pa.binary()), pa.array(texts, pa.binary()), n, words], ["id", "scope", "digest", "text", "n", "words"])
 
 
 def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +259,13 @@ def _grid(counts: Any):
 
 
 def word_sets(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): classes c, scope_key, n, words of equal word sets; members record_id, c."""
+    """(classes, members): classes c, scope_key, n, words of equal word sets; members record_id, c, text (the payload's digest)."""
     source = records.where(F.col("namespace").isNotNull() & F.col("type_name").isNotNull()).select(canonical_uuid(F.col("id")).alias("id"), F.to_json(F.struct("namespace", "type_name")).alias("scope"), "payload_json").where(F.col("id").isNotNull())
-    rows = materialize(source.mapInArrow(_fingerprints, "id string, scope string, digest binary, n int, words array<long>"), "fingerprints")
-    members = rows.groupBy("id").agg(F.max(F.struct("n", "scope", "digest")).alias("m")).select(F.col("id").alias("record_id"), "m.scope", "m.digest")
+    rows = materialize(source.mapInArrow(_fingerprints, "id string, scope string, digest binary, text binary, n int, words array<long>"), "fingerprints")
+    members = rows.groupBy("id").agg(F.max(F.struct("n", "scope", "digest", "text")).alias("m")).select(F.col("id").alias("record_id"), "m.scope", "m.digest", "m.text")
     classes = rows.groupBy("scope", "digest").agg(F.first("n").alias("n"), F.first("words").alias("words"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), F.xxhash64("scope").alias("scope_key"), "n", "words", "scope", "digest"), "classes")
-    members = materialize(members.join(classes.select("scope", "digest", "c"), ["scope", "digest"]).select("record_id", "c"), "members")
+    members = materialize(members.join(classes.select("scope", "digest", "c"), ["scope", "digest"]).select("record_id", "c", "text"), "members")
     return classes, members
 
 
@@ -259,22 +303,37 @@ def near_duplicate_pairs(records: DataFrame) -> DataFrame:
     namespace or type_name is null have no partners; an empty table gives no
     rows; whole payloads are read, however long. Further columns are ignored.
 
-    Copies (equal word sets) are expanded into all their pairs up to
-    COPIES_IN_FULL records a class. A larger class is given by pairs of its
-    smallest id with each of the others, and its links to other classes by that
-    id alone: as many rows as members, no link between different texts lost.
+    All pairs of different payloads are listed, also those of one word set.
+    Equal payloads (as JSON: whatever the spacing, escapes and order of keys)
+    are listed pair by pair up to COPIES_IN_FULL records; more of them as pairs
+    of their smallest id with each of the others, and their links to other
+    payloads by that id alone. ``near_duplicate_links`` and
+    ``near_duplicate_classes`` together say every pair there is.
     """
     classes, members = word_sets(records)
     links = materialize(class_links(classes), "links")
-    sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("copies"), F.min("record_id").alias("rep"))
-    told = materialize(members.join(sizes, "c").where((F.col("copies") <= COPIES_IN_FULL) | (F.col("record_id") == F.col("rep"))).select("c", "record_id"), "told")
-    big = members.join(sizes.where(F.col("copies") > COPIES_IN_FULL), "c").where(F.col("record_id") != F.col("rep")).select(F.col("rep").alias("p"), F.col("record_id").alias("q"), F.lit(100).alias("overlap"))
+    texts = members.groupBy("c", "text").agg(F.count(F.lit(1)).alias("copies"), F.min("record_id").alias("rep"))
+    marked = members.join(texts, ["c", "text"])
+    many = F.col("copies") > COPIES_IN_FULL
+    told = materialize(marked.where(~many | (F.col("record_id") == F.col("rep"))).select("c", "record_id"), "told")
+    big = marked.where(many & (F.col("record_id") != F.col("rep"))).select(F.col("rep").alias("p"), F.col("record_id").alias("q"), F.lit(100).alias("overlap"))
     between = links.join(told.select(F.col("c").alias("a"), F.col("record_id").alias("p")), "a").join(told.select(F.col("c").alias("b"), F.col("record_id").alias("q")), "b").select("p", "q", "overlap")
-    twin = told.join(sizes.where((F.col("copies") > 1) & (F.col("copies") <= COPIES_IN_FULL)).select("c"), "c")
+    twin = told.join(told.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("c"), "c")
     within = twin.select("c", F.col("record_id").alias("p")).join(twin.select("c", F.col("record_id").alias("q")), "c").where(F.col("p") < F.col("q")).select("p", "q", F.lit(100).alias("overlap"))
     return between.unionByName(within).unionByName(big).select(F.least("p", "q").alias("record_a"), F.greatest("p", "q").alias("record_b"), "overlap")
 
 
+def near_duplicate_links(records: DataFrame) -> DataFrame:
+    """class_a, class_b, overlap: linked classes of ``near_duplicate_classes``, the smaller id first.
+
+    Two records are a pair if and only if their classes are the same or linked.
+    """
+    classes, members = word_sets(records)
+    names = materialize(members.groupBy("c").agg(F.min("record_id").alias("name")), "names")
+    named = class_links(classes).join(names.select(F.col("c").alias("a"), F.col("name").alias("p")), "a").join(names.select(F.col("c").alias("b"), F.col("name").alias("q")), "b")
+    return named.select(F.least("p", "q").alias("class_a"), F.greatest("p", "q").alias("class_b"), "overlap")
+
+
 def near_duplicate_classes(records: DataFrame) -> DataFrame:
     """record_id, class_id, n_copies, n_links: every record with words, its class and the class's links to other classes."""
     classes, members = word_sets(records)

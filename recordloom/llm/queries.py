@@ -18,6 +18,10 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "records"))
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_links(table(spark, sf_dir, "records"))
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_profiles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "profile_budgets"))
 
@@ -39,7 +43,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p6_pack, p6_report, p7_mix, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p1_links, p6_pack, p6_report, p7_mix, p7_shares, p8_found)}
 _EDGE = "[^\\p{L}\\p{N}]+"
 SQL: dict[str, str] = {
     "p1_found": JSON_WALK

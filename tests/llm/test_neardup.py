@@ -106,3 +106,27 @@ def test_size_cells_reach_one_further():
     cell = lambda n: np.searchsorted(b, n, side="right") - 1
     for n in [*range(1, 5000), 99_999, 10**6]:
         assert cell(n * 100 // nd.OVERLAP) <= cell(n) + 1 and nd.need(n) * 100 >= 70 * n > (nd.need(n) - 1) * 100
+
+
+def test_reordered_payloads_are_no_copies(spark):
+    rng, ten = random.Random(6), [f"word{i}" for i in range(10)]
+    texts = set()
+    while len(texts) < 150:
+        rng.shuffle(ten)
+        texts.add(" ".join(ten))
+    rows = [(uid(i), "a", "t", json.dumps([t]), "") for i, t in enumerate(sorted(texts))] + [(uid(200), "a", "t", json.dumps([" ".join(sorted(ten)[:9])]), "")]
+    got = {(r.record_a, r.record_b): r.overlap for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert len(got) == 11_175 + 150 and got == truth(rows)
+    assert [tuple(r) for r in nd.near_duplicate_links(frame(spark, rows)).collect()] == [(uid(0), uid(200), 90)]
+
+
+def test_copies_are_equal_as_json(spark):
+    texts = ['{"a": "one two", "b": ["é", 1]}', ' {"b":["\\u00e9",1],"a":"one two"}', json.dumps('{"a": "one two", "b": ["é", 1]}')]
+    values = [nd.parse(t) for t in texts] + [{"a": "one two", "b": '["é", 1]'}]
+    for v in values:
+        nd.open_up(v)
+    assert len({nd.canonical(v) for v in values}) == 1 != len({nd.canonical(v) for v in (["a", "b"], ["b", "a"])})
+    flat = deep = {"b": [1, "x", {}], "a": [[], None]}
+    for _ in range(200_000):
+        deep = [deep, {"k": 1}]
+    assert nd.canonical(deep).startswith("[" * 200_000 + nd.canonical(flat) + ',{"k":1}],')
