@@ -254,6 +254,19 @@ def fill_budget(candidates: list[dict], budget: Budget, render: Callable[[list[d
     return picked, left
 
 
+def bundle_rows(candidates: list[dict], budget: Budget, render: Callable[[list[dict]], str], count: Callable[[str], int]) -> list[tuple]:
+    """(position, id, tier, tokens, outcome): the picked records, then those left out with their reason.
+
+    If the required records do not fit there is no bundle, only one row: no
+    position, id or tokens, tier required, outcome required_overflow.
+    """
+    try:
+        picked, left = fill_budget(candidates, budget, render, count)
+    except RequiredOverflow:
+        return [(None, None, "required", None, "required_overflow")]
+    return [(i, p["id"], p["tier"], p["tokens"], "picked") for i, p in enumerate(picked)] + [(None, i, None, None, why) for i, why in left]
+
+
 def bundle_digest(picked: list[dict]) -> str:
     import hashlib
 

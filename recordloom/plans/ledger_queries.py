@@ -394,10 +394,9 @@ def context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bundle under a profile's budget; words stand for tokens here, the count is a parameter."""
-    page = [r.asDict() for r in context.page(_classified(spark, sf_dir).where(F.col("tier") != "required")).select("id", "tier", "payload", "record_sha256").toLocalIterator()]
-    picked, left = context.fill_budget(page, context.Budget(2048, 768, 512, 256, 64, 30), lambda rs: "\n\n".join(r["payload"] or "" for r in rs), lambda t: len(t.split()))
-    rows = [(i, p["id"], p["tier"], p["tokens"], "picked") for i, p in enumerate(picked)] + [(None, i, None, None, why) for i, why in left]
+    """The bundle under a profile's budget, required records first, or one row that says they overflow it; words stand for tokens here, the count is a parameter."""
+    page = [r.asDict() for r in context.page(_classified(spark, sf_dir)).select("id", "tier", "payload", "record_sha256").toLocalIterator()]
+    rows = context.bundle_rows(page, context.Budget(2048, 768, 512, 256, 64, 30), lambda rs: "\n\n".join(r["payload"] or "" for r in rs), lambda t: len(t.split()))
     return spark.createDataFrame(rows, "position int, id string, tier string, tokens int, outcome string")
 
 

@@ -64,3 +64,21 @@ def test_gate_order_and_classes(spark):
 def test_bundle_digest_depends_on_order_and_content():
     a, b = {"id": "1", "record_sha256": "x"}, {"id": "2", "record_sha256": None}
     assert len({cx.bundle_digest(p) for p in ([a, b], [b, a], [a])}) == 3
+
+
+def classified(spark, monkeypatch, rows):
+    from recordloom.plans import ledger_queries
+
+    schema = "id string, tier string, source string, search_rank int, rank double, score int, observed_at string, payload string, record_sha256 string"
+    df = spark.createDataFrame([(i, t, None, None, None, 1, None, p, None) for i, t, p in rows], schema)
+    monkeypatch.setattr(ledger_queries, "_classified", lambda *_: df)
+    return ledger_queries
+
+
+def test_bundle_query_takes_required_records_first_or_says_overflow(spark, monkeypatch):
+    rows = [("a", "relevant", "one two"), ("b", "core", "three"), ("c", "required", "four five six"), ("d", None, "seven")]
+    got = classified(spark, monkeypatch, rows).context_bundle(spark, "").collect()
+    assert [tuple(r) for r in got] == [(0, "c", "required", 3, "picked"), (1, "b", "core", 1, "picked"), (2, "a", "relevant", 2, "picked")]
+    overflow = [(None, None, "required", None, "required_overflow")]
+    for more in ([("e", "required", "word " * 800)], [(f"r{i:02d}", "required", "x") for i in range(30)]):
+        assert [tuple(r) for r in classified(spark, monkeypatch, rows + more).context_bundle(spark, "").collect()] == overflow
