@@ -3,7 +3,7 @@
 Gate and classification are column expressions over the ledger view; the
 selectors are a handful of small definitions, compiled into the plan. Only the
 budget is sequential (the cost of a record depends on what was picked before),
-and it runs over an ordered page of candidates of at most MOST_CANDIDATES.
+and it runs over the ordered candidates; more than MOST_CANDIDATES are an error.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import instant
 from recordloom.functions.jsonpath import MISSING, pointer
 from recordloom.functions.jsontext import NOTHING, parse
+from recordloom.session import materialize
 
 MOST_CANDIDATES = 10_000
 #: A tag that withdraws a record ends in this, whatever stands before the colon.
@@ -185,8 +186,19 @@ def candidate_order() -> list[Column]:
     return [tier.asc(), source.asc(), F.col("search_rank").asc_nulls_first(), F.col("rank").desc_nulls_last(), unranked_score.desc(), F.col("observed_at").desc_nulls_last(), F.col("id").asc()]
 
 
-def page(candidates: DataFrame, limit: int = MOST_CANDIDATES) -> DataFrame:
-    return candidates.where(F.col("tier").isNotNull()).orderBy(*candidate_order()).limit(limit)
+def page(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """All candidates in order; the first ``limit`` if one is asked for."""
+    every = candidates.where(F.col("tier").isNotNull()).orderBy(*candidate_order())
+    return every if limit is None else every.limit(limit)
+
+
+def numbered(candidates: DataFrame, *columns: str) -> DataFrame:
+    """position (from 1) and ``columns`` of every candidate: rank within the sort's partitions plus the partitions' offsets."""
+    ordered = materialize(page(candidates).select(F.monotonically_increasing_id().alias("m"), *columns), "candidates").withColumn("part", F.shiftright("m", 33))
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a partition
+    at = F.col("base") + (F.col("m") - F.shiftleft("part", 33)) + 1
+    return ordered.join(F.broadcast(offsets), "part").select(at.cast("int").alias("position"), *columns)
 
 
 def reason_counts(gated: DataFrame) -> DataFrame:

@@ -388,14 +388,14 @@ def tier_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEW + _CLASS_SQL + "SELECT CAST(row_number() OVER (ORDER BY CASE tier WHEN 'required' THEN 0 WHEN 'core' THEN 1 ELSE 2 END, rank DESC NULLS LAST, observed_at DESC NULLS LAST, id) AS INT) AS position, id, tier FROM c WHERE tier IS NOT NULL QUALIFY position <= 10000")
 def context_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = context.page(_classified(spark, sf_dir))
-    return page.select(F.row_number().over(Window.orderBy(*context.candidate_order())).alias("position"), "id", "tier")  # over a page of at most 10,000 rows
+    """Every candidate in order; the SQL stops at 10,000, so beyond that it says less."""
+    return context.numbered(_classified(spark, sf_dir), "id", "tier")
 
 
 @query()
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bundle under a profile's budget, required records first, or one row that says they overflow it; words stand for tokens here, the count is a parameter."""
-    page = [r.asDict() for r in context.page(_classified(spark, sf_dir)).select("id", "tier", "payload", "record_sha256").toLocalIterator()]
+    """The bundle under a profile's budget, required records first, or one row that says they overflow it; words stand for tokens here, the count is a parameter. More than MOST_CANDIDATES candidates raise."""
+    page = [r.asDict() for r in context.page(_classified(spark, sf_dir), context.MOST_CANDIDATES + 1).select("id", "tier", "payload", "record_sha256").toLocalIterator()]
     rows = context.bundle_rows(page, context.Budget(2048, 768, 512, 256, 64, 30), lambda rs: "\n\n".join(r["payload"] or "" for r in rs), lambda t: len(t.split()))
     return spark.createDataFrame(rows, "position int, id string, tier string, tokens int, outcome string")
 

@@ -82,3 +82,14 @@ def test_bundle_query_takes_required_records_first_or_says_overflow(spark, monke
     overflow = [(None, None, "required", None, "required_overflow")]
     for more in ([("e", "required", "word " * 800)], [(f"r{i:02d}", "required", "x") for i in range(30)]):
         assert [tuple(r) for r in classified(spark, monkeypatch, rows + more).context_bundle(spark, "").collect()] == overflow
+
+
+def test_no_candidate_beyond_the_page_is_lost(spark, monkeypatch):
+    n = cx.MOST_CANDIDATES + 50
+    rows = [(f"{i * 7919 % n:06d}", "core" if i % 3 else "required", "x") for i in range(n)] + [("none", None, "x")]
+    queries = classified(spark, monkeypatch, rows)
+    want = sorted((t != "required", i) for i, t, _ in rows if t)
+    got = sorted(tuple(r) for r in queries.context_order(spark, "").collect())
+    assert got == [(k + 1, i, "core" if core else "required") for k, (core, i) in enumerate(want)]
+    with pytest.raises(ValueError, match="at most"):
+        queries.context_bundle(spark, "")
