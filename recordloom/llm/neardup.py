@@ -1,6 +1,6 @@
 """Near-duplicate records with small edits (problem 1).
 
-Method: segment-popcount embedding with a grid range-join.
+Method: prefix filter on word hashes, ordered and filtered by a segment-popcount embedding.
 
 * A payload's fingerprint has one bit for each distinct word, at the place its
   64-bit hash names. ``SEGMENTS`` equal segments of that space are counted over
@@ -9,12 +9,11 @@ Method: segment-popcount embedding with a grid range-join.
   kept as thermometer codes (a count c of at most 4 sets c of 4 bits), so that
   bit_count(xor) of two codes is their Manhattan distance. Counts differ by no
   more than the sets do: |A ^ B| >= L1(A, B). The distance is a lower bound.
-* Grid: a cell is (namespace and type, cell of the set size, occupied fine
-  place). Size cells grow by 10/7, so a partner at overlap >= 0.7 is in the own
-  or the next cell: the range-join probes those two. Of the occupied places,
-  rarest first, a record takes only as many as it may lose at most, plus one;
+* Grid: a cell is (namespace and type, cell of the set size, word hash). Size cells grow by 10/7, so a partner at overlap >= 0.7 is in the own
+  or the next cell: the join probes those two. Of its words, rarest fine
+  segment first, a record takes only as many as it may lose at most, plus one;
   two records within range must then meet in a cell (they share ``need`` words,
-  and fewer than that many places stay unprobed on either side).
+  and fewer than that many words stay unprobed on either side).
 * Pairs that meet and whose Manhattan distance does not exceed what the overlap
   allows are verified on the whole word sets, exactly.
 
