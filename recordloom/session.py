@@ -42,9 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
         return jvm_dir.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="recordloom-")
-    spark.conf.set(CHECKPOINT_KEY, f"file://{own}")
-    return f"file://{own}"
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='recordloom-')}")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -53,22 +52,52 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    fs, where = _at(spark, path)
+    return fs.exists(where)
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    fs, where = _at(spark, path)
+    return fs.getFileStatus(where).isFile()
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename on the shared file system; the target must not exist."""
+    fs, to = _at(spark, target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(_at(spark, source)[1], to):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file, whole or not at all; False if it is there already."""
+    fs, where = _at(spark, path)
+    if fs.exists(where):
+        return False
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    out = fs.create(_at(spark, part)[1])
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(_at(spark, part)[1], where):
+        delete_path(spark, part)
+        return False
+    return True
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """A small text file, from wherever the session can read."""
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -76,7 +105,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, so later stages survive lost executors without
     recomputing what came before; unlike a cached or locally checkpointed
-    frame nothing of it lives in an executor. Removed when Python ends.
+    frame nothing of it lives in an executor. Removed by ``release``, or when
+    Python ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -86,13 +116,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 @atexit.register
 def _drop_made() -> None:
-    for spark, path in _made:
+    while _made:
+        spark, path = _made.pop()
         try:
             delete_path(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
             return
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far: for long drivers, once the results made from them are stored."""
+    mine = [m for m in _made if m[0] is spark]
+    _made[:] = [m for m in _made if m[0] is not spark]
+    for _, path in mine:
+        delete_path(spark, path)
+
+
+def spread(df: DataFrame, rows: int, *keys: str, rows_per_task: int = 1_000_000) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many tasks as its rows need, where the session's shuffle partitions are too few."""
+    tasks = -(-rows // rows_per_task)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def task_count(rows: int, spark: SparkSession, rows_per_task: int, least_rows: int = 20_000) -> int:
     """Tasks so that none gets over ``rows_per_task`` rows, yet all cores work."""
     need = -(-rows // rows_per_task)

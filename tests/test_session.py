@@ -6,11 +6,10 @@ from recordloom import session
 
 
 def fake(master, conf=None, jvm_dir=None):
-    conf = conf or {}
-    held = dict(conf)
+    held = {"dir": jvm_dir}
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda k, d=None: held.get(k, d), set=held.__setitem__),
-        sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: jvm_dir),
+        conf=SimpleNamespace(get=(conf or {}).get),
+        sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: held["dir"], setCheckpointDir=lambda d: held.update(dir=d)),
     )
 
 
@@ -27,3 +26,19 @@ def test_written_tables_and_task_counts(spark):
     df = session.materialize(spark.range(10), "t")
     assert df.count() == 10 and session.path_exists(spark, session.shared_dir(spark))
     assert session.task_count(0, spark, 100) == 1 and session.task_count(1000, spark, 100) == 10
+
+
+def test_small_files_and_release(spark):
+    at = session.new_path(spark, "texts")
+    assert session.put_text(spark, f"{at}/a.txt", "one\ntwo") and not session.put_text(spark, f"{at}/a.txt", "other")
+    assert session.get_text(spark, f"{at}/a.txt") == "one\ntwo"
+    session.move_path(spark, f"{at}/a.txt", f"{at}/deep/b.txt")
+    assert session.path_exists(spark, f"{at}/deep/b.txt") and not session.path_exists(spark, f"{at}/a.txt")
+    session.release(spark)
+    assert not session.path_exists(spark, at)
+
+
+def test_spread_raises_the_tasks_with_the_rows(spark):
+    df = spark.range(100)
+    assert session.spread(df, 100, "id") is df
+    assert session.spread(df, 100, "id", rows_per_task=10).rdd.getNumPartitions() == 10
