@@ -1,25 +1,31 @@
 """Near-duplicate records with small edits (problem 1).
 
-Method: prefix filter on word hashes, ordered and filtered by a segment-popcount embedding.
+Method: segment-popcount embedding, grid range-join under the Manhattan distance, exact check.
 
 * A payload's fingerprint has one bit for each distinct word, at the place its
-  64-bit hash names. ``SEGMENTS`` equal segments of that space are counted over
-  all records; a fine segment's count says how rare its words are.
-* The embedding is the fingerprint's population count in 64 coarse segments,
-  kept as thermometer codes (a count c of at most 4 sets c of 4 bits), so that
-  bit_count(xor) of two codes is their Manhattan distance. Counts differ by no
-  more than the sets do: |A ^ B| >= L1(A, B). The distance is a lower bound.
-* Grid: a cell is (namespace and type, cell of the set size, word hash). Size cells grow by 10/7, so a partner at overlap >= 0.7 is in the own
-  or the next cell: the join probes those two. Of its words, rarest fine
-  segment first, a record takes only as many as it may lose at most, plus one;
-  two records within range must then meet in a cell (they share ``need`` words,
-  and fewer than that many words stay unprobed on either side).
-* Pairs that meet and whose Manhattan distance does not exceed what the overlap
-  allows are verified on the whole word sets, exactly.
+  64-bit hash names. Cut into equal segments, the bits of each are counted: the
+  embedding. Halving the segments gives the embedding at the next level, down
+  to a single segment, the set's size. At every level counts differ by no more
+  than the sets do: L1(A, B) <= |A ^ B|, so the distance is a lower bound.
+* Grid: the axes are namespace and type, the size (one segment, cells growing
+  by 10/7, so that the radius reaches the next cell and no further: a range
+  join on two neighbouring cells) and the occupied places of the finest level
+  (2**PLACE_BITS segments). A record is put at only as many places, those of
+  the least populated segments first, as it may differ in at most, plus one:
+  two records within the radius must then share a place. The cell is hence a
+  prefix filter in popcount space. Sums over a few large segments would be the
+  plainer axes, but the radius (up to 0.6 n) exceeds their spread (about the
+  square root of n) at every size, so they part nothing.
+* Pairs that meet are held against the bound twice: at 64 segments, carried in
+  the grid row (32 bytes), and for sets of over about 100 words at a level that
+  grows with the size cell (``level``), so that counters never fill up.
+* What is left is verified on the whole word sets, exactly.
 
 Records with equal word sets are one class; only one of them is joined.
-Frequent words end up last in every order, so no cell grows with a frequent
+Populated segments end up last in every order, so no cell grows with a frequent
 word; what remains uneven is split by AQE's skew join. No bucket is capped.
+Every join of growing sides is a sort-merge join by hint: Spark cannot price
+what ``mapInArrow`` gives out, and must not broadcast it.
 """
 
 from __future__ import annotations
@@ -38,14 +44,18 @@ from pyspark.sql import functions as F
 from recordloom.functions.arrow import strings
 from recordloom.functions.ids import canonical_uuid
 from recordloom.functions.jsontext import NOTHING, allow_big_numbers, parse, unwrap
-from recordloom.session import materialize
+from recordloom.session import materialize, spread
 
 #: Overlap in percent, and the same as a fraction for whole-number arithmetic.
 OVERLAP = 70
-#: Fine segments of the fingerprint whose words are counted; bounds the broadcast (8 bytes each).
-SEGMENTS = 1 << 18
+#: Segments whose population is counted over all records, to tell rare places from frequent ones; bounds the broadcast (8 bytes each).
+COUNT_BITS = 18
+SEGMENTS = 1 << COUNT_BITS
+#: Finest level of the embedding: a grid place is one of so many segments.
+PLACE_BITS = 40
+#: Segments of the code in each grid row, and the highest count a thermometer code can show.
 COARSE, LEVELS = 64, 4
-#: Copies of one payload are listed pair by pair up to so many; more of them as pairs with their smallest id.
+#: Default of ``copies_in_full``.
 COPIES_IN_FULL = 100
 _EDGE = regex.compile(r"^[^\p{Alphabetic}\p{N}]+|[^\p{Alphabetic}\p{N}]+$")
 _SIGN = np.uint64(1 << 63)
@@ -173,7 +183,7 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         if b.num_rows:
             h = b.column(0).flatten().to_numpy().view(np.uint64)
-            total += np.bincount((h & np.uint64(SEGMENTS - 1)).astype(np.int64), minlength=SEGMENTS)
+            total += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=SEGMENTS)
     cut = SEGMENTS // 256
     if total.any():
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array([total[i * cut : (i + 1) * cut].tobytes() for i in range(256)], pa.binary())], ["at", "counts"])
@@ -199,20 +209,45 @@ def segment_counts(words: DataFrame) -> np.ndarray:
     return total
 
 
-def embed(sets: list[np.ndarray]) -> np.ndarray:
-    """Thermometer codes of the coarse population counts: four 64-bit words a set."""
+def level(cell: Any) -> Any:
+    """Segments of the embedding pairs of a size cell are held against: at least one a word, so that counts stay small."""
+    most = size_cells()[np.asarray(cell) + 1] - 1
+    return np.where(most <= 2 * COARSE, COARSE, 1 << np.ceil(np.log2(most)).astype(np.int64))
+
+
+def first_deep() -> tuple[int, int]:
+    """The first size cell whose level is above COARSE, and the smallest set that probes it."""
+    cell = int(np.argmax(level(np.arange(60)) > COARSE))
+    return cell, int(size_cells()[cell - 1])
+
+
+def embed(sets: list[np.ndarray], segments: int = COARSE) -> np.ndarray:
+    """Thermometer codes of the population counts: a 64-bit word for each 16 segments."""
     rec = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    return _codes(rec, np.concatenate(sets).view(np.uint64) if sets else np.zeros(0, np.uint64), len(sets))
+    return _codes(rec, np.concatenate(sets).view(np.uint64) if sets else np.zeros(0, np.uint64), len(sets), segments)
 
 
-def _codes(rec: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    coarse = (h >> np.uint64(40)) % np.uint64(COARSE)
-    counts = np.bincount(rec * COARSE + coarse.astype(np.int64), minlength=n * COARSE).reshape(n, COARSE)
+def _codes(rec: np.ndarray, h: np.ndarray, n: int, segments: int = COARSE) -> np.ndarray:
+    at = (h >> np.uint64(65 - segments.bit_length())).astype(np.int64)
+    counts = np.bincount(rec * segments + at, minlength=n * segments).reshape(n, segments)
     code = (np.uint64(1) << np.minimum(counts, LEVELS).astype(np.uint64)) - np.uint64(1)
-    code = code.reshape(n, COARSE // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(LEVELS))
+    code = code.reshape(n, segments // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(LEVELS))
     return np.bitwise_or.reduce(code, axis=2).view(np.int64)
 
 
+def _deep_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: c, n, words -> c, n, cell, the codes at the level of the own size cell and of the next."""
+    bounds = size_cells()
+    for b in batches:
+        for start in range(0, b.num_rows, 256):
+            part = b.slice(start, 256)
+            cell = np.searchsorted(bounds, part.column(1).to_numpy(), side="right") - 1
+            sets = [x.values.to_numpy() for x in part.column(2)]
+            levels = [[int(x) for x in level(cell + step)] for step in (0, 1)]
+            codes = [pa.array([embed([w], k)[0] for w, k in zip(sets, ks)], pa.list_(pa.int64())) for ks in levels]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), *codes], ["c", "n", "cell", "own", "next"])
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One well-mixed 64-bit number of two."""
     with np.errstate(over="ignore"):
@@ -236,17 +271,18 @@ def _grid(counts: Any):
                 h = part.column(3).flatten().to_numpy().view(np.uint64)
                 rec = np.repeat(np.arange(m), n)
                 fp = _codes(rec, h, m)
-                order = np.lexsort((h, rarity[(h & np.uint64(SEGMENTS - 1)).astype(np.int64)], rec))
-                h, rec = h[order], rec[order]
+                seg = h >> np.uint64(64 - PLACE_BITS)
+                order = np.lexsort((seg, rarity[(h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], rec))
+                seg, rec = seg[order], rec[order]
                 first = np.concatenate(([0], np.cumsum(n)[:-1]))
-                place = np.arange(len(h)) - first[rec]
+                place = np.arange(len(seg)) - first[rec]
                 cell = np.searchsorted(bounds, n, side="right") - 1
                 own = n - need(n) + 1
                 ahead = n - need(bounds[cell + 1]) + 1
                 scope = part.column(1).to_numpy().view(np.uint64)
                 for step, reach in ((0, own), (1, ahead)):
                     take = place < reach[rec]
-                    r, w = rec[take], h[take]
+                    r, w = rec[take], seg[take]
                     if not len(r):
                         continue
                     grid = _mix(_mix(scope[r], (cell[r] + step).astype(np.uint64)), w).view(np.int64)
@@ -264,15 +300,31 @@ def word_sets(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = rows.groupBy("id").agg(F.max(F.struct("n", "scope", "digest", "text")).alias("m")).select(F.col("id").alias("record_id"), "m.scope", "m.digest", "m.text")
     classes = rows.groupBy("scope", "digest").agg(F.first("n").alias("n"), F.first("words").alias("words"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), F.xxhash64("scope").alias("scope_key"), "n", "words", "scope", "digest"), "classes")
-    members = materialize(members.join(classes.select("scope", "digest", "c"), ["scope", "digest"]).select("record_id", "c", "text"), "members")
+    members = materialize(members.join(classes.select("scope", "digest", "c").hint("merge"), ["scope", "digest"]).select("record_id", "c", "text"), "members")
     return classes, members
 
 
+def within_bound(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of ``met`` (a, b, cell of b) whose embeddings at the level of their size are no farther apart than their overlap allows."""
+    cell, least = first_deep()
+    codes = classes.where(F.col("n") >= least).select("c", "n", "words").mapInArrow(_deep_codes, "c long, n int, cell int, own array<long>, next array<long>")
+    codes = materialize(codes, "codes")
+    x = codes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("cell").alias("ca"), F.col("own").alias("oa"), F.col("next").alias("xa"))
+    y = codes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+    both = met.where(F.col("cell") >= cell).join(x.hint("merge"), "a").join(y.hint("merge"), "b")
+    code = F.when(F.col("ca") == F.col("cell"), F.col("oa")).otherwise(F.col("xa"))
+    apart = F.aggregate(F.zip_with(code, F.col("ob"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    near = both.where(apart <= F.col("na") + F.col("nb") - 2 * F.ceil(F.col("nb") * OVERLAP / 100))
+    return met.where(F.col("cell") < cell).select("a", "b").unionByName(near.select("a", "b"))
+
+
 def class_links(classes: DataFrame) -> DataFrame:
     """a, b, overlap: all pairs of classes of one scope with an overlap of OVERLAP or more, each once."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(segment_counts(classes.select("words")))
+    n_places = classes.agg(F.sum("n")).first()[0] or 0
     cells = classes.select("c", "scope_key", "n", "words").mapInArrow(_grid(counts), "grid long, c long, shape long, f0 long, f1 long, f2 long, f3 long")
+    cells = spread(cells, n_places, "grid")  # a record is put at fewer places than it has words
     x, y = cells.alias("x"), cells.alias("y")
     size = lambda side: F.shiftright(f"{side}.shape", 16)
     cell = lambda side: F.shiftright(f"{side}.shape", 8).bitwiseAND(F.lit(255))
@@ -286,15 +338,15 @@ def class_links(classes: DataFrame) -> DataFrame:
         (F.col("x.grid") == F.col("y.grid")) & (cell("y") >= probe("x")) & ((size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.c") < F.col("y.c"))))
         & (size("x") >= least) & (apart <= size("x") + size("y") - 2 * least)
     )
-    met = materialize(x.join(y, close).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "met")
+    met = materialize(x.join(y.hint("merge"), close).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), cell("y").cast("int").alias("cell")).distinct(), "met")
     left = classes.select(F.col("c").alias("a"), F.col("words").alias("wa"), F.col("n").alias("na"), F.col("scope").alias("sa"))
     right = classes.select(F.col("c").alias("b"), F.col("words").alias("wb"), F.col("n").alias("nb"), F.col("scope").alias("sb"))
-    both = met.join(left, "a").join(right, "b").where(F.col("sa") == F.col("sb"))
+    both = within_bound(met, classes).join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.col("sa") == F.col("sb"))
     overlap = F.floor(F.size(F.array_intersect("wa", "wb")) * 100 / F.greatest("na", "nb")).cast("int")
     return both.select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= OVERLAP)
 
 
-def near_duplicate_pairs(records: DataFrame) -> DataFrame:
+def near_duplicate_pairs(records: DataFrame, copies_in_full: int | None = COPIES_IN_FULL) -> DataFrame:
     """record_a, record_b, overlap: records of one namespace and type with an overlap of 70 or more.
 
     record_a is the smaller id; each pair once; a record delivered twice counts
@@ -304,21 +356,22 @@ def near_duplicate_pairs(records: DataFrame) -> DataFrame:
 
     All pairs of different payloads are listed, also those of one word set.
     Equal payloads (as JSON: whatever the spacing, escapes and order of keys)
-    are listed pair by pair up to COPIES_IN_FULL records; more of them as pairs
-    of their smallest id with each of the others, and their links to other
-    payloads by that id alone. ``near_duplicate_links`` and
-    ``near_duplicate_classes`` together say every pair there is.
+    are listed pair by pair up to ``copies_in_full`` records (null: however
+    many; 1: never); more of them as pairs of their smallest id with each of the
+    others, and their links to other payloads by that id alone.
+    ``near_duplicate_links`` and ``near_duplicate_classes`` together say every
+    pair there is, in one form for all classes.
     """
     classes, members = word_sets(records)
     links = materialize(class_links(classes), "links")
     texts = members.groupBy("c", "text").agg(F.count(F.lit(1)).alias("copies"), F.min("record_id").alias("rep"))
-    marked = members.join(texts, ["c", "text"])
-    many = F.col("copies") > COPIES_IN_FULL
+    marked = members.join(texts.hint("merge"), ["c", "text"])
+    many = F.lit(False) if copies_in_full is None else F.col("copies") > copies_in_full
     told = materialize(marked.where(~many | (F.col("record_id") == F.col("rep"))).select("c", "record_id"), "told")
     big = marked.where(many & (F.col("record_id") != F.col("rep"))).select(F.col("rep").alias("p"), F.col("record_id").alias("q"), F.lit(100).alias("overlap"))
-    between = links.join(told.select(F.col("c").alias("a"), F.col("record_id").alias("p")), "a").join(told.select(F.col("c").alias("b"), F.col("record_id").alias("q")), "b").select("p", "q", "overlap")
-    twin = told.join(told.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("c"), "c")
-    within = twin.select("c", F.col("record_id").alias("p")).join(twin.select("c", F.col("record_id").alias("q")), "c").where(F.col("p") < F.col("q")).select("p", "q", F.lit(100).alias("overlap"))
+    between = links.join(told.select(F.col("c").alias("a"), F.col("record_id").alias("p")).hint("merge"), "a").join(told.select(F.col("c").alias("b"), F.col("record_id").alias("q")).hint("merge"), "b").select("p", "q", "overlap")
+    twin = told.join(told.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("c").hint("merge"), "c")
+    within = twin.select("c", F.col("record_id").alias("p")).join(twin.select("c", F.col("record_id").alias("q")).hint("merge"), "c").where(F.col("p") < F.col("q")).select("p", "q", F.lit(100).alias("overlap"))
     return between.unionByName(within).unionByName(big).select(F.least("p", "q").alias("record_a"), F.greatest("p", "q").alias("record_b"), "overlap")
 
 
@@ -329,7 +382,7 @@ def near_duplicate_links(records: DataFrame) -> DataFrame:
     """
     classes, members = word_sets(records)
     names = materialize(members.groupBy("c").agg(F.min("record_id").alias("name")), "names")
-    named = class_links(classes).join(names.select(F.col("c").alias("a"), F.col("name").alias("p")), "a").join(names.select(F.col("c").alias("b"), F.col("name").alias("q")), "b")
+    named = class_links(classes).join(names.select(F.col("c").alias("a"), F.col("name").alias("p")).hint("merge"), "a").join(names.select(F.col("c").alias("b"), F.col("name").alias("q")).hint("merge"), "b")
     return named.select(F.least("p", "q").alias("class_a"), F.greatest("p", "q").alias("class_b"), "overlap")
 
 
@@ -339,4 +392,4 @@ def near_duplicate_classes(records: DataFrame) -> DataFrame:
     links = materialize(class_links(classes), "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
     sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("n_copies"), F.min("record_id").alias("class_id"))
-    return members.join(sizes.join(degree, "c", "left"), "c").select("record_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return members.join(sizes.join(degree.hint("merge"), "c", "left").hint("merge"), "c").select("record_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -82,23 +82,66 @@ def test_nulls_empty_and_long(spark):
     assert nd.near_duplicate_pairs(frame(spark, [])).collect() == []
 
 
-def test_large_classes_of_copies_stay_linear(spark, monkeypatch):
-    monkeypatch.setattr(nd, "COPIES_IN_FULL", 5)
+def test_large_classes_of_copies_stay_linear(spark):
     rows = [(uid(i), "a", "t", '["alpha beta gamma delta"]', "") for i in range(40)] + [(uid(100 + i), "a", "t", '["alpha beta gamma delta extra"]', "") for i in range(2)]
-    got = {(r.record_a, r.record_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    got = {(r.record_a, r.record_b) for r in nd.near_duplicate_pairs(frame(spark, rows), 5).collect()}
     assert got == {(uid(0), uid(i)) for i in range(1, 40)} | {(uid(0), uid(100)), (uid(0), uid(101)), (uid(100), uid(101))}
     cls = {r.record_id: (r.class_id, r.n_copies, r.n_links) for r in nd.near_duplicate_classes(frame(spark, rows)).collect()}
     assert cls[uid(7)] == (uid(0), 40, 1) and cls[uid(101)] == (uid(100), 2, 1)
 
 
+def test_every_pair_on_request(spark):
+    rows = [(uid(i), "a", "t", '["alpha beta gamma delta"]', "") for i in range(120)]
+    assert nd.near_duplicate_pairs(frame(spark, rows), None).count() == 120 * 119 // 2
+    assert nd.near_duplicate_pairs(frame(spark, rows)).count() == 119
+    assert nd.near_duplicate_pairs(frame(spark, rows), 1).count() == 119
+
+
+def apart(a, b):
+    return sum((int(x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a.tolist(), b.tolist()))
+
+
 def test_manhattan_distance_is_a_lower_bound():
     rng = np.random.default_rng(4)
     for _ in range(200):
         pool = rng.integers(-(2**62), 2**62, 120)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 100))) for _ in range(2))
-        fa, fb = nd.embed([a])[0], nd.embed([b])[0]
-        apart = sum(int(x ^ y).bit_count() if x ^ y >= 0 else (int(x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(fa.tolist(), fb.tolist()))
-        assert apart <= len(np.setxor1d(a, b))
+        for segments in (64, 128, 1024):
+            fa, fb = nd.embed([a], segments)[0], nd.embed([b], segments)[0]
+            assert len(fa) == segments // 16 and apart(fa, fb) <= len(np.setxor1d(a, b))
+
+
+def test_the_bound_rejects_unrelated_pairs_at_every_size():
+    rng = np.random.default_rng(5)
+    bounds = nd.size_cells()
+    for n in (30, 90, 120, 300, 600, 1200, 5000):
+        k = int(nd.level(np.searchsorted(bounds, n, side="right") - 1))
+        assert k == nd.COARSE or n <= k < 4 * n
+        sets = [rng.integers(-(2**63), 2**63, n) for _ in range(40)]
+        codes = nd.embed(sets, k)
+        limit = 2 * n - 2 * nd.need(n)
+        far = [apart(codes[i], codes[j]) > limit for i in range(40) for j in range(i)]
+        assert np.mean(far) > 0.9, (n, k, np.mean(far))
+
+
+def test_long_sets_go_through_the_deeper_level(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i:05d}" for i in range(3000)]
+    rows = []
+    for i in range(12):
+        base = rng.sample(vocabulary, rng.choice([110, 180, 400, 1200]))
+        for j in range(4):
+            w = base[: len(base) - rng.randrange(len(base) // 4)] + rng.sample(vocabulary, rng.randrange(len(base) // 5))
+            rows.append((uid(10 * i + j), "a", "t", json.dumps([" ".join(w)]), ""))
+    got = {(r.record_a, r.record_b): r.overlap for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert got == truth(rows) and len(got) > 20
+
+
+def test_growing_sides_are_never_broadcast(spark):
+    rows = fixture(3, 60)
+    for f in (nd.near_duplicate_pairs, nd.near_duplicate_classes, nd.near_duplicate_links):
+        plan = f(frame(spark, rows))._jdf.queryExecution().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_size_cells_reach_one_further():
