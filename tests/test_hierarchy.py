@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from recordloom.operators import hierarchy as hierarchy_module
 from recordloom.operators.hierarchy import descendants, hierarchy, ledger_nodes
 from tests import brute
 
@@ -102,3 +104,30 @@ def test_quotient_of_over_20_000_rows_is_solved_whole(spark, with_paths):
     assert len(got) == len(want) and {(r.id, r.root, r.depth, r.n_revoked) for r in got} == want
     if with_paths:
         assert all(r.path[-1] == r.root and len(r.path) == r.depth + 1 for r in got if not r.cyclic)
+
+
+def test_paths_of_a_long_chain_take_no_climb_a_node(spark):
+    """8 million path elements in one task, and the same chain cut into many fragments."""
+    n = 4_000
+    nodes = spark.range(n).select(F.format_string("%06d", "id").alias("id"), F.lit("z").alias("zone"), F.when(F.col("id") > 0, F.format_string("%06d", F.col("id") - 1)).alias("parent"), F.lit(0).alias("revoked"))
+    for per_task in (500_000, 300):
+        r = hierarchy(nodes, rows_per_task=per_task, with_paths=True)
+        got = r.select("depth", F.size("path").alias("n"), F.element_at("path", 1).alias("a"), F.element_at("path", -1).alias("z"), "id").collect()
+        assert len(got) == n - 1 and all(x.n == x.depth + 1 and x.a == x.id and x.z == "000000" for x in got)
+
+
+def test_doubling_gives_the_same_paths(spark):
+    """A quotient that does not shrink: every chain hops between ranges, so each task holds single nodes."""
+    rows = random_forest(11, 90)
+    nodes = make(spark, rows)
+    q = hierarchy_module.materialize(nodes.select("id", "zone", "parent", "revoked", F.lit(1).cast("long").alias("w"), F.col("revoked").cast("long").alias("wr"), F.lit(None).cast("string").alias("loop"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("piece")), "q")
+    known = q.join(q.select(F.col("id").alias("parent")), "parent", "left_semi").unionByName(q.join(q.select(F.col("id").alias("parent")), "parent", "left_anti").withColumn("parent", F.lit(None).cast("string")).withColumn("piece", F.array().cast("array<string>")))
+    a = {r.id: (r.steps, r.rev, r.loop, r.above if r.loop is None else None) for r in hierarchy_module._double(known, 90, True).collect()}
+    b = {r.id: (r.steps, r.rev, r.loop, r.above if r.loop is None else None) for r in hierarchy_module._solve(known, 500_000, True).collect()}
+    assert {k: v if v[2] is None else v[2] for k, v in a.items()} == {k: v if v[2] is None else v[2] for k, v in b.items()}
+
+
+def test_growing_sides_are_never_broadcast(spark):
+    for with_paths in (False, True):
+        plan = hierarchy(make(spark, random_forest(5, 50)), 10, with_paths)._jdf.queryExecution().toString()
+        assert "Broadcast" not in plan
