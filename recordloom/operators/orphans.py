@@ -1,13 +1,15 @@
 """References to records that do not exist (problem 3).
 
 Method: Bloom filters of the parent keys (records, anchors, compacted records)
-are built in one distributed pass each and broadcast. A key the filter does not
-hold is proven absent and needs no join; only filter-positive references go
-through the exact joins, and the findings are aggregated per table and period.
-
-A filter's size is set from the counted keys and checked against
-``MOST_FILTER_BYTES``. Beyond that no filter is built and every reference is
-verified by the exact (shuffled) join: slower, same result.
+are built in one distributed pass each. A key the filter does not hold is proven
+absent and needs no join; only filter-positive references go through the exact
+joins, and the findings are aggregated per table and period.
+
+A filter's size is set from the counted keys. Up to ``most_filter_bytes`` it is
+broadcast. A larger one is never in one place: the hashes of the keys and of the
+distinct references are brought together slice by slice, each task fills the
+filter of its own slices and tests the references that belong there
+(``absent_hashes``). Either way each reference is tested; the rows are the same.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from recordloom.session import materialize
 BITS_PER_KEY = 12
 HASHES = 4
 SLICES = 256
+#: Largest filter that is broadcast, and keys a task takes of a larger one.
 MOST_FILTER_BYTES = 64 * 2**20
+KEYS_PER_TASK = 4_000_000
 ANCHOR_KINDS = ("anchor:ticket", "anchor:diff", "anchor:trunk")
 _TEXT = re.compile(r"\s*(record|anchor:ticket|anchor:diff|anchor:trunk)\s*:(.*)", re.S | re.I)
 
@@ -60,23 +64,26 @@ class Bloom:
         inner = (a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) & (in_slice - np.uint64(1))
         return (h >> np.uint64(56))[:, None] * in_slice + inner
 
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = self.places(h)
+        return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+
     def add(self, h: np.ndarray) -> None:
         at = self.places(h).ravel()
         np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
 
     def holds(self, keys: list[str]) -> np.ndarray:
-        at = self.places(key_hashes(keys))
-        return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+        return self.has(key_hashes(keys))
 
 
-def build_bloom(keys: DataFrame, count: int) -> Bloom | None:
+def build_bloom(keys: DataFrame, count: int, most_bytes: int = MOST_FILTER_BYTES) -> Bloom | None:
     """Filter of the single text column of ``keys``; None if it would be too large to broadcast.
 
     Hashes (8 bytes a key) are shuffled to the tasks of their slices; the driver
     gets each byte of the filter once.
     """
     n_bits = Bloom.size_for(count)
-    if n_bits // 8 > MOST_FILTER_BYTES:
+    if n_bits // 8 > most_bytes:
         return None
     slice_bytes = n_bits // 8 // SLICES
 
@@ -100,6 +107,29 @@ def build_bloom(keys: DataFrame, count: int) -> Bloom | None:
     return Bloom(n_bits, raw.tobytes())
 
 
+def absent_hashes(keys: DataFrame, wanted: DataFrame, count: int, keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
+    """h of every hash in ``wanted`` (h) that the filter of the text column ``keys`` does not hold; for filters of any size.
+
+    Both sides travel as hashes, the wanted ones distinct, so a key that a third
+    of all rows refer to is tested once. Within a task the keys come first.
+    """
+    spark = keys.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // keys_per_task))
+    n_bits = Bloom.size_for(-(-count // tasks) * 5 // 4)
+    name = keys.columns[0]
+    both = keys.where(F.col(name).isNotNull()).select(F.xxhash64(name).alias("h"), F.lit(False).alias("asked")).unionByName(wanted.select("h").distinct().withColumn("asked", F.lit(True)))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bloom(n_bits)
+        for b in batches:
+            h, asked = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
+            own.add(h[~asked])
+            h = h[asked]
+            yield pa.RecordBatch.from_arrays([pa.array(h[~own.has(h)].view(np.int64))], ["h"])
+
+    return both.repartition(tasks, F.shiftrightunsigned("h", 44)).sortWithinPartitions("asked").mapInArrow(test, "h long")
+
+
 def evidence_references(value: Any) -> list[tuple[str, str]]:
     """(target_table, target_key) of an evidence column's value, each once."""
     if type(value) is dict:
@@ -164,7 +194,16 @@ def _broadcast(spark: SparkSession, bloom: Bloom | None):
     return None if bloom is None else spark.sparkContext.broadcast(bloom)
 
 
-def faulty_references(records: DataFrame, anchor_facts: DataFrame, compacted_records: DataFrame) -> DataFrame:
+def _test_apart(refs: DataFrame, name: str, keys: DataFrame, count: int) -> DataFrame:
+    """``refs`` with what a filter too large to broadcast says of them."""
+    refs = materialize(refs.withColumn("h", F.xxhash64("target_key")), "untested")
+    table, flag = ("records", "maybe_compacted") if name == "compacted_records" else (name, "maybe")
+    absent = absent_hashes(keys, refs.where(F.col("target_table") == table).select("h"), count).select("h", F.lit(True).alias("absent"))
+    out = refs.join(absent.hint("merge"), "h", "left")
+    return out.withColumn(flag, F.col(flag) & ~((F.col("target_table") == table) & F.col("absent").isNotNull())).drop("h", "absent")
+
+
+def faulty_references(records: DataFrame, anchor_facts: DataFrame, compacted_records: DataFrame, most_filter_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
     """record_id, source_field, target_table, target_key, period, status; one row a fault.
 
     status: ``missing``, ``deleted`` or ``late``. Null or damaged evidence
@@ -180,23 +219,25 @@ def faulty_references(records: DataFrame, anchor_facts: DataFrame, compacted_rec
     gone = materialize(compacted_records.select(canonical_uuid(F.col("record_id")).alias("target_key")).where(F.col("target_key").isNotNull()).distinct(), "compacted")
     facts = anchor_facts.select(F.concat_ws("/", clean_key(F.col("kind")), clean_key(F.col("target"))).alias("target_key"), clean_key(F.col("state")).alias("state"), F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("at"), F.col("kind").isNotNull() & F.col("target").isNotNull()).toDF("target_key", "state", "at", "ok")
     anchors = materialize(facts.where("ok").groupBy("target_key").agg(F.min("at").alias("first_us"), F.max(F.struct(F.coalesce("at", F.lit(-(2**62))).alias("at"), (F.col("state") == "dead").alias("dead"))).alias("last")).select("target_key", "first_us", F.coalesce("last.dead", F.lit(False)).alias("dead")), "anchors")
-    blooms = {
-        "records": _broadcast(spark, build_bloom(parents.select("record_id"), parents.count())), "anchor_facts": _broadcast(spark, build_bloom(anchors.select("target_key"), anchors.count())),
-        "compacted_records": _broadcast(spark, build_bloom(gone.select("target_key"), gone.count())),
-    }
+    sides = {"records": parents.select("record_id"), "anchor_facts": anchors.select("target_key"), "compacted_records": gone.select("target_key")}
+    counts = {name: keys.count() for name, keys in sides.items()}
+    blooms = {name: _broadcast(spark, build_bloom(keys, counts[name], most_filter_bytes)) for name, keys in sides.items()}
     refs = rows.select("record_id", "sup", "evidence_json").mapInArrow(_extract(blooms), "record_id string, source_field string, target_table string, target_key string, maybe boolean, maybe_compacted boolean")
     refs = refs.groupBy("record_id", "source_field", "target_table", "target_key").agg(F.max("maybe").alias("maybe"), F.max("maybe_compacted").alias("maybe_compacted"))
-    refs = materialize(refs.join(parents.withColumnRenamed("us", "own_us"), "record_id"), "references")
+    for name, keys in sides.items():
+        if blooms[name] is None:
+            refs = _test_apart(refs, name, keys, counts[name])
+    refs = materialize(refs.join(parents.withColumnRenamed("us", "own_us").hint("merge"), "record_id"), "references")
     definite = refs.where(~F.col("maybe"))
     to_records = refs.where(F.col("maybe") & (F.col("target_table") == "records"))
     to_anchors = refs.where(F.col("maybe") & (F.col("target_table") == "anchor_facts"))
     keys = ["record_id", "source_field", "target_table", "target_key", "own_us"]
-    checked = to_records.join(parents.select(F.col("record_id").alias("target_key"), F.col("us").alias("first_us"), F.lit(True).alias("there")), "target_key", "left")
+    checked = to_records.join(parents.select(F.col("record_id").alias("target_key"), F.col("us").alias("first_us"), F.lit(True).alias("there")).hint("merge"), "target_key", "left")
     late = F.when(F.col("first_us") > F.col("own_us"), F.lit("late"))
     absent = checked.where(F.col("there").isNull()).select(*keys, "maybe_compacted").unionByName(definite.where(F.col("target_table") == "records").select(*keys, "maybe_compacted"))
     sure = absent.where(~F.col("maybe_compacted")).select(*keys, F.lit("missing").alias("status"))
-    looked = absent.where(F.col("maybe_compacted")).join(gone.withColumn("compacted", F.lit(True)), "target_key", "left").select(*keys, F.when(F.col("compacted"), F.lit("deleted")).otherwise(F.lit("missing")).alias("status"))
-    held = to_anchors.join(anchors.withColumn("there", F.lit(True)), "target_key", "left").select(*keys, F.when(F.col("there").isNull(), F.lit("missing")).when(F.col("dead"), F.lit("deleted")).otherwise(late).alias("status"))
+    looked = absent.where(F.col("maybe_compacted")).join(gone.withColumn("compacted", F.lit(True)).hint("merge"), "target_key", "left").select(*keys, F.when(F.col("compacted"), F.lit("deleted")).otherwise(F.lit("missing")).alias("status"))
+    held = to_anchors.join(anchors.withColumn("there", F.lit(True)).hint("merge"), "target_key", "left").select(*keys, F.when(F.col("there").isNull(), F.lit("missing")).when(F.col("dead"), F.lit("deleted")).otherwise(late).alias("status"))
     parts = [checked.where(F.col("there")).select(*keys, late.alias("status")), sure, looked, held, definite.where(F.col("target_table") == "anchor_facts").select(*keys, F.lit("missing").alias("status"))]
     out = parts[0]
     for p in parts[1:]:

@@ -3,6 +3,7 @@ import random
 from datetime import datetime, timezone
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from recordloom.operators import orphans
 from tests import brute
@@ -36,15 +37,15 @@ def frames(spark, records, facts, gone):
     return spark.createDataFrame([tuple(r.values()) for r in records], SCHEMA), spark.createDataFrame(facts, FACTS), spark.createDataFrame(gone, GONE)
 
 
-def test_equals_brute_force(spark, monkeypatch):
+def test_equals_brute_force(spark):
     records, facts, gone = fixture()
     truth = brute.faults(records, [(k, t, s, int(a.replace(tzinfo=timezone.utc).timestamp() * 1e6)) for k, t, s, a in facts if k], [g[0] for g in gone])
     fr = frames(spark, records + records[:30], facts, gone)
     got = [tuple(r) for r in orphans.faulty_references(*fr).collect()]
     assert len(got) == len(set(got)) and set(got) == truth
     assert {x[5] for x in truth} == {"missing", "deleted", "late"}
-    monkeypatch.setattr(orphans, "MOST_FILTER_BYTES", 0)  # beyond the bound: the exact way for all
-    assert {tuple(r) for r in orphans.faulty_references(*fr).collect()} == truth
+    # Beyond the bound the filters are tested slice by slice, here all three of them.
+    assert {tuple(r) for r in orphans.faulty_references(*fr, most_filter_bytes=0).collect()} == truth
 
 
 def test_empty_tables(spark):
@@ -76,3 +77,17 @@ def test_bloom_is_built_by_slices(spark):
     one.add(orphans.key_hashes(keys))
     assert orphans.build_bloom(df, 3000).bits.tobytes() == one.bits.tobytes()
     assert not orphans.build_bloom(df.limit(0), 0).holds(["x"]).any()
+
+
+def test_sliced_filter_proves_most_absent_keys_and_no_present_one(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"))
+    wanted = spark.range(30_000).select(F.xxhash64(F.concat(F.lit("k"), "id")).alias("h"), "id")
+    absent = orphans.absent_hashes(keys, wanted.unionByName(wanted), 20_000, keys_per_task=1_500).join(wanted, "h")
+    got = {r.id for r in absent.collect()}
+    assert min(got) >= 20_000 and len(got) > 9_700
+    assert orphans.absent_hashes(keys.limit(0), wanted.limit(5), 0).count() == 5
+
+
+def test_growing_sides_are_never_broadcast(spark):
+    plan = orphans.faulty_references(*frames(spark, *fixture(4, 20)))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan
