@@ -1,24 +1,27 @@
 """Per-entity feature tables from events (problem 5).
 
 Method: incremental time-bucketed partial aggregates. Events are deduplicated
-by id, cut into time buckets and pre-aggregated by (bucket, entity, type); the
-partial aggregates are kept as a table partitioned by bucket together with a
-digest of each bucket's events. A refresh compares digests and rebuilds only
-the changed buckets. Features merge the partials of whole buckets with the raw
-events of the two boundary buckets.
+by id, cut into time buckets and pre-aggregated by (bucket, entity, type). The
+store keeps the partial aggregates and the few event columns they are made of,
+each id once, partitioned by bucket. New files are merged with the buckets
+their ids fall or once fell into, and only those buckets are rebuilt; an event
+table of any other origin is compared with the store by a digest a bucket.
+Features merge the partials of whole buckets with the raw events of the two
+boundary buckets.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import clean_key
-from recordloom.session import delete_path, new_path, path_exists
+from recordloom.session import delete_path, get_text, list_files, materialize, new_path, path_exists, put_text
 
 BUCKET_SECONDS = 30 * 86_400
-#: Wide columns are laid out on the driver; more types than this stay in long form.
-MOST_TYPES = 2_000
+_EVENT = "bucket long, id string, at long, duration long, actor string, operation string, outcome string"
 _PARTIAL = "bucket long, actor string, operation string, outcome string, n long, latest_at long, total_duration long"
 
 
@@ -53,43 +56,97 @@ def bucket_digests(events: DataFrame) -> DataFrame:
 
 
 class FeatureStore:
-    """Partial aggregates at ``path``: ``partials/bucket=…`` and ``digests``."""
+    """At ``path``: ``events/bucket=…`` (each id once), ``partials/bucket=…``, ``digests``, and ``files``, the list of input files taken in.
+
+    A store outlives its session: give the same ``path`` again and go on. Only
+    without a path is it an intermediate table. One writer at a time. Partials
+    are written before the events they come from and the list of files last, so
+    a refresh that dies is repeated, never skipped.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, bucket_seconds: int = BUCKET_SECONDS) -> None:
         self.spark, self.path, self.seconds = spark, path or new_path(spark, "features"), bucket_seconds
 
+    def _clean(self, events: DataFrame) -> DataFrame:
+        return with_bucket(clean_events(events), self.seconds)
+
+    def _known(self) -> dict[str, list]:
+        """Input files taken in, with length and time of change: one entry a file."""
+        versions = list_files(self.spark, f"{self.path}/files") if path_exists(self.spark, f"{self.path}/files") else {}
+        return json.loads(get_text(self.spark, max(versions))) if versions else {}
+
+    def _remember(self, files: dict[str, list]) -> None:
+        n = len(list_files(self.spark, f"{self.path}/files")) if path_exists(self.spark, f"{self.path}/files") else 0
+        put_text(self.spark, f"{self.path}/files/{n:012d}.json", json.dumps(files, sort_keys=True))
+
+    def take_in(self, folder: str) -> list[int]:
+        """Bring the store level with the Parquet files under ``folder``; returns the buckets that were rebuilt.
+
+        Only files not taken in before are read. If one of those taken in was
+        rewritten or is gone, everything is compared (``refresh``).
+        """
+        now, known = list_files(self.spark, folder), self._known()
+        new = sorted(set(now) - set(known))
+        if not known or any(now.get(f) != v for f, v in known.items()):
+            touched = self.refresh(self.spark.read.parquet(folder))
+        elif not new:
+            return []
+        else:
+            touched = self._merge(self.spark.read.parquet(*new))
+        self._remember(now)
+        return touched
+
+    def _merge(self, events: DataFrame) -> list[int]:
+        """Add deliveries to the store: the buckets they fall into and those their ids stand in are rebuilt together."""
+        fresh = materialize(unique_events(self._clean(events)), "fresh")
+        held = self.events()
+        # Of the events already there only id and bucket are read.
+        moved = held.select("id", "bucket").join(fresh.select("id").where(F.col("id").isNotNull()).hint("merge"), "id", "left_semi").select("bucket")
+        touched = sorted(r[0] for r in fresh.select("bucket").unionByName(moved).distinct().collect())  # as many as there are time buckets
+        if touched:
+            both = held.where(F.col("bucket").isin(touched)).select(*fresh.columns).unionByName(fresh)
+            once = materialize(unique_events(both), "once")
+            self._write(once, touched)
+            kept = self.spark.read.parquet(f"{self.path}/digests").where(~F.col("bucket").isin(touched))
+            self._put_digests(kept.unionByName(bucket_digests(once)))
+        return touched
+
     def refresh(self, events: DataFrame) -> list[int]:
-        """Bring the partials up to date; returns the buckets that were rebuilt.
+        """Bring the store level with a whole table of events; returns the buckets that were rebuilt.
 
-        Only the digest pass reads the events of unchanged buckets. A first
-        refresh builds everything in one pass.
+        All events are deduplicated and digested, and only buckets whose digest
+        changed are written: the result does not depend on what came when.
         """
-        ev = with_bucket(clean_events(events), self.seconds)
-        digests_at, partials_at = f"{self.path}/digests", f"{self.path}/partials"
-        first = not path_exists(self.spark, digests_at)
-        now = bucket_digests(ev)
-        if first:
-            touched = None
+        once = materialize(unique_events(self._clean(events)), "once")
+        now = materialize(bucket_digests(once), "digests")
+        if not path_exists(self.spark, f"{self.path}/digests"):
+            touched = sorted(r[0] for r in now.select("bucket").collect())
+            self._write(once, None)
         else:
-            was = self.spark.read.parquet(digests_at).select("bucket", F.col("rows").alias("r0"), F.col("digest").alias("d0"), F.col("mix").alias("m0"))
+            was = self.spark.read.parquet(f"{self.path}/digests").select("bucket", F.col("rows").alias("r0"), F.col("digest").alias("d0"), F.col("mix").alias("m0"))
             diff = now.join(was, "bucket", "full_outer").where(~(F.col("rows").eqNullSafe(F.col("r0")) & F.col("digest").eqNullSafe(F.col("d0")) & F.col("mix").eqNullSafe(F.col("m0"))))
             touched = sorted(r[0] for r in diff.select("bucket").collect())  # as many as there are time buckets
             if not touched:
                 return []
-            ev = ev.where(F.col("bucket").isin(touched))
-        build = partials(unique_events(ev))
-        writer = build.repartition(F.col("bucket"), F.pmod(F.xxhash64("actor"), F.lit(8))).write.mode("overwrite").partitionBy("bucket")
-        writer.option("partitionOverwriteMode", "dynamic").parquet(partials_at)
-        if touched:
-            alive = {r[0] for r in now.where(F.col("bucket").isin(touched)).select("bucket").collect()}
-            for gone in set(touched) - alive:
-                delete_path(self.spark, f"{partials_at}/bucket={gone}")
-        # The digests go last: a refresh that dies before this line is repeated, never skipped.
-        staged = f"{self.path}/digests-next"
-        now.write.mode("overwrite").parquet(staged)
-        self.spark.read.parquet(staged).write.mode("overwrite").parquet(digests_at)
-        delete_path(self.spark, staged)
-        return touched if touched is not None else sorted(r[0] for r in self.spark.read.parquet(digests_at).select("bucket").collect())
+            self._write(once.where(F.col("bucket").isin(touched)), touched)
+        self._put_digests(now)
+        return touched
+
+    def _write(self, once: DataFrame, touched: list[int] | None) -> None:
+        """Replace the touched buckets (null: all) by what ``once`` holds of them; tasks follow the size of a bucket."""
+        for name, rows in (("partials", partials(once)), ("events", once)):
+            at = f"{self.path}/{name}"
+            rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").option("partitionOverwriteMode", "dynamic").parquet(at)
+            alive = {r[0] for r in once.select("bucket").distinct().collect()} if touched else set()
+            for gone in set(touched or ()) - alive:
+                delete_path(self.spark, f"{at}/bucket={gone}")
+
+    def _put_digests(self, digests: DataFrame) -> None:
+        staged = materialize(digests, "digests")
+        staged.write.mode("overwrite").parquet(f"{self.path}/digests")
+
+    def events(self) -> DataFrame:
+        return self.spark.read.schema(_EVENT).parquet(f"{self.path}/events")
 
     def stored(self) -> DataFrame:
         return self.spark.read.schema(_PARTIAL).parquet(f"{self.path}/partials")
@@ -121,29 +178,36 @@ def type_label(operation: Column, outcome: Column) -> Column:
     return F.concat_ws("|", F.coalesce(operation, F.lit("missing")), F.coalesce(outcome, F.lit("missing")))
 
 
+def _per_label(merged: DataFrame) -> DataFrame:
+    per = merged.withColumn("label", type_label(F.col("operation"), F.col("outcome")))
+    return per.groupBy("actor", "label").agg(F.sum("n").alias("n"), F.max("latest_at").alias("latest_at"), F.sum("total_duration").alias("total_duration"))
+
+
 def _per_actor(merged: DataFrame) -> DataFrame:
     """actor, f: a map from event type to its figures, at most as long as the list of types."""
-    per = merged.withColumn("label", type_label(F.col("operation"), F.col("outcome")))
-    per = per.groupBy("actor", "label").agg(F.sum("n").alias("n"), F.max("latest_at").alias("latest_at"), F.sum("total_duration").alias("total_duration"))
-    return per.groupBy("actor").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("n", "latest_at", "total_duration")))).alias("f"))
+    return _per_label(merged).groupBy("actor").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("n", "latest_at", "total_duration")))).alias("f"))
 
 
 def wide(merged: DataFrame, labels: list[str]) -> DataFrame:
-    """One row for each actor, three columns for each event type; never-seen pairs are 0, null, 0."""
+    """One row for each actor, three columns for each event type; never-seen pairs are 0, null, 0.
+
+    A pivot over known labels: each figure goes to its column by one look-up.
+    """
+    per = _per_label(merged)
+    if not labels:
+        return per.select("actor").distinct()
+    table = per.groupBy("actor").pivot("label", labels).agg(F.first("n").alias("n"), F.first("latest_at").alias("latest_at"), F.first("total_duration").alias("total_duration"))
     zero = F.lit(0).cast("long")
+    quoted = lambda name: F.col(f"`{name.replace('`', '``')}`")
     cols: list[Column] = []
     for name in labels:
-        cell = F.col("f")[F.lit(name)]
-        cols += [F.coalesce(cell["n"], zero).alias(f"{name}_n"), cell["latest_at"].alias(f"{name}_latest_at"), F.coalesce(cell["total_duration"], zero).alias(f"{name}_total_duration")]
-    return _per_actor(merged).select("actor", *cols)
+        cols += [F.coalesce(quoted(f"{name}_n"), zero).alias(f"{name}_n"), quoted(f"{name}_latest_at"), F.coalesce(quoted(f"{name}_total_duration"), zero).alias(f"{name}_total_duration")]
+    return table.select("actor", *cols)
 
 
 def labels_of(merged: DataFrame) -> list[str]:
-    """All event types, sorted; a bounded list (hundreds), refused beyond MOST_TYPES."""
-    found = [r[0] for r in merged.select(type_label(F.col("operation"), F.col("outcome")).alias("l")).distinct().orderBy("l").limit(MOST_TYPES + 1).collect()]
-    if len(found) > MOST_TYPES:
-        raise ValueError(f"over {MOST_TYPES} event types; use the long form of FeatureStore.merged()")
-    return found
+    """All event types, sorted: the list of columns, as long as the wide table is wide (the long form has no such list)."""
+    return [r[0] for r in merged.select(type_label(F.col("operation"), F.col("outcome")).alias("l")).distinct().orderBy("l").collect()]
 
 
 def long_form(merged: DataFrame, labels: list[str]) -> DataFrame:

@@ -72,6 +72,18 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(where).isFile()
 
 
+def list_files(spark: SparkSession, folder: str) -> dict[str, list]:
+    """Data files under a folder (or the file itself), with length and time of change; names that begin with ``_`` or ``.`` are none."""
+    fs, where = _at(spark, folder)
+    found = fs.listFiles(where, True)
+    out = {}
+    while found.hasNext():
+        f = found.next()
+        if f.getPath().getName()[0] not in "_.":
+            out[f.getPath().toString()] = [f.getLen(), f.getModificationTime()]
+    return out
+
+
 def move_path(spark: SparkSession, source: str, target: str) -> None:
     """Rename on the shared file system; the target must not exist."""
     fs, to = _at(spark, target)

@@ -78,12 +78,58 @@ def test_windows_merge_buckets_and_boundary_events(spark, lo, hi):
     assert as_dict(store.merged(df, lo, hi)) == truth(rows, lo, hi)
 
 
-def test_empty_and_too_many_types(spark, monkeypatch):
+def test_empty_table(spark):
     store = fx.FeatureStore(spark)
     store.refresh(spark.createDataFrame([], SCHEMA))
     assert store.merged().collect() == [] and fx.wide(store.merged(), []).collect() == []
-    full = fx.FeatureStore(spark)
-    full.refresh(spark.createDataFrame(events(), SCHEMA))
-    monkeypatch.setattr(fx, "MOST_TYPES", 3)
-    with pytest.raises(ValueError):
-        fx.labels_of(full.merged())
+
+
+def test_more_types_than_any_list_of_before(spark):
+    rows = [(f"e{i}", 1_700_000_000 + i, i, f"a{i % 2}", f"op.{i}`", "ok", 0, "") for i in range(2_300)]
+    store = fx.FeatureStore(spark)
+    store.refresh(spark.createDataFrame(rows, SCHEMA))
+    labels = fx.labels_of(store.merged())
+    assert len(labels) == 2_300 and fx.long_form(store.merged(), labels).where("n = 1").count() == 2_300
+    wide = fx.wide(store.merged(), labels[:40]).collect()
+    assert len(wide) == 2 and sum(r[f"{x}_n"] for r in wide for x in labels[:40]) == 40
+
+
+def test_an_id_in_two_buckets_counts_once_whatever_came_first(spark):
+    """x is delivered for day 1 and again for day 40; the earlier one stands, refresh after refresh."""
+    x1, x40 = ("x", 1 * DAY, 1, "a", "op", "ok", 0, ""), ("x", 40 * DAY, 1, "a", "op", "ok", 0, "")
+    y, z = ("y", 41 * DAY, 1, "a", "op", "ok", 0, ""), ("z", 42 * DAY, 1, "a", "op", "ok", 0, "")
+    for steps in ([[x1, x40, y], [z]], [[x40, y], [x1, z]], [[y, z], [x1], [x40]]):
+        whole, by_files = fx.FeatureStore(spark), fx.FeatureStore(spark)
+        folder, so_far = fx.new_path(spark, "in"), []
+        for rows in steps:
+            so_far += rows
+            whole.refresh(spark.createDataFrame(so_far, SCHEMA))
+            spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+            by_files.take_in(folder)
+            rebuilt = fx.FeatureStore(spark)
+            rebuilt.refresh(spark.createDataFrame(so_far, SCHEMA))
+            assert as_dict(whole.merged()) == as_dict(by_files.merged()) == as_dict(rebuilt.merged())
+        assert as_dict(whole.merged()) == {("a", "op", "ok"): (3, 42 * DAY, 3)}
+
+
+def test_a_kept_store_reads_new_files_only(spark, tmp_path):
+    rows = events()
+    folder, path = f"file://{tmp_path}/in", f"file://{tmp_path}/store"
+    spark.createDataFrame(rows[:300], SCHEMA).coalesce(1).write.parquet(folder)
+    assert len(fx.FeatureStore(spark, path).take_in(folder)) > 3
+    assert fx.FeatureStore(spark, path).take_in(folder) == []
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("store/partials/bucket=*/*.parquet")}
+    late = [("new", 1_700_000_000 + 3 * DAY, 9, "c", "op9", "ok", 7, ""), rows[5]]
+    spark.createDataFrame(late, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    store = fx.FeatureStore(spark, path)  # another session's object, the same store
+    touched = store.take_in(folder)
+    assert set(touched) == {x[1] // fx.BUCKET_SECONDS for x in late} and as_dict(store.merged()) == truth(rows[:300] + late)
+    assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items() if not any(f"bucket={b}/" in str(p) for b in touched))
+    assert store.merged().agg({"n": "sum"}).first()[0] == store.events().count()
+    # A file is gone: everything is compared, and what it brought goes.
+    for p in (tmp_path / "in").glob("*.parquet"):
+        if p.stat().st_mtime_ns == max(q.stat().st_mtime_ns for q in (tmp_path / "in").glob("*.parquet")):
+            last = p
+    last.unlink()
+    store.take_in(folder)
+    assert as_dict(store.merged()) == truth(rows[:300])
