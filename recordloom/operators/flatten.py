@@ -10,20 +10,24 @@ own typed subtype table; lists and their scalar elements go to typed element
 tables. Every row keeps record, pointer and parent pointer, so that the records
 (with text that stands for JSON opened) can be rebuilt from the tables.
 
+Routing is one exchange by variant (``routed``), rebalanced by size: a variant
+that holds a third of all rows is spread over many tasks, rare ones share one.
+On disk a variant is a run of row groups, found by their statistics.
+
 Reading is one pass in Arrow batches, a record at a time, so neither a large
 record nor a hot namespace needs more than one record's values in memory.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.arrow import strings
@@ -33,31 +37,42 @@ from recordloom.functions.jsontext import NOTHING, allow_big_numbers, parse, unw
 FIELDS = ("payload_json", "evidence_json", "tags_json")
 #: Type names of the automaton's leaves.
 LEAVES = {type(None): "null", bool: "bool", int: "int", float: "float", str: "text"}
-_NODES = "record_id string, field string, pointers array<string>, parents array<int>, kinds array<string>, variants array<long>"
+_NODES = "record_id string, field string, pointers array<string>, parents array<int>, kinds array<string>, variants array<string>"
 
 
-def _state(interned: dict, shape: tuple) -> int:
+def _state(interned: dict, shape: tuple) -> str:
+    """The state of a list (the set of its elements' states) or an object (its sorted key and state pairs): 16 hexadecimal digits."""
     got = interned.get(shape)
     if got is None:
         if len(interned) > 200_000:
             interned.clear()
-        got = interned[shape] = xxhash.xxh3_64_intdigest(repr(shape).encode("utf-8", "surrogatepass")) - (1 << 63)
+        text = "\x1e".join(x if type(x) is str else f"{x[0]}\x1f{x[1]}" for x in shape)
+        got = interned[shape] = hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
     return got
 
 
+def _object_state(interned: dict, shape: list) -> str:
+    shape.sort()
+    return _state(interned, ("{}", *shape))
+
+
+def _list_state(interned: dict, states: set) -> str:
+    return _state(interned, ("[]", *sorted(states)))
+
+
 def _esc(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1") if "~" in key or "/" in key else key
 
 
-def walk(root: Any, interned: dict) -> tuple[list[str], list[int], list[str], list[int | None]]:
+def walk(root: Any, interned: dict) -> tuple[list[str], list[int], list[str], list[str | None]]:
     """Pointers, lengths of the parents' pointers, types and variants of all values that are rows."""
     pointers: list[str] = []
     parents: list[int] = []
     kinds: list[str] = []
-    variants: list[int | None] = []
+    variants: list[str | None] = []
     leaves = LEAVES
 
-    def visit_object(value: dict, ptr: str, up: int) -> int:
+    def visit_object(value: dict, ptr: str, up: int) -> str:
         shape = []
         for key, v in value.items():
             t = type(v)
@@ -79,10 +94,9 @@ def walk(root: Any, interned: dict) -> tuple[list[str], list[int], list[str], li
             else:
                 s = leaves[t]
             shape.append((key, s))
-        shape.sort(key=lambda x: x[0])
-        return _state(interned, tuple(shape))
+        return _object_state(interned, shape)
 
-    def visit_list(value: list, ptr: str, up: int) -> int:
+    def visit_list(value: list, ptr: str, up: int) -> str:
         states = set()
         for i, v in enumerate(value):
             t = type(v)
@@ -108,7 +122,7 @@ def walk(root: Any, interned: dict) -> tuple[list[str], list[int], list[str], li
                 kinds.append(s)
                 variants.append(None)
             states.add(s)
-        return _state(interned, ("list", *sorted(map(str, states))))
+        return _list_state(interned, states)
 
     if type(root) is dict:
         visit_object(root, "", 0)
@@ -147,7 +161,7 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(start, 512), pa.array([field] * n, pa.string()), pa.ListArray.from_arrays(off, strings(ps)), pa.ListArray.from_arrays(off, pa.array(us, pa.int32())),
-                        pa.ListArray.from_arrays(off, pa.array(ks, pa.string())), pa.ListArray.from_arrays(off, pa.array(vs, pa.int64())),
+                        pa.ListArray.from_arrays(off, pa.array(ks, pa.string())), pa.ListArray.from_arrays(off, pa.array(vs, pa.string())),
                     ],
                     ["record_id", "field", "pointers", "parents", "kinds", "variants"],
                 )
@@ -179,13 +193,18 @@ def nested_nodes(records: DataFrame) -> DataFrame:
     return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.kinds").alias("kind"), F.col("n.variants").alias("variant"))
 
 
-def place(pointer: str = "pointer"):
-    """The pointer with list positions taken out: where in the schema a value stands."""
-    return F.regexp_replace(F.col(pointer), r"/[0-9]+(?=/|$)", "/*")
+def routed(rows: DataFrame) -> DataFrame:
+    """Rows (with kind and variant) brought to their subtype table's tasks: objects by variant, everything else by its type."""
+    return rows.withColumn("_subtype", F.coalesce("variant", "kind")).hint("rebalance", F.col("_subtype")).drop("_subtype")
+
 
+_OBJECTS = "record_id string, field string, pointers array<string>, parents array<int>, places array<string>, variants array<string>, members array<map<string,string>>, types array<map<string,string>>"
+_ELEMENTS = "record_id string, field string, pointers array<string>, parents array<int>, places array<string>, kinds array<string>, texts array<string>"
 
-_OBJECTS = "record_id string, field string, pointers array<string>, parents array<int>, variants array<long>, members array<map<string,string>>, types array<map<string,string>>"
-_ELEMENTS = "record_id string, field string, pointers array<string>, parents array<int>, kinds array<string>, texts array<string>"
+
+def _step(key: str) -> str:
+    """A key in a place; a lone star, which marks list positions there, is written ~2."""
+    return "~2" if key == "*" else _esc(key)
 
 
 def _scalar(v: Any) -> str | None:
@@ -195,14 +214,14 @@ def _scalar(v: Any) -> str | None:
 def table_rows(root: Any, interned: dict) -> tuple[list[tuple], list[tuple]]:
     """(objects, elements) that hold the whole value.
 
-    objects: pointer, length of the parent's pointer, variant, [(key, text, type)] of the scalar members.
-    elements: pointer, length of the parent's pointer, type, text; every list, every scalar in a list, and a scalar root.
+    objects: pointer, length of the parent's pointer, place, variant, [(key, text, type)] of the scalar members.
+    elements: pointer, length of the parent's pointer, place, type, text; every list, every scalar in a list, and a scalar root.
     The root has no parent (null).
     """
     objects: list[Any] = []
     elements: list[tuple] = []
 
-    def visit(v: Any, ptr: str, up: int | None, row: bool) -> Any:
+    def visit(v: Any, ptr: str, up: int | None, place: str, row: bool) -> str:
         t = type(v)
         if t is dict:
             k = len(objects)
@@ -211,24 +230,22 @@ def table_rows(root: Any, interned: dict) -> tuple[list[tuple], list[tuple]]:
             for key, x in v.items():
                 x = unwrap(x)
                 if type(x) is dict or type(x) is list:
-                    s = visit(x, f"{ptr}/{_esc(key)}", len(ptr), False)
+                    s = visit(x, f"{ptr}/{_esc(key)}", len(ptr), f"{place}/{_step(key)}", False)
                 else:
                     s = LEAVES[type(x)]
                     own.append((key, _scalar(x), s))
                 shape.append((key, s))
-            shape.sort(key=lambda x: x[0])
-            variant = _state(interned, tuple(shape))
-            objects[k] = (ptr, up, variant, own)
+            variant = _object_state(interned, shape)
+            objects[k] = (ptr, up, place, variant, own)
             return variant
         if t is list:
-            elements.append((ptr, up, "list", None))
+            elements.append((ptr, up, place, "list", None))
             inner = len(ptr) if row else up
-            states = {visit(unwrap(x), f"{ptr}/{i}", inner, True) for i, x in enumerate(v)}
-            return _state(interned, ("list", *sorted(map(str, states))))
-        elements.append((ptr, up, LEAVES[t], _scalar(v)))
+            return _list_state(interned, {visit(unwrap(x), f"{ptr}/{i}", inner, f"{place}/*", True) for i, x in enumerate(v)})
+        elements.append((ptr, up, place, LEAVES[t], _scalar(v)))
         return LEAVES[t]
 
-    visit(root, "", None, True)
+    visit(root, "", None, "", True)
     return objects, elements
 
 
@@ -258,26 +275,29 @@ def _tables(which: int):
                         offsets.append(len(rows))
                     if not rows:
                         continue
-                    ps, us, x, y = zip(*rows)
-                    head = [ids, pa.array([field] * len(ids), pa.string()), _lists(offsets, strings(list(ps))), _lists(offsets, pa.array(us, pa.int32()))]
+                    ps, us, at, x, y = zip(*rows)
+                    head = [ids, pa.array([field] * len(ids), pa.string()), _lists(offsets, strings(list(ps))), _lists(offsets, pa.array(us, pa.int32())), _lists(offsets, strings(list(at))), _lists(offsets, pa.array(x, pa.string()))]
                     if which:
-                        yield pa.RecordBatch.from_arrays([*head, _lists(offsets, pa.array(x, pa.string())), _lists(offsets, strings(list(y)))], ["record_id", "field", "pointers", "parents", "kinds", "texts"])
+                        yield pa.RecordBatch.from_arrays([*head, _lists(offsets, strings(list(y)))], ["record_id", "field", "pointers", "parents", "places", "kinds", "texts"])
                         continue
                     at = [0]
                     for own in y:
                         at.append(at[-1] + len(own))
                     keys, texts, kinds = (strings([m[i] for own in y for m in own]) for i in range(3))
                     maps = [_lists(offsets, pa.MapArray.from_arrays(pa.array(at, pa.int32()), keys, v)) for v in (texts, kinds)]
-                    yield pa.RecordBatch.from_arrays([*head, _lists(offsets, pa.array(x, pa.int64())), *maps], ["record_id", "field", "pointers", "parents", "variants", "members", "types"])
+                    yield pa.RecordBatch.from_arrays([*head, *maps], ["record_id", "field", "pointers", "parents", "places", "variants", "members", "types"])
 
     return run
 
 
+def _each(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    each = rows.select("record_id", "field", F.explode(F.arrays_zip("pointers", "parents", "places", *names)).alias("n"))
+    return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.places").alias("place"), *[F.col(f"n.{k}").alias(v) for k, v in names.items()])
+
+
 def object_rows(records: DataFrame) -> DataFrame:
     """Every object, the root (pointer '', parent null) included: record_id, field, pointer, parent_pointer, place, variant, members (its scalars as text), types (their types)."""
-    rows = one_delivery(records, *FIELDS).mapInArrow(_tables(0), _OBJECTS)
-    each = rows.select("record_id", "field", F.explode(F.arrays_zip("pointers", "parents", "variants", "members", "types")).alias("n"))
-    return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.variants").alias("variant"), F.col("n.members").alias("members"), F.col("n.types").alias("types")).withColumn("place", place())
+    return _each(one_delivery(records, *FIELDS).mapInArrow(_tables(0), _OBJECTS), {"variants": "variant", "members": "members", "types": "types"})
 
 
 def element_rows(records: DataFrame) -> DataFrame:
@@ -287,9 +307,7 @@ def element_rows(records: DataFrame) -> DataFrame:
     each scalar element of a list, and a scalar that is the whole column.
     ``parent_pointer`` is as in ``nested_nodes``; null at the root.
     """
-    rows = one_delivery(records, *FIELDS).mapInArrow(_tables(1), _ELEMENTS)
-    each = rows.select("record_id", "field", F.explode(F.arrays_zip("pointers", "parents", "kinds", "texts")).alias("n"))
-    return each.select("record_id", "field", F.col("n.pointers").alias("pointer"), F.substring(F.col("n.pointers"), F.lit(1), F.col("n.parents")).alias("parent_pointer"), F.col("n.kinds").alias("kind"), F.col("n.texts").alias("value")).withColumn("place", place())
+    return _each(one_delivery(records, *FIELDS).mapInArrow(_tables(1), _ELEMENTS), {"kinds": "kind", "texts": "value"})
 
 
 def variant_catalog(objects: DataFrame) -> DataFrame:
@@ -306,26 +324,39 @@ def variant_catalog(objects: DataFrame) -> DataFrame:
     return v.join(common, ["field", "place"], "left").withColumn("common_keys", F.coalesce("common_keys", F.array().cast("array<string>")))
 
 
-def write_variant_tables(records: DataFrame, path: str) -> None:
-    """The flat tables on disk: ``catalog``, ``subtypes/variant=…``, one typed table a variant, and ``elements/kind=…``, one a type of list element.
+# Column types of the automaton's leaves; whole numbers of any length a JSON text may hold fit a decimal or stay in ``members``.
+_COLUMNS = {"bool": "boolean", "int": "decimal(38,0)", "float": "double", "text": "string"}
 
-    Rows keep record_id, field, pointer, parent_pointer (the link to the row
-    they hang from) and their own scalar members, or their value. Together they
-    hold every value of the records.
+
+def typed_members(objects: DataFrame) -> DataFrame:
+    """Object rows with their scalar members by type: a map for each of bool, int, float and text; numbers too long for their type are null there."""
+
+    def typed(name: str, column: str) -> Column:
+        own = F.map_filter("members", lambda k, v: F.element_at(F.col("types"), k) == name)
+        return F.transform_values(own, lambda k, v: v.try_cast(column)).alias(name)
+
+    return objects.select("*", *[typed(t, c) for t, c in _COLUMNS.items()])
+
+
+def write_variant_tables(records: DataFrame, path: str) -> None:
+    """The flat tables on disk: ``catalog``, ``subtypes`` and ``elements``.
+
+    ``subtypes`` holds the subtype tables one behind the other, scalar members
+    typed (``typed_members``); ``elements`` the lists and their scalars, by
+    type. Rows keep record_id, field, pointer, parent_pointer (the link to the
+    row they hang from). Together they hold every value of the records. Rows are
+    sorted by variant in each file, so that a reader of one variant skips the
+    row groups of all others.
     """
     from recordloom.session import materialize
 
     objects = materialize(object_rows(records), "objects")
     variant_catalog(objects).write.mode("overwrite").parquet(f"{path}/catalog")
-    objects.write.mode("overwrite").partitionBy("variant").parquet(f"{path}/subtypes")
-    element_rows(records).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/elements")
+    typed_members(objects).hint("rebalance", F.col("variant")).sortWithinPartitions("variant").write.mode("overwrite").parquet(f"{path}/subtypes")
+    element_rows(records).hint("rebalance", F.col("kind")).sortWithinPartitions("kind").write.mode("overwrite").parquet(f"{path}/elements")
 
 
-# Column types of the automaton's leaves; whole numbers of any length a JSON text may hold fit a decimal or stay in ``members``.
-_COLUMNS = {"null": "void", "bool": "boolean", "int": "decimal(38,0)", "float": "double", "text": "string"}
-
-
-def subtype_table(path: str, spark, variant: int) -> DataFrame:
+def subtype_table(path: str, spark, variant: str) -> DataFrame:
     """One variant's table: record_id, field, pointer, parent_pointer and a typed column for each of its scalar keys.
 
     A key named like one of the four link columns gets an underscore behind it.
@@ -335,11 +366,17 @@ def subtype_table(path: str, spark, variant: int) -> DataFrame:
         types |= r["types"]
     rows = spark.read.parquet(f"{path}/subtypes").where(F.col("variant") == variant)
     links = ["record_id", "field", "pointer", "parent_pointer"]
-    cols = [F.col("members")[F.lit(k)].try_cast(_COLUMNS[t] if t != "null" else "string").alias(f"{k}_" if k in links else k) for k, t in sorted(types.items())]
+    cols = [(F.lit(None).cast("string") if t == "null" else F.col(t)[F.lit(k)]).alias(f"{k}_" if k in links else k) for k, t in sorted(types.items())]
     return rows.select(*links, *cols)
 
 
 def element_table(path: str, spark, kind: str) -> DataFrame:
     """The elements of one type: record_id, field, pointer, parent_pointer and the typed value (lists and nulls: null)."""
     rows = spark.read.parquet(f"{path}/elements").where(F.col("kind") == kind)
-    return rows.select("record_id", "field", "pointer", "parent_pointer", F.col("value").try_cast(_COLUMNS.get(kind, "void").replace("void", "string")).alias("value"))
+    return rows.select("record_id", "field", "pointer", "parent_pointer", F.col("value").try_cast(_COLUMNS.get(kind, "string")).alias("value"))
+
+
+def number_totals(subtypes: DataFrame) -> DataFrame:
+    """field, place, key, type, n_values, total of every numeric key over all subtype tables."""
+    parts = [subtypes.select("field", "place", F.explode(t).alias("key", "x"), F.lit(t).alias("type")).select("field", "place", "key", "type", F.col("x").cast("double").alias("x")) for t in ("int", "float")]
+    return parts[0].unionByName(parts[1]).groupBy("field", "place", "key", "type").agg(F.count("x").alias("n_values"), F.sum("x").alias("total"))

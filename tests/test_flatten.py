@@ -69,6 +69,24 @@ def test_variants_route_to_typed_tables(spark, tmp_path):
     assert [r.parent_pointer for r in child] == ["/o/0"]
 
 
+def test_keys_of_digits_and_stars_are_no_list_positions(spark):
+    rows = [{"id": "00000000-0000-7000-8000-000000000001", "payload_json": '{"by_year": {"2024": {"x": {}}, "*": {}}, "l": [{}]}', "evidence_json": None, "tags_json": None, "pointer": "", "field": ""}]
+    got = {r.pointer: r.place for r in flatten.object_rows(frame(spark, rows)).collect()}
+    assert got == {"": "", "/by_year": "/by_year", "/by_year/2024": "/by_year/2024", "/by_year/2024/x": "/by_year/2024/x", "/by_year/*": "/by_year/~2", "/l/0": "/l/*"}
+
+
+def test_very_deep_records_fill_the_tables(spark):
+    deep = '{"a":' * 1500 + "1" + "}" * 1500
+    rows = [{"id": "00000000-0000-7000-8000-000000000001", "payload_json": deep, "evidence_json": "[" * 1500 + "]" * 1500, "tags_json": None, "pointer": "", "field": ""}]
+    assert flatten.object_rows(frame(spark, rows)).count() == 1500 and flatten.element_rows(frame(spark, rows)).count() == 1500
+    assert flatten.object_rows(frame(spark, [])).collect() == [] == flatten.element_rows(frame(spark, [])).collect()
+
+
+def test_routing_keeps_every_row(spark):
+    nodes = flatten.nested_nodes(frame(spark, records(5)))
+    assert sorted(map(tuple, flatten.routed(nodes).select("record_id", "field", "pointer").collect())) == sorted(map(tuple, nodes.select("record_id", "field", "pointer").collect()))
+
+
 def test_same_shape_same_variant():
     a = flatten.walk(json.loads('[{"x": 1, "y": "s"}]'), {})[3][0]
     assert a == flatten.walk(json.loads('[{"y": "t", "x": 9}]'), {})[3][0] != flatten.walk(json.loads('[{"y": 1, "x": 9}]'), {})[3][0]

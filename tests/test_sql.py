@@ -40,7 +40,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
-    r = duck.execute(entry.oracle_sql()[name])
+    r = duck.execute(entry.oracle_sql(SF)[name])
     cols = [x[0] for x in r.description]
     order = sorted(range(len(cols)), key=cols.__getitem__)
     want = Counter(tuple(plain(row[i]) for i in order) for row in r.fetchall())
