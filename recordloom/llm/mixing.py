@@ -6,11 +6,17 @@ of equal size; block k of a source with weight w is released at k/w and due at
 all sources so that after any number of slots no source is a whole block ahead
 of or behind its weight.
 
+A block holds about BLOCK_DOCUMENTS documents, however large the mix. With
+whole numbers of blocks the schedule is periodic: one period of at most about
+PERIOD slots is scheduled on the driver, block k of a source with p blocks a
+period then gets slot (k // p) * period + the slot of its place in the period,
+by formula. At the end of a period every source is exactly level.
+
 The size of the mix is the largest at which every source can give its share
 within its repeats. Documents get their place in the source's stream by a
 two-level prefix sum (hash buckets, then within a bucket), so a source with a
 third of all rows is never in one task. The driver sees one row for each
-source and at most ``MOST_BLOCKS`` blocks.
+source and one period of blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +30,9 @@ from recordloom.functions.ids import clean_key
 from recordloom.llm.tokens import VOCABULARY, count_tokens
 from recordloom.session import materialize
 
-MOST_BLOCKS = 20_000
+#: Slots of a period: the resolution of the weights.
+PERIOD = 4_096
+BLOCK_DOCUMENTS = 2
 DOCS_PER_BUCKET = 100_000
 
 
@@ -46,6 +54,13 @@ def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def period(quota: dict[str, int], n_blocks: int, most_slots: int = PERIOD) -> tuple[dict[str, int], int]:
+    """(blocks of each source in a period, periods) for about ``n_blocks`` blocks over all sources."""
+    size = sum(quota.values())
+    slots = max(1, min(most_slots, n_blocks))
+    return {s: max(1, round(q * slots / size)) for s, q in quota.items()} if size else {}, max(1, round(n_blocks / slots))
+
+
 def plan(totals: dict[str, int], targets: dict[str, tuple[float, int | None]]) -> dict[str, int]:
     """Tokens each source is to give: weights of the sources at hand, scaled to the largest mix their repeats allow."""
     able = {s: targets[s][0] for s in totals if totals[s] > 0 and s in targets and targets[s][0] > 0 and (targets[s][1] is None or targets[s][1] > 0)}
@@ -72,11 +87,12 @@ def _placed(docs: DataFrame, count: int) -> DataFrame:
     outer = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("base"))
     within = docs.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    return within.join(offsets, ["source", "bucket"]).select("source", "doc_id", "n_tokens", (F.col("base") + F.col("inner")).alias("before"))
+    return within.join(offsets.hint("merge"), ["source", "bucket"]).select("source", "doc_id", "n_tokens", (F.col("base") + F.col("inner")).alias("before"))
 
 
 def mix(documents: DataFrame, source_targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """slot, source, use_no, doc_id, n_tokens, source_position, target_share, actual_share; one row for each use.
+    """slot, source, use_no, doc_id, n_tokens, source_position, target_share, block, weight, actual_share; one row for each use.
+
 
     Ordered by (slot, source_position) the rows are the mixed stream.
     Sources are compared without case and outer blanks. Documents without
@@ -94,10 +110,10 @@ def mix(documents: DataFrame, source_targets: DataFrame, vocabulary: str = VOCAB
     docs = sum(f[1] for f in figures.values())
     size = sum(quota.values())
     mean = max(1, sum(f[0] for f in figures.values()) // max(1, docs))
-    n_blocks = max(1, min(MOST_BLOCKS, size // (2 * mean) or 1))
-    blocks = {s: max(1, round(q * n_blocks / size)) for s, q in quota.items()} if size else {}
-    goal_rows = [(s, goals[s][0], figures[s][0], q // figures[s][0], q % figures[s][0], q, blocks[s]) for s, q in sorted(quota.items())]
-    goal_df = spark.createDataFrame(goal_rows, "source string, target_share double, total long, full long, rest long, quota long, blocks long")
+    blocks, periods = period(quota, size // (BLOCK_DOCUMENTS * mean))
+    slots_a_period = sum(blocks.values())
+    goal_rows = [(s, goals[s][0], figures[s][0], q // figures[s][0], q % figures[s][0], q, blocks[s], blocks[s] * periods) for s, q in sorted(quota.items())]
+    goal_df = spark.createDataFrame(goal_rows, "source string, target_share double, total long, full long, rest long, quota long, a_period long, blocks long")
     stream = materialize(_placed(usable.select("source", "doc_id", "n_tokens"), docs).join(F.broadcast(goal_df), "source"), "streams")
     # The last, partial pass takes documents while they fit; one more, the nearest in size to what is then left, closes the gap.
     fits = F.col("before") + F.col("n_tokens") <= F.col("rest")
@@ -111,11 +127,25 @@ def mix(documents: DataFrame, source_targets: DataFrame, vocabulary: str = VOCAB
     each = uses.where(n_uses > 0).withColumn("use_no", F.explode(F.sequence(F.lit(1).cast("long"), n_uses)))
     at = F.when((F.col("use_no") > F.col("full")) & is_last, F.col("full") * F.col("total") + F.col("rest") - F.col("gap")).otherwise((F.col("use_no") - 1) * F.col("total") + F.col("before"))
     each = each.withColumn("source_position", at).withColumn("block", F.least(F.floor(F.col("source_position") * F.col("blocks") / F.col("quota")).cast("long"), F.col("blocks") - 1))
-    slots = spark.createDataFrame([(s, k, t) for t, (s, k) in enumerate(pfair(blocks))], "source string, block long, slot long")
-    out = materialize(each.join(F.broadcast(slots), ["source", "block"]).select("slot", "source", "use_no", "doc_id", "n_tokens", "source_position", "target_share"), "mix")
+    slots = spark.createDataFrame([(s, k, t) for t, (s, k) in enumerate(pfair(blocks))], "source string, place long, at long")  # one period
+    each = each.withColumn("place", F.col("block") % F.col("a_period")).join(F.broadcast(slots), ["source", "place"])
+    slot = F.floor(F.col("block") / F.col("a_period")).cast("long") * slots_a_period + F.col("at")
+    out = materialize(each.select(slot.alias("slot"), "source", "use_no", "doc_id", "n_tokens", "source_position", "target_share", "block", (F.col("a_period") / max(1, slots_a_period)).alias("weight")), "mix")
     got = out.groupBy("source").agg(F.sum("n_tokens").alias("got"))
     shares = got.select("source", (F.col("got") / F.sum("got").over(Window.partitionBy())).alias("actual_share"))  # one row a source
-    return out.join(F.broadcast(shares), "source").select("slot", "source", "use_no", "doc_id", "n_tokens", "source_position", "target_share", "actual_share")
+    return out.join(F.broadcast(shares), "source").select("slot", "source", "use_no", "doc_id", "n_tokens", "source_position", "target_share", "block", "weight", "actual_share")
+
+
+def block_deviation(mixed: DataFrame) -> DataFrame:
+    """source, ahead, behind: the most blocks a source was ahead of or behind its weight, right after and right before its own slots.
+
+    In between a source only falls behind, so these are the extremes: block k
+    in slot t leaves k + 1 blocks done where (t + 1) w are due, and found k done
+    where t w were due.
+    """
+    w = F.col("weight")
+    b = mixed.select("source", "block", "slot", w).distinct()
+    return b.groupBy("source").agg(F.max(F.col("block") + 1 - (F.col("slot") + 1) * w).alias("ahead"), F.max(F.col("slot") * w - F.col("block")).alias("behind"))
 
 
 def share_report(mixed: DataFrame, source_targets: DataFrame) -> DataFrame:
@@ -126,3 +156,18 @@ def share_report(mixed: DataFrame, source_targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(F.max("actual_share").alias("actual_share"), F.sum("n_tokens").alias("n_tokens"), F.count_distinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_uses"), F.max("use_no").alias("most_uses"))
     zero = F.lit(0).cast("long")
     return want.join(got, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("actual_share", F.lit(0.0)).alias("actual_share"), *[F.coalesce(c, zero).alias(c) for c in ("n_tokens", "n_documents", "n_uses", "most_uses")])
+
+
+def mix_checks(mixed: DataFrame, source_targets: DataFrame) -> DataFrame:
+    """For each source with a target: rows of fault: documents used too often or with gaps in their numbering, a deviation of a whole block, a share off its target (among the sources in the mix) by more than a thousandth and two documents."""
+    want = mixed.sparkSession.createDataFrame([(s, w, r) for s, (w, r) in sorted(clean_targets(source_targets).items())], "source string, target_share double, max_repeats long")
+    uses = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("use_no").alias("last")).join(F.broadcast(want), "source")
+    over = uses.groupBy("source").agg(F.count_if((F.col("n") > F.coalesce("max_repeats", F.col("n"))) | (F.col("n") != F.col("last"))).alias("n_overused"))
+    off = block_deviation(mixed).select("source", ((F.col("ahead") >= 1) | (F.col("behind") >= 1)).cast("long").alias("n_blocks_off"))
+    share = mixed.groupBy("source").agg(F.max("actual_share").alias("actual_share"), F.sum("n_tokens").alias("got"), F.max("n_tokens").alias("largest")).join(F.broadcast(want), "source")
+    every = Window.partitionBy()  # one row a source
+    even = share.withColumn("due", F.col("target_share") / F.sum("target_share").over(every)).withColumn("slack", 0.001 + 2 * F.max("largest").over(every) / F.sum("got").over(every))
+    shares = even.select("source", (F.abs(F.col("actual_share") - F.col("due")) > F.col("slack")).cast("long").alias("n_shares_off"))
+    zero = F.lit(0).cast("long")
+    j = want.join(over, "source", "left").join(off, "source", "left").join(shares, "source", "left")
+    return j.select("source", "target_share", *[F.coalesce(c, zero).alias(c) for c in ("n_overused", "n_blocks_off", "n_shares_off")])

@@ -97,7 +97,7 @@ def _packer(capacity: int, tasks: int):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()  # the same packing however the rows arrived
+        t = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("n_tokens", "ascending")]).combine_chunks()  # the same packing however the rows arrived
         sizes = t.column("n_tokens").to_numpy().astype(np.int64)
         place = TaskContext.get().partitionId()
         box = pack_sizes(sizes, capacity) * tasks + place
@@ -115,21 +115,22 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "piece", (F.col("piece") * cap).alias("token_start"), F.least(cap, n - F.col("piece") * cap).alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, capacity: int, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, items_per_task: int = ITEMS_PER_TASK, n_items: int | None = None) -> DataFrame:
     """doc_id, piece, token_start, n_tokens, container_id for sizes (doc_id, n_tokens).
 
     No container holds over ``capacity`` tokens; only a document larger than
     that is divided, at token positions. Documents without tokens (null or empty
     text, null size) are listed with container_id null: they take no room. An
     empty table gives no rows; documents may share a size or repeat.
+    ``n_items`` saves a pass where the number of pieces is known.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     known = sizes.select("doc_id", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0).cast("long")).alias("n_tokens"))
     cut = pieces(known, capacity)
     items = cut.where(F.col("n_tokens") > 0)
-    tasks = max(1, -(-items.count() // items_per_task))
-    spread = items.coalesce(1) if tasks == 1 else items.repartition(tasks, F.xxhash64("doc_id", "piece"))
+    tasks = max(1, -(-(items.count() if n_items is None else n_items) // items_per_task))
+    spread = items.coalesce(1) if tasks == 1 else items.repartition(tasks, F.xxhash64("doc_id", "piece", "n_tokens"))
     packed = spread.mapInArrow(_packer(capacity, tasks), "doc_id long, piece long, token_start long, n_tokens long, container_id long")
     return packed.unionByName(cut.where(F.col("n_tokens") <= 0).withColumn("container_id", F.lit(None).cast("long")))
 
@@ -144,8 +145,10 @@ def pack_profiles(documents: DataFrame, profile_budgets: DataFrame, vocabulary:
     """The packing of all documents for every profile in force; texts are tokenized once."""
     sizes = count_tokens(documents, ["doc_id"], vocabulary)
     out: DataFrame | None = None
-    for name, version, capacity in profiles_in_force(profile_budgets):
-        one = pack(sizes, capacity, items_per_task).select(F.lit(name).alias("profile_id"), F.lit(version).cast("int").alias("version"), F.lit(capacity).cast("long").alias("capacity"), "container_id", "doc_id", "piece", "token_start", "n_tokens")
+    profiles = profiles_in_force(profile_budgets)
+    n_pieces = sizes.agg(F.lit(0).alias("none"), *[F.coalesce(F.sum(F.ceil(F.col("n_tokens") / c)), F.lit(0)).cast("long") for _, _, c in profiles]).first()  # one row
+    for k, (name, version, capacity) in enumerate(profiles, 1):
+        one = pack(sizes, capacity, items_per_task, n_pieces[k]).select(F.lit(name).alias("profile_id"), F.lit(version).cast("int").alias("version"), F.lit(capacity).cast("long").alias("capacity"), "container_id", "doc_id", "piece", "token_start", "n_tokens")
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no profile has a capacity")
@@ -157,3 +160,15 @@ def packing_report(packed: DataFrame) -> DataFrame:
     per = packed.groupBy("profile_id", "version", "capacity").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
     unused = F.col("containers") * F.col("capacity") - F.col("tokens")
     return per.select("*", unused.alias("unused_tokens"), (unused / (F.col("containers") * F.col("capacity"))).alias("unused_share"), F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"))
+
+
+def packing_checks(packed: DataFrame) -> DataFrame:
+    """For each profile: documents, and rows of fault: containers over capacity, documents with a gap or overlap, divided though they fit, and containers beyond a thousandth over the least number (1 allowed)."""
+    loads = packed.where(F.col("container_id").isNotNull()).groupBy("profile_id", "capacity", "container_id").agg(F.sum("n_tokens").alias("load"))
+    boxes = loads.groupBy("profile_id", "capacity").agg(F.count_if(F.col("load") > F.col("capacity")).alias("n_overfull"), F.count(F.lit(1)).alias("used"), F.sum("load").alias("tokens"))
+    docs = packed.groupBy("profile_id", "capacity", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count_distinct("piece").alias("different"), F.max("piece").alias("last"))
+    whole = (F.col("n") == F.col("end")) & (F.col("different") == F.col("pieces")) & (F.col("last") == F.col("pieces") - 1)
+    per = docs.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(~whole).alias("n_broken"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))).alias("n_divided"))
+    spare = F.col("used") - F.ceil(F.col("tokens") / F.col("capacity")) * 1.001 - 1
+    too_many = F.when(spare > 0, F.ceil(spare)).otherwise(0).cast("long").alias("n_too_many")
+    return per.join(boxes, "profile_id", "left").select("profile_id", "n_documents", F.coalesce("n_overfull", F.lit(0)).cast("long").alias("n_overfull"), "n_broken", "n_divided", F.coalesce(too_many, F.lit(0)).cast("long").alias("n_too_many"))

@@ -609,3 +609,27 @@ def sentences(documents: DataFrame) -> DataFrame:
 
     rows = documents.mapInArrow(run, "doc_id long, starts array<long>, ends array<long>")
     return rows.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("doc_id", F.col("s.starts").alias("sent_start"), F.col("s.ends").alias("sent_end"))
+
+
+def coverage(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_chars (other than white space), n_outside of any sentence, n_faulty: empty, overlapping or out of the text, or with white space at an end."""
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_start", "sent_end"))).alias("spans"))  # the sentences of one text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chars, outside, faulty = [], [], []
+            for text, ss in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                held = at = bad = 0
+                for s in ss or ():
+                    i, j = s["sent_start"], s["sent_end"]
+                    part = text[i:j]
+                    bad += not part or i < at or j > len(text) or part != part.strip()
+                    held += len("".join(part.split()))
+                    at = max(at, j)
+                chars.append(len("".join(text.split())))
+                outside.append(chars[-1] - held)
+                faulty.append(bad)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chars, pa.int64()), pa.array(outside, pa.int64()), pa.array(faulty, pa.int64())], ["doc_id", "n_chars", "n_outside", "n_faulty"])
+
+    whole = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(spans.hint("merge"), "doc_id", "left")
+    return whole.mapInArrow(run, "doc_id long, n_chars long, n_outside long, n_faulty long").where(F.col("n_chars") > 0)

@@ -23,6 +23,20 @@ def test_pfair_stays_within_one_block():
     assert mx.pfair({}) == []
 
 
+def test_periods_go_on_within_one_block():
+    """The schedule beyond one period: the same slots again, level at each period's end, whatever the number of blocks."""
+    blocks, periods = mx.period({"a": 10**12, "b": 3 * 10**12 + 7, "c": 10**9}, 5 * 10**6, 500)
+    one, whole = mx.pfair(blocks), sum(blocks.values())
+    assert periods == 10_000 and blocks["c"] == 1 and abs(whole - 500) <= 2
+    done = dict.fromkeys(blocks, 0)
+    for t in range(3 * whole):
+        s, k = one[t % whole]
+        assert (done[s] // blocks[s]) * whole + one.index((s, done[s] % blocks[s])) == t
+        done[s] += 1
+        assert all(abs(done[x] - (t + 1) * blocks[x] / whole) < 1 for x in blocks)
+    assert mx.period({}, 0) == ({}, 1)
+
+
 def test_plan_is_the_largest_that_repeats_allow():
     q = mx.plan({"a": 100, "b": 1000, "c": 50}, {"a": (0.5, 2), "b": (0.5, 1), "gone": (0.2, None), "z": (0.0, 1)})
     assert q == {"a": 200, "b": 200}
@@ -60,6 +74,7 @@ def test_shares_repeats_and_order(spark):
     for s in most:  # documents of a source are used as evenly as whole passes allow
         counts = [len(u) for (x, _), u in uses.items() if x == s]
         assert max(counts) - min(counts) <= 1
+    assert [(r.source, r.n_overused, r.n_blocks_off, r.n_shares_off) for r in mx.mix_checks(out, goals).orderBy("source").collect()] == [("hot", 0, 0, 0), ("mid", 0, 0, 0), ("nobody", 0, 0, 0), ("small", 0, 0, 0)]
     rep = {r.source: r for r in mx.share_report(out, goals).collect()}
     assert rep["nobody"].actual_share == 0.0 and rep["small"].most_uses <= 3 and sum(r.n_uses for r in rep.values()) == len(rows)
     # Interleaving: after any slot every source is near its weight.
@@ -71,6 +86,17 @@ def test_shares_repeats_and_order(spark):
         assert all(abs(seen[s] - at * tokens[s] / whole) < 0.03 * whole + 200 for s in seen)
 
 
+def test_the_stream_of_many_periods_is_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mx, "PERIOD", 16)
+    monkeypatch.setattr(mx.period, "__defaults__", (16,))
+    docs = documents(spark, 4, 900)
+    goals = spark.createDataFrame([("hot", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 3)], GOALS)
+    out = mx.mix(docs, goals)
+    assert out.agg({"slot": "max"}).first()[0] > 100
+    assert all(r.ahead < 1 and r.behind < 1 for r in mx.block_deviation(out).collect())
+    assert {(r.n_overused, r.n_blocks_off) for r in mx.mix_checks(out, goals).collect()} == {(0, 0)}
+
+
 def test_empty_tables(spark):
     goals = spark.createDataFrame([("a", 0.5, 1)], GOALS)
     none = spark.createDataFrame([], DOCS)

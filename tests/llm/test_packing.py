@@ -75,3 +75,10 @@ def test_empty_and_profiles(spark):
     rep = pk.packing_report(packed).collect()
     assert len(rep) == 1 and rep[0].capacity == 8 and rep[0].containers >= rep[0].least_containers
     assert {r.doc_id for r in packed.where("container_id is null").collect()} == {2, 3}
+    assert [tuple(r) for r in pk.packing_checks(packed).collect()] == [("w", 4, 0, 0, 0, 0)]
+
+
+def test_repeated_ids_of_different_size_pack_the_same_whatever_the_order(spark):
+    rows = [(1, n) for n in (7, 3, 9, 3, 5)] + [(None, n) for n in (4, 4, 8)]
+    got = [sorted(map(str, pk.pack(spark.createDataFrame(r, "doc_id long, n_tokens long"), 10).select("n_tokens", "container_id").collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1]
