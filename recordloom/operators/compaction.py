@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import clean_key, instant
 from recordloom.operators.context import json_tags, withdrawn
+from recordloom.operators.digests import write_receipt
+from recordloom.session import delete_path, list_files, move_path, path_exists
 
 
 def anchor_states(anchor_facts: DataFrame) -> DataFrame:
@@ -54,3 +58,46 @@ def manifest_plan(flagged: DataFrame, anchors: DataFrame, at: str, expires_point
 def withdrawals(view: DataFrame) -> DataFrame:
     """id of records whose tags withdraw them."""
     return view.where(withdrawn(json_tags(F.col("tags")))).select("id")
+
+
+class NotVerified(RuntimeError):
+    """What was written does not hold what it should; the ledger in force stays."""
+
+
+def publish(kept: DataFrame, path: str, receipt: dict | None = None) -> str:
+    """Put the records that stay in force at ``path``; returns the digest of the receipt.
+
+    They are written to a shadow folder, read back and compared by count and
+    digest, and only then take the name ``current``; the ledger before it is
+    kept as ``before-<digest>``. A run that dies leaves the old one in force, or
+    (between the two moves) none under ``current`` and both whole: ``recover``.
+    """
+    spark = kept.sparkSession
+    shadow = f"{path}/shadow-{uuid.uuid4().hex}"
+    kept.write.parquet(shadow)
+    figures = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*sorted(kept.columns))).alias("x")).first().asDict()
+    want, got = figures(kept), figures(spark.read.schema(kept.schema).parquet(shadow))
+    if want != got:
+        delete_path(spark, shadow)
+        raise NotVerified(f"{got} written for {want}")
+    name = write_receipt(spark, f"{path}/receipts", (receipt or {}) | {"records": got["n"], "digest": got["x"]})
+    if path_exists(spark, f"{path}/current"):
+        move_path(spark, f"{path}/current", f"{path}/before-{name}")
+    move_path(spark, shadow, f"{path}/current")
+    return name
+
+
+def recover(spark: SparkSession, path: str) -> str:
+    """After an interrupted ``publish``: the newest ledger that was verified comes into force. Says what was done."""
+    if path_exists(spark, f"{path}/current"):
+        return "nothing to do"
+    files = list_files(spark, path)
+    folders = {f.rsplit("/", 2)[1]: max(v[1] for g, v in files.items() if g.rsplit("/", 2)[1] == f.rsplit("/", 2)[1]) for f in files}
+    verified = [d for d in folders if d.startswith("before-")]
+    shadows = [d for d in folders if d.startswith("shadow-") and path_exists(spark, f"{path}/{d}/_SUCCESS")]
+    # The old ledger was moved away, so the shadow had been verified before.
+    pick = max(shadows, key=folders.get) if verified and shadows else max(verified, key=folders.get) if verified else None
+    if pick is None:
+        raise NotVerified("there is no verified ledger")
+    move_path(spark, f"{path}/{pick}", f"{path}/current")
+    return f"{pick.split('-')[0]} put in force"

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.session import put_text
+
 
 def _ordered_parts(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The values in key order, packed into blobs of about a megabyte: part, seq, blob."""
@@ -73,17 +75,11 @@ def set_digest(manifest_sha256: str, inputs: list[str]) -> str:
     return hashlib.sha256("\0".join([manifest_sha256, *inputs]).encode()).hexdigest()
 
 
-def write_receipt(folder: str, body: dict) -> str:
+def write_receipt(spark: SparkSession, folder: str, body: dict) -> str:
     """Write a receipt under its own digest; the same body gives the same file, written once. Returns the digest."""
     import json
-    import os
 
     text = json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     name = hashlib.sha256(text.encode()).hexdigest()
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{name}.json")
-    if not os.path.exists(path):
-        with open(f"{path}.part", "w", encoding="utf-8") as f:
-            f.write(text)
-        os.replace(f"{path}.part", path)
+    put_text(spark, f"{folder}/{name}.json", text)
     return name

@@ -36,7 +36,8 @@ class Report:
 class SearchEngine:
     """``view``: a ledger view with ``superseded``. ``points``: id, input_sha256, embedding; ``documents``: id, input_sha256, as of now.
 
-    ``embed`` turns the query text into a vector of the points' space.
+    ``embed`` turns the query text into a vector of the points' space. ``index``
+    holds the texts of the view; without it they are read for each query.
     """
 
     view: DataFrame
@@ -44,6 +45,7 @@ class SearchEngine:
     documents: DataFrame | None = None
     embed: Callable[[str], list[float]] | None = None
     policy: Policy = Policy()
+    index: search.TextIndex | None = None
 
     def _eligible(self, namespace: str | None, type_name: str | None, flags: list[str], strict: bool) -> DataFrame:
         v = self.view.where(~F.col("superseded") & ~F.col("revoked"))
@@ -54,7 +56,8 @@ class SearchEngine:
         return filters.where(v, flags, strict)
 
     def _text(self, query: str, eligible: DataFrame, limit: int, stem: bool) -> tuple[DataFrame, DataFrame]:
-        every = search.bm25(self.view, query, stem).join(eligible.select("id", "recorded_at"), "id")
+        scored = search.bm25(self.view, query, stem) if self.index is None else self.index.score(query, stem)
+        every = scored.join(eligible.select("id", "recorded_at"), "id")
         key: list[Column] = [F.desc(F.round("score", 9)), F.desc("recorded_at"), F.asc("id")]
         return search.ranked(every, key, limit), every
 

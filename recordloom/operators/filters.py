@@ -2,8 +2,10 @@
 
 Flags are ANDed, comma-separated values ORed, a leading ``!`` negates the whole
 flag, ``null`` asks for absence. A record without the field passes unless
-``strict``. Conditions on plain envelope columns become Catalyst predicates,
-which reach the scan; the others share one Arrow pass over the payload.
+``strict``. Conditions on plain envelope columns become Catalyst predicates; of
+those, the ones on columns that all deliveries of a record spell alike go below
+the grouping and reach the scan (``where_records``). The others share one Arrow
+pass over the payloads that are left.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.jsonpath import MISSING, address, in_envelope, scalar_text
 from recordloom.functions.jsontext import NOTHING, parse
+from recordloom.operators import ledger
 
 #: Envelope fields that are text columns of the ledger view.
 _COLUMNS = {"id": "id", "namespace": "namespace", "type": "type_name", "actor": "actor", "recorded_at": "recorded_at", "observed_at": "observed_at", "valid_at": "valid_at", "supersedes": "supersedes"}
@@ -76,7 +79,7 @@ def _as_column(c: Condition, strict: bool) -> Column | None:
     if None in c.values:
         return col.isNull() | hit
     known = ~hit if c.negated else hit
-    return F.when(col.isNull(), F.lit(not strict)).otherwise(known)
+    return col.isNotNull() & known if strict else col.isNull() | known  # forms that a scan understands
 
 
 def check_declared(flags: list[str], fields: set[str]) -> None:
@@ -126,3 +129,27 @@ def where(view: DataFrame, flags: list[str], strict: bool = False) -> DataFrame:
         return pd.Series(out, dtype=bool)
 
     return view.where(passes(F.col("payload"), F.struct(*texts)))
+
+
+def where_records(records: DataFrame, flags: list[str], strict: bool = False) -> DataFrame:
+    """The ledger view of the records that pass every flag; conditions on namespace, type and actor cut the deliveries in the scan."""
+    only, rest = F.lit(True), []
+    for flag in flags:
+        c = parse_flag(flag)
+        predicate = _as_column(c, strict)
+        if predicate is not None and _COLUMNS[c.path[1]] in ledger.PLAIN:
+            only = only & predicate
+        else:
+            rest.append(flag)
+    if not rest:
+        return ledger.ledger_view(records, (*_COLUMNS_OF_A_VIEW,), only)
+    return where(ledger.ledger_view(records, (*_COLUMNS_OF_A_VIEW, "payload", *_needed(rest)), only), rest, strict)
+
+
+_COLUMNS_OF_A_VIEW = tuple(c for c in _COLUMNS.values() if c != "id")
+
+
+def _needed(flags: list[str]) -> tuple[str, ...]:
+    """evidence and tags, where a condition may address them."""
+    named = {p for f in flags for p in parse_flag(f).path[:2]}
+    return tuple(c for c in ("evidence", "tags") if c in named)

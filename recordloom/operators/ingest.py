@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import canonical_uuid, instant
+from recordloom.session import get_text
 
 ENVELOPE = (
     "id string, namespace string, type string, actor string, recorded_at string, observed_at string, valid_at string, payload string, "
@@ -113,40 +114,35 @@ def over_word_limit(view: DataFrame, limits: dict[tuple[str, str], int]) -> Data
     return out
 
 
-def read_manifest(path: str) -> list[dict]:
+def read_manifest(spark: SparkSession, path: str) -> list[dict]:
     """Inputs of an import: JSONL of path, role, expiry and anchor resolver; a path may stand there once."""
     import json
 
     out: list[dict] = []
-    with open(path, encoding="utf-8") as lines:
-        for n, line in enumerate(lines, 1):
-            if not line.strip():
-                continue
-            entry = json.loads(line)
-            if not isinstance(entry, dict) or not isinstance(entry.get("path"), str) or not entry["path"]:
-                raise ValueError(f"line {n} names no path")
-            if unknown := set(entry) - {"path", "role", "expiry", "anchor_resolver"}:
-                raise ValueError(f"line {n} has unknown fields {sorted(unknown)}")
-            if any(e["path"] == entry["path"] for e in out):
-                raise ValueError(f"line {n} repeats {entry['path']}")
-            if entry.get("expiry") is not None:
-                entry["expiry"] = {"warning_days": 30} | entry["expiry"]
-            out.append(entry)
+    for n, line in enumerate(get_text(spark, path).split("\n"), 1):
+        if not line.strip():
+            continue
+        entry = json.loads(line)
+        if not isinstance(entry, dict) or not isinstance(entry.get("path"), str) or not entry["path"]:
+            raise ValueError(f"line {n} names no path")
+        if unknown := set(entry) - {"path", "role", "expiry", "anchor_resolver"}:
+            raise ValueError(f"line {n} has unknown fields {sorted(unknown)}")
+        if any(e["path"] == entry["path"] for e in out):
+            raise ValueError(f"line {n} repeats {entry['path']}")
+        if entry.get("expiry") is not None:
+            entry["expiry"] = {"warning_days": 30} | entry["expiry"]
+        out.append(entry)
     return out
 
 
-def is_batch(path: str) -> bool:
-    """Whether a draft file holds several drafts, one a line, rather than one JSON document."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    try:
-        json.loads(text)
-    except ValueError:
-        lines = [x for x in text.splitlines() if x.strip()]
-        return len(lines) > 1 and all(x.lstrip().startswith("{") for x in lines)
-    return False
+def is_batch(spark: SparkSession, path: str) -> bool:
+    """Whether a draft file holds several drafts, one a line, rather than one JSON document; decided by Spark, so the file may be large."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    first = lines.limit(2).collect()
+    if len(first) < 2 or not all(r[0].lstrip().startswith("{") for r in first):
+        return False
+    broken = F.try_parse_json("value").isNull() | ~F.ltrim("value").startswith("{")
+    return lines.where(broken).limit(1).count() == 0 or spark.read.text(path, wholetext=True).where(F.try_parse_json("value").isNotNull()).limit(1).count() == 0
 
 
 def verify_receipts(receipt_lines: DataFrame, ledger_digests: DataFrame) -> DataFrame:

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import canonical_uuid, instant, predecessor_uuid
+from recordloom.session import materialize
 
 
 def clean_json(c: Column) -> Column:
-    """The JSON text of a column, opened if kept as text inside JSON; null if damaged."""
-    v = F.try_parse_json(c)
-    inner = F.try_variant_get(v, "$", "string")
-    opened = F.when(F.schema_of_variant(v) == "STRING", inner).otherwise(c)
-    return F.when(F.try_parse_json(opened).isNotNull(), opened)
+    """The JSON text of a column, opened if kept as text inside JSON; null if damaged. A text is parsed once, one inside JSON twice."""
+    inner = F.try_variant_get(F.try_parse_json(c), "$", "string")
+    return F.when(c.rlike('^[ \\t\\r\\n]*"'), F.when(F.try_parse_json(inner).isNotNull(), inner)).when(F.try_parse_json(c).isNotNull(), c)
 
 
 _TEXTS = ("namespace", "type_name", "actor", "recorded_at", "observed_at", "valid_at", "payload", "evidence", "tags", "supersedes", "record_sha256", "ledger")
@@ -28,37 +27,65 @@ def deliveries(records: DataFrame) -> DataFrame:
     ).where(F.col("id").isNotNull())
 
 
-def ledger_view(records: DataFrame, columns: tuple[str, ...] = _TEXTS) -> DataFrame:
+#: What all deliveries of a record spell alike, so that a condition on it may go below the grouping, down to the scan.
+PLAIN = ("namespace", "type_name", "actor")
+
+
+def ledger_view(records: DataFrame, columns: tuple[str, ...] = _TEXTS, only: Column | None = None) -> DataFrame:
     """One row for each record: id, the named columns, revoked.
 
     Deliveries of one record say the same, so the smallest spelling of each
     column stands for it; any revoked delivery revokes. Columns that are not
-    asked for are neither parsed nor shuffled.
+    asked for are neither parsed nor shuffled. ``only`` is a condition on the
+    PLAIN columns; it cuts deliveries before anything is parsed or shuffled.
     """
-    return deliveries(records).groupBy("id").agg(*[F.min(c).alias(c) for c in columns], F.max("revoked").alias("revoked"))
+    source = records if only is None else records.where(only)
+    return deliveries(source).groupBy("id").agg(*[F.min(c).alias(c) for c in columns], F.max("revoked").alias("revoked"))
+
 
+def predecessors(records: DataFrame) -> DataFrame:
+    """id of every record that some delivery names as its predecessor, once each: all that has to be known of the records outside a scope."""
+    return records.select(predecessor_uuid(F.col("supersedes")).alias("id")).where(F.col("id").isNotNull()).distinct()
 
-def with_superseded(view: DataFrame) -> DataFrame:
-    """Adds ``superseded``: some record names this one as its predecessor."""
-    named = view.where(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("id")).distinct().withColumn("superseded", F.lit(True))
-    return view.join(named, "id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
 
+def in_scope(namespace: str | None, type_name: str | None) -> Column:
+    """The condition of a namespace and a type, either of which may be left open."""
+    out = F.lit(True)
+    for name, value in (("namespace", namespace), ("type_name", type_name)):
+        if value is not None:
+            out = out & (F.col(name) == value)
+    return out
 
-def current(view: DataFrame) -> DataFrame:
+
+def with_superseded(view: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Adds ``superseded``: some record names this one as its predecessor. ``named`` (``predecessors``) is needed if the view is but a part."""
+    if named is None:
+        named = view.where(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("id")).distinct()
+    return view.join(named.withColumn("superseded", F.lit(True)), "id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+
+
+def current(view: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Records no other record supersedes and nobody revoked."""
-    named = view.where(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("id"))
+    if named is None:
+        named = view.where(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("id"))
     return view.where(~F.col("revoked")).join(named, "id", "left_anti")
 
 
-def scan(view: DataFrame, namespace: str | None, type_name: str | None, limit: int) -> DataFrame:
+def scan(records: DataFrame, namespace: str | None, type_name: str | None, limit: int) -> DataFrame:
     """Current records of a scope in id order, a page of ``limit`` rows (1 to 10,000)."""
     if not 1 <= limit <= 10_000:
         raise ValueError("limit must be between 1 and 10000")
-    scoped = current(view)
-    for name, value in (("namespace", namespace), ("type_name", type_name)):
-        if value is not None:
-            scoped = scoped.where(F.col(name) == value)
-    return scoped.orderBy("id").limit(limit)
+    scoped = ledger_view(records, ("namespace", "type_name"), in_scope(namespace, type_name))
+    return current(scoped, predecessors(records)).orderBy("id").limit(limit)
+
+
+def ordinals(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``ordinal`` (from 1) in order of ``key``: rank within the sort's partitions plus the partitions' offsets, no window over all rows."""
+    ordered = materialize(rows.orderBy(key).withColumn("_m", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_m", 33))
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a partition
+    at = F.col("_base") + (F.col("_m") - F.shiftleft("_part", 33)) + 1
+    return ordered.join(F.broadcast(offsets), "_part").select(at.alias("ordinal"), *rows.columns)
 
 
 def locate(records: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -67,6 +94,19 @@ def locate(records: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(at.groupBy("id").agg(F.min("ledger").alias("ledger"), F.min("record_sha256").alias("record_sha256")), "id").select("ordinal", "id", "ledger", "record_sha256")
 
 
+def get(records: DataFrame, wanted: DataFrame, columns: tuple[str, ...] = _TEXTS) -> DataFrame:
+    """The records with the ids of ``wanted`` (id), superseded and revoked ones too; other deliveries are neither parsed nor shuffled whole."""
+    ids = wanted.select(canonical_uuid(F.col("id")).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    held = records.withColumn("_id", canonical_uuid(F.col("id"))).join(ids, "_id", "left_semi").drop("_id")
+    return ledger_view(held, columns)
+
+
+def claims(view: DataFrame, type_registry: DataFrame) -> DataFrame:
+    """id, type_name, claimed_by: each linear type whose line a record belongs to, its own or one that lists its type as a predecessor."""
+    linear = type_registry.where(F.col("lifecycle_mode") == "linear").select(F.col("type_name").alias("claimed_by"), F.explode(F.array_union(F.array("type_name"), F.coalesce("predecessor_types", F.array().cast("array<string>")))).alias("type_name")).distinct()
+    return view.join(linear, "type_name").select("id", "type_name", "claimed_by")
+
+
 def counts(flagged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """total, live, dead, superseded, revoked, both; dead = superseded + revoked - both."""
     n = lambda c: F.count_if(c)

@@ -1,8 +1,10 @@
 """Full-text, vector and hybrid search.
 
-Text: an inverted index (postings) with BM25. Corpus statistics cover all
-indexed records; lifecycle and scope are applied to the hits. Vector: exact
-nearest neighbours; a set of queries is compared with all rows block by block.
+Text: BM25 over a kept inverted index (``TextIndex``: postings sorted by term, of
+which a query reads its own terms) or, without one, over the texts themselves
+(``bm25``). Corpus statistics cover all indexed records; lifecycle and scope are
+applied to the hits. Vector: exact nearest neighbours; a set of queries is
+compared with all rows block by block.
 Hybrid: a priority merge of ranked lists, or reciprocal ranks as exact fractions.
 """
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions.text import fold, porter, search_text, tokens
-from recordloom.session import materialize
+from recordloom.session import kept, materialize
 
 # The customary BM25 constants, the least idf, and the rank constant of reciprocal rank fusion.
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -38,13 +40,6 @@ def _stemmed(text: pd.Series) -> pd.Series:
     return text.map(lambda x: [stem(t) for t in re.findall(r"[^\W_]+", fold(x))] if x else [])
 
 
-def postings(view: DataFrame, stem: bool = False) -> DataFrame:
-    """id, len, term, tf for every term of every record."""
-    text = search_text(F.col("payload"), F.col("evidence"), F.col("tags"))
-    words = view.select("id", (_stemmed(text) if stem else tokens(text)).alias("words"))
-    return words.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def query_terms(query: str, stem: bool = False) -> list[list[str]]:
     """White-space terms, ORed; each is the list of its tokens (several make a phrase, none matches nothing)."""
     out = []
@@ -60,6 +55,22 @@ def _equals(token: str):
     return lambda x: x == token
 
 
+def _scored(rows: DataFrame, n_terms: int, n: float, avg_len: float, frequencies: list[float]) -> DataFrame:
+    """id, score of rows (id, len, t0, t1, ...) that hold one of the terms."""
+    hits = rows.where(F.greatest(*[F.col(f"t{k}") for k in range(n_terms)], F.lit(0.0)) > 0)
+    score: Column = F.lit(0.0)
+    for k, df in enumerate(frequencies):
+        tf = F.col(f"t{k}")
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
+    return hits.select("id", score.alias("score"))
+
+
+def _words(view: DataFrame, stem: bool) -> DataFrame:
+    text = search_text(F.col("payload"), F.col("evidence"), F.col("tags"))
+    return view.select("id", (_stemmed(text) if stem else tokens(text)).alias("w"))
+
+
 def bm25(view: DataFrame, query: str, stem: bool = False) -> DataFrame:
     """id, score for all records that hold a term of the query; higher is better.
 
@@ -69,8 +80,7 @@ def bm25(view: DataFrame, query: str, stem: bool = False) -> DataFrame:
     come from one aggregate over all records.
     """
     terms = query_terms(query, stem)
-    text = search_text(F.col("payload"), F.col("evidence"), F.col("tags"))
-    words = view.select("id", (_stemmed(text) if stem else tokens(text)).alias("w"))
+    words = _words(view, stem)
     tfs: list[Column] = []
     for k, toks in enumerate(terms):
         if len(toks) == 1:
@@ -84,14 +94,61 @@ def bm25(view: DataFrame, query: str, stem: bool = False) -> DataFrame:
         return rows.select("id", F.lit(0.0).alias("score")).limit(0)
     rows = materialize(rows, "term-counts")  # read twice, and the tokens need be cut only once
     stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"t{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(terms))]).first()  # one row
-    n, avg_len = stats["n"], stats["avg_len"] or 1.0
-    scored = rows.where(F.greatest(*[F.col(f"t{k}") for k in range(len(terms))], F.lit(0.0)) > 0)
-    score: Column = F.lit(0.0)
-    for k in range(len(terms)):
-        df, tf = stats[f"d{k}"], F.col(f"t{k}")
-        idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / avg_len))
-    return scored.select("id", score.alias("score"))
+    return _scored(rows, len(terms), stats["n"], stats["avg_len"] or 1.0, [stats[f"d{k}"] for k in range(len(terms))])
+
+
+class TextIndex:
+    """The inverted index at ``path``: ``postings`` (term, id, len, pos), one row a use, and ``stats``.
+
+    Postings are sorted by term and record over all files, so that the row
+    groups a query does not need are skipped by their statistics; a term that
+    stands in a third of all records spans many files.
+    """
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def build(self, view: DataFrame, stem: bool = False) -> "TextIndex":
+        """Index a ledger view (id, payload, evidence, tags)."""
+        words = materialize(_words(view, stem), "words")
+        n = F.size("w")
+        words.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg(F.when(n > 0, n).otherwise(0)), F.lit(0.0)).alias("avg_len")).write.mode("overwrite").parquet(f"{self.path}/stats")
+        each = words.select("id", n.alias("len"), F.posexplode("w").alias("pos", "term"))
+        each.select("term", "id", "len", "pos").orderBy("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{self.path}/postings")
+        return self
+
+    def score(self, query: str, stem: bool = False) -> DataFrame:
+        """id, score as ``bm25`` gives them, from the postings of the query's tokens alone."""
+        terms = query_terms(query, stem)
+        used = sorted({t for toks in terms for t in toks})
+        rows = self.spark.read.parquet(f"{self.path}/postings").where(F.col("term").isin(used) if used else F.lit(False))
+        tfs: list[Column] = []
+        for k, toks in enumerate(terms):
+            if len(toks) == 1:
+                tf = F.count_if(F.col("term") == toks[0])
+            else:  # where each token stands, moved to the phrase's first place
+                places = [F.collect_list(F.when(F.col("term") == t, F.col("pos") - j)) for j, t in enumerate(toks)]
+                common = F.array_distinct(places[0])
+                for p in places[1:]:
+                    common = F.array_intersect(common, p)
+                tf = F.size(common)
+            tfs.append(tf.cast("double").alias(f"t{k}"))
+        if not terms:
+            return rows.select("id", F.lit(0.0).alias("score"))
+        rows = materialize(rows.groupBy("id").agg(F.first("len").cast("double").alias("len"), *tfs), "term-counts")
+        stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        held = rows.agg(*[F.count_if(F.col(f"t{k}") > 0).cast("double").alias(f"d{k}") for k in range(len(terms))]).first()  # one row
+        return _scored(rows, len(terms), stats["n"], stats["avg_len"] or 1.0, list(held))
+
+    def terms(self) -> DataFrame:
+        """term, n_records, n_uses."""
+        return self.spark.read.parquet(f"{self.path}/postings").groupBy("term").agg(F.count_distinct("id").alias("n_records"), F.count(F.lit(1)).alias("n_uses"))
+
+
+def kept_index(spark, sources: list[str], view, stem: bool = False) -> TextIndex:
+    """The index of ``view()``, built when there is none for the present state of the files it is made from."""
+    path = kept(spark, "stemmed" if stem else "text", sources, lambda at: TextIndex(spark, at).build(view(), stem))
+    return TextIndex(spark, path)
 
 
 def ranked(hits: DataFrame, key: list[Column], limit: int) -> DataFrame:
@@ -100,14 +157,19 @@ def ranked(hits: DataFrame, key: list[Column], limit: int) -> DataFrame:
     return page.select(F.row_number().over(Window.orderBy(*key)).cast("int").alias("rank"), "id")  # over a page
 
 
-def top_text(view: DataFrame, query: str, k: int, scope: Column | None = None, stem: bool = False) -> DataFrame:
-    """rank, id, score of the k best hits in scope; ties by recorded_at (text, newest first), then id."""
-    hits = bm25(view, query, stem).join(view.where(scope) if scope is not None else view, "id").select("id", "score", "recorded_at")
+def top_hits(hits: DataFrame, eligible: DataFrame, k: int) -> DataFrame:
+    """rank, id, score of the k best of ``hits`` (id, score) among the eligible (id, recorded_at); ties by recorded_at (text, newest first), then id."""
+    hits = hits.join(eligible.select("id", "recorded_at"), "id").select("id", "score", "recorded_at")
     best = hits.orderBy(F.desc(F.round("score", 9)), F.desc("recorded_at"), "id").limit(k)
     w = Window.orderBy(F.desc(F.round("score", 9)), F.desc("recorded_at"), "id")  # over k rows
     return best.select(F.row_number().over(w).alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
+def top_text(view: DataFrame, query: str, k: int, scope: Column | None = None, stem: bool = False) -> DataFrame:
+    """As ``top_hits``, over the texts of the view itself; ``scope`` says what is eligible."""
+    return top_hits(bm25(view, query, stem), view.where(scope) if scope is not None else view, k)
+
+
 METRICS = ("cosine", "dot", "euclid", "manhattan")
 
 
@@ -141,6 +203,19 @@ def nearest(points: DataFrame, query: list[float], k: int, metric: str = "cosine
     return hits.orderBy(F.desc("score"), key).limit(k)
 
 
+def points_in_scope(points: DataFrame, store: str | None = None, model: str | None = None, namespace: str | None = None, type_name: str | None = None) -> DataFrame:
+    """The vectors of an index that a query may meet; each condition left out is open. All of them reach the scan."""
+    for name, value in (("store", store), ("model", model), ("namespace", namespace), ("type_name", type_name)):
+        if value is not None:
+            points = points.where(F.col(name) == value)
+    return points
+
+
+def point_metadata(points: DataFrame, ids: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Everything the index says of the given ids, without the vectors, which are not even read."""
+    return points.drop(vector).join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def nearest_of_all(queries: DataFrame, points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, rank, key, score: the k nearest by cosine of each query among all points, exactly.
 

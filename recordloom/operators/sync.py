@@ -20,25 +20,29 @@ def canonical_text(namespace: str, type_name: str, tags: list, payload: object)
     return "".join(f"{line}\n" for line in [*head, *(f"tag {t}" for t in sorted({t for t in tags if isinstance(t, str)})), *(f"{p} {v}" for p, v in leaves(payload))])
 
 
-def documents(view: DataFrame, max_chars: int = 8_000) -> DataFrame:
-    """id, namespace, type_name, record_sha256, input_sha256, text; the text is cut before it is hashed.
+def documents(view: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """id, namespace, type_name, record_sha256, input_sha256, text, truncated; whole texts.
 
-    Records without namespace or type cannot be embedded and are left out.
+    ``max_chars`` is for models that take no more: texts are then cut before
+    they are hashed, and ``truncated`` says which. Records without namespace or
+    type cannot be embedded and are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow_big_numbers()
         for b in batches:
-            text, sha = [], []
+            text, sha, cut = [], [], []
             for ns, t, tags, payload in zip(*(b.column(k).to_pylist() for k in (1, 2, 4, 5))):
                 held, value = parse(tags), parse(payload)
-                x = canonical_text(ns, t, held if isinstance(held, list) else [], None if value is NOTHING else value)[:max_chars]
+                x = canonical_text(ns, t, held if isinstance(held, list) else [], None if value is NOTHING else value)
+                cut.append(max_chars is not None and len(x) > max_chars)
+                x = x[:max_chars]
                 text.append(x)
                 sha.append(hashlib.sha256(x.encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sha), strings(text)], ["id", "namespace", "type_name", "record_sha256", "input_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sha, pa.string()), strings(text), pa.array(cut, pa.bool_())], ["id", "namespace", "type_name", "record_sha256", "input_sha256", "text", "truncated"])
 
     usable = view.where((F.trim("namespace") != "") & (F.trim("type_name") != ""))
-    return usable.select("id", "namespace", "type_name", "record_sha256", "tags", "payload").mapInArrow(run, "id string, namespace string, type_name string, record_sha256 string, input_sha256 string, text string")
+    return usable.select("id", "namespace", "type_name", "record_sha256", "tags", "payload").mapInArrow(run, "id string, namespace string, type_name string, record_sha256 string, input_sha256 string, text string, truncated boolean")
 
 
 def delta(corpus: DataFrame, index: DataFrame) -> DataFrame:
@@ -53,6 +57,21 @@ def delta(corpus: DataFrame, index: DataFrame) -> DataFrame:
     return j.select("id", action.alias("action"))
 
 
+def applied(index: DataFrame, plan: DataFrame, corpus: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The index after a plan of ``delta``: id, record_sha256, input_sha256, embedding.
+
+    Deleted ids go, relabelled ones keep their vector under the new digest,
+    embedded ones take theirs from ``vectors`` (id, embedding). To activate it,
+    write it beside the old one and move it to its name (``session.move_path``).
+    """
+    todo = plan.select("id", "action")
+    old = index.groupBy("id").agg(F.max(F.struct("record_sha256", "input_sha256", "embedding")).alias("i")).select("id", "i.*")
+    new = corpus.select("id", F.col("record_sha256").alias("r"), F.col("input_sha256").alias("t"))
+    stays = old.join(todo.where(F.col("action").isin("unchanged", "relabel")), "id").join(new, "id", "left").select("id", F.coalesce("r", "record_sha256").alias("record_sha256"), "input_sha256", "embedding")
+    comes = new.join(todo.where(F.col("action") == "embed"), "id").join(vectors.select("id", "embedding"), "id").select("id", F.col("r").alias("record_sha256"), F.col("t").alias("input_sha256"), "embedding")
+    return stays.unionByName(comes)
+
+
 def hashed_embedding(texts: DataFrame, dimensions: int = 64, key: str = "id", column: str = "text") -> DataFrame:
     """A deterministic offline embedder: hashed words, signed, normalised. Replace it by any model with this signature."""
     import numpy as np

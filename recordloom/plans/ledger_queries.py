@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import clean_key
@@ -27,17 +27,21 @@ v AS (SELECT led.*, EXISTS (SELECT 1 FROM led c WHERE c.supersedes = led.id) AS
 _TAGS = "coalesce(from_json(tags, '[\"VARCHAR\"]'), [])"
 
 
-def _view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return ledger.ledger_view(table(spark, sf_dir, "records"), tuple(columns))
+def _view(spark: SparkSession, sf_dir: str, *columns: str, only: Column | None = None) -> DataFrame:
+    return ledger.ledger_view(table(spark, sf_dir, "records"), tuple(columns), only)
 
 
 def _flagged(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return ledger.with_superseded(_view(spark, sf_dir, "supersedes", *columns))
 
 
+def _of_type(*types: str) -> Column:
+    return F.col("type_name").isin(*types)
+
+
 @query(VIEW + "SELECT id, namespace, type_name FROM v WHERE NOT superseded AND NOT revoked AND namespace = 'fleet.memory' AND type_name = 'fleet.lesson.v1' ORDER BY id LIMIT 100")
 def scan_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.scan(_view(spark, sf_dir, "namespace", "type_name", "supersedes"), "fleet.memory", "fleet.lesson.v1", 100).select("id", "namespace", "type_name")
+    return ledger.scan(table(spark, sf_dir, "records"), "fleet.memory", "fleet.lesson.v1", 100).select("id", "namespace", "type_name")
 
 
 @query(VIEW + "SELECT id, type_name, superseded, revoked FROM v")
@@ -52,12 +56,7 @@ def locate_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     records = table(spark, sf_dir, "records")
     wanted = table(spark, sf_dir, "compacted_records").select(canonical_uuid(F.col("record_id")).alias("id")).distinct().join(records.select(canonical_uuid(F.col("id")).alias("id")), "id", "left_semi")
-    # Ordinals by a sort, not by one window over all rows: rank within range partitions plus the partitions' offsets.
-    ordered = materialize(wanted.orderBy("id").select(F.monotonically_increasing_id().alias("m"), "id"), "wanted")
-    sizes = ordered.groupBy(F.shiftright("m", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a partition
-    numbered = ordered.withColumn("part", F.shiftright("m", 33)).join(F.broadcast(offsets), "part").select((F.col("base") + (F.col("m") - F.shiftleft("part", 33)) + 1).alias("ordinal"), "id")
-    return ledger.locate(records, numbered)
+    return ledger.locate(records, ledger.ordinals(wanted, "id"))
 
 
 @query(VIEW + "SELECT count(*) AS total, count(*) FILTER (NOT superseded AND NOT revoked) AS live, count(*) FILTER (superseded OR revoked) AS dead, count(*) FILTER (superseded) AS n_superseded, count(*) FILTER (revoked) AS n_revoked, count(*) FILTER (superseded AND revoked) AS n_both FROM v")
@@ -148,8 +147,7 @@ def type_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _where(spark: SparkSession, sf_dir: str, flags: list[str], strict: bool = False) -> DataFrame:
-    v = _view(spark, sf_dir, "namespace", "type_name", "actor", "recorded_at", "observed_at", "valid_at", "payload", "evidence", "tags", "supersedes")
-    return filters.where(v, flags, strict).select("id")
+    return filters.where_records(table(spark, sf_dir, "records"), flags, strict).select("id")
 
 
 _ROLE = "json_extract_string(payload, '$.role')"
@@ -254,31 +252,52 @@ def _bm25_sql(terms: list[str]) -> str:
 _TEXT_TOP = _bm25_sql(["migration", "receipt", "frozen"]) + ", text_top AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, recorded_at DESC, hits.id) AS rank, hits.id, round(score, 6) AS score FROM hits JOIN v ON v.id = hits.id WHERE NOT superseded AND NOT revoked AND namespace = 'fleet.memory' QUALIFY rank <= 100)\n"
 
 
-def _text_top(spark: SparkSession, sf_dir: str, stem: bool = False) -> DataFrame:
-    v = materialize(_flagged(spark, sf_dir, "namespace", "recorded_at", "payload", "evidence", "tags"), "search")
-    scope = ~F.col("superseded") & ~F.col("revoked") & (F.col("namespace") == "fleet.memory")
-    return search.top_text(v, "migration receipt frozen", 100, scope, stem)
+def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> search.TextIndex:
+    """The kept full-text index of the records."""
+    return search.kept_index(spark, [f"{sf_dir}/records.parquet"], lambda: _view(spark, sf_dir, "payload", "evidence", "tags"), stem)
+
+
+def _eligible(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Current records of one namespace."""
+    v = _view(spark, sf_dir, "recorded_at", *columns, only=ledger.in_scope("fleet.memory", None))
+    return ledger.current(v, ledger.predecessors(table(spark, sf_dir, "records")))
 
 
 @query(VIEW + _TEXT_TOP + "SELECT CAST(rank AS INT) AS rank, id, score FROM text_top")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_top(spark, sf_dir)
+    return search.top_hits(_index(spark, sf_dir).score("migration receipt frozen"), _eligible(spark, sf_dir), 100)
+
+
+@query(VIEW + _TEXT_TOP + "SELECT CAST(rank AS INT) AS rank, id, score FROM text_top")
+def bm25_unindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answer from the texts themselves."""
+    v = materialize(_flagged(spark, sf_dir, "namespace", "recorded_at", "payload", "evidence", "tags"), "search")
+    return search.top_text(v, "migration receipt frozen", 100, ~F.col("superseded") & ~F.col("revoked") & (F.col("namespace") == "fleet.memory"))
 
 
 @query()
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text_top(spark, sf_dir, stem=True)
+    return search.top_hits(_index(spark, sf_dir, True).score("migration receipt frozen", True), _eligible(spark, sf_dir), 100)
 
 
 @query(VIEW + _bm25_sql(["lane", "docs"]) + "SELECT id, round(score, 6) AS score FROM hits")
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _view(spark, sf_dir, "payload", "evidence", "tags")
-    return search.bm25(v, "lane docs").select("id", F.round("score", 6).alias("score"))
+    return _index(spark, sf_dir).score("lane docs").select("id", F.round("score", 6).alias("score"))
+
+
+@query(VIEW + f"""SELECT id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'fails' AND w[i + 1] = 'closed')) AS n FROM (SELECT id, {_WORDS} AS w FROM led) WHERE n > 0""")
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in which the tokens of ``fails-closed`` follow one another, and how often, from the postings."""
+    index = _index(spark, sf_dir)
+    rows = spark.read.parquet(f"{index.path}/postings").where(F.col("term").isin("fails", "closed"))
+    at = lambda t, j: F.collect_list(F.when(F.col("term") == t, F.col("pos") - j))
+    n = rows.groupBy("id").agg(F.size(F.array_intersect(at("fails", 0), at("closed", 1))).cast("long").alias("n")).where("n > 0")
+    return n.join(index.score("fails-closed").select("id"), "id", "left_semi")
 
 
 @query(VIEW + f"SELECT term, count(*) AS n_records, CAST(sum(tf) AS BIGINT) AS n_uses FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_WORDS}) AS term FROM led) GROUP BY ALL) GROUP BY term")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(_view(spark, sf_dir, "payload", "evidence", "tags")).groupBy("term").agg(F.count(F.lit(1)).alias("n_records"), F.sum("tf").alias("n_uses"))
+    return _index(spark, sf_dir).terms()
 
 
 _Q0 = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
@@ -316,25 +335,38 @@ def knn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest_of_all(e.where(F.col("vec_id") % 20 == 0), e, 10).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-_VIEW_TWO = VIEW + _TEXT_TOP + _bm25_sql(["fails", "closed", "stale"]).replace(", w AS", ", w2 AS").replace("FROM w)", "FROM w2)").replace(", rows AS", ", rows2 AS").replace("FROM rows)", "FROM rows2)").replace(", st AS", ", st2 AS").replace(", hits AS", ", hits2 AS").replace("FROM rows, st ", "FROM rows2, st2 ") + (
-    ", other_top AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, recorded_at DESC, hits2.id) AS rank, hits2.id FROM hits2 JOIN v ON v.id = hits2.id WHERE NOT superseded AND NOT revoked AND namespace = 'fleet.memory' QUALIFY rank <= 100)\n"
-)
+#: Vectors of the first records in order of id, by the vector's number; vec_top: the eligible ones nearest to the first vector.
+_VECTORS = f""", pts AS (SELECT r.id, CAST(e.embedding AS DOUBLE[]) AS x FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM led) r JOIN embeddings e ON e.vec_id = r.k),
+vec_top AS (SELECT CAST(row_number() OVER (ORDER BY round(s, 9) DESC, id) AS INT) AS rank, id, s FROM (SELECT p.id, list_cosine_similarity(p.x, q) AS s FROM pts p JOIN v ON v.id = p.id, (SELECT {_Q0} AS q) WHERE NOT superseded AND NOT revoked AND namespace = 'fleet.memory') QUALIFY rank <= 100)
+"""
+
+
+def _vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, q = _first_vector(spark, sf_dir)
+    numbered = ledger.ordinals(_view(spark, sf_dir), "id").select((F.col("ordinal") - 1).alias("vec_id"), "id")
+    points = e.join(numbered, "vec_id").join(_eligible(spark, sf_dir).select("id"), "id", "left_semi")
+    hits = search.nearest(points, q, 100, "cosine", key="id").select("id", F.round("score", 9).alias("score"))
+    return search.ranked(hits, [F.desc("score"), F.asc("id")], 100)
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    v = materialize(_flagged(spark, sf_dir, "namespace", "recorded_at", "payload", "evidence", "tags"), "search")
-    scope = ~F.col("superseded") & ~F.col("revoked") & (F.col("namespace") == "fleet.memory")
-    return search.top_text(v, "migration receipt frozen", 100, scope), search.top_text(v, "fails closed stale", 100, scope)
+    return _vector_top(spark, sf_dir), search.top_hits(_index(spark, sf_dir).score("migration receipt frozen"), _eligible(spark, sf_dir), 100)
+
+
+@query(VIEW + _VECTORS + "SELECT rank, id FROM vec_top")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eligible records nearest to a vector: lifecycle and namespace narrow the candidates before the limit."""
+    return _vector_top(spark, sf_dir)
 
 
-@query(_VIEW_TWO + """, j AS (SELECT coalesce(a.id, b.id) AS id, a.rank + 60 AS x, b.rank + 60 AS y FROM text_top a FULL JOIN other_top b ON a.id = b.id),
+@query(VIEW + _TEXT_TOP + _VECTORS + """, j AS (SELECT coalesce(a.id, b.id) AS id, a.rank + 60 AS x, b.rank + 60 AS y FROM vec_top a FULL JOIN text_top b ON a.id = b.id),
 f AS (SELECT id, CAST(CASE WHEN x IS NULL OR y IS NULL THEN 1 ELSE x + y END AS BIGINT) AS numerator, CAST(CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN x ELSE x * y END AS BIGINT) AS denominator FROM j)
 SELECT id, numerator, denominator, CAST(row_number() OVER (ORDER BY CAST(numerator AS DOUBLE) / denominator DESC, id) AS INT) AS position FROM f""")
 def rrf_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.reciprocal_ranks(*_two_lists(spark, sf_dir))
 
 
-@query(_VIEW_TWO + """, u AS (SELECT id, min(p * 100000 + rank) AS k FROM (SELECT id, 0 AS p, rank FROM text_top UNION ALL SELECT id, 1 AS p, rank FROM other_top) GROUP BY id)
+@query(VIEW + _TEXT_TOP + _VECTORS + """, u AS (SELECT id, min(p * 100000 + rank) AS k FROM (SELECT id, 0 AS p, rank FROM vec_top UNION ALL SELECT id, 1 AS p, rank FROM text_top) GROUP BY id)
 SELECT CAST(row_number() OVER (ORDER BY k, id) AS INT) AS position, id, CASE WHEN k < 100000 THEN 'vector' ELSE 'fts' END AS source FROM u QUALIFY position <= 150""")
 def hybrid_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ordered(*_two_lists(spark, sf_dir), 150)
@@ -402,7 +434,7 @@ def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEW + f"SELECT id FROM led WHERE type_name = 'fleet.roleset.v1' AND coalesce({_ROLE} IN ('runner', 'reviewer'), true)")
 def coordinate_set_or_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _view(spark, sf_dir, "type_name", "payload").where(F.col("type_name") == "fleet.roleset.v1")
+    v = _view(spark, sf_dir, "type_name", "payload", only=_of_type("fleet.roleset.v1"))
     fits = context._coordinate_udf(_SELECTORS, _REQUEST)
     return v.where(fits(F.col("payload"), F.col("type_name"))).select("id")
 
@@ -466,16 +498,7 @@ def record_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEW + "SELECT id, 'rule' AS field, len(list_filter(regexp_split_to_array(json_extract_string(payload, '$.rule'), '\\s+'), lambda w: w <> '')) AS words FROM led WHERE type_name = 'fleet.lesson.v1' AND len(list_filter(regexp_split_to_array(json_extract_string(payload, '$.rule'), '\\s+'), lambda w: w <> '')) > 30")
 def word_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.over_word_limit(_view(spark, sf_dir, "type_name", "payload"), {("fleet.lesson.v1", "rule"): 30})
-
-
-@query()
-def embedding_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index holds the live corpus under an older limit of 400 characters; what has to be done now."""
-    v = _flagged(spark, sf_dir, "namespace", "type_name", "record_sha256", "tags", "payload")
-    docs = materialize(sync.documents(v.where(~F.col("superseded") & ~F.col("revoked"))), "documents")
-    old = sync.documents(v.where(~F.col("revoked")), 400)
-    return sync.delta(docs, old)
+    return ingest.over_word_limit(_view(spark, sf_dir, "type_name", "payload", only=_of_type("fleet.lesson.v1")), {("fleet.lesson.v1", "rule"): 30})
 
 
 @query()
@@ -484,16 +507,6 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.hashed_embedding(sync.documents(v))
 
 
-@query()
-def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defense.findings(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
-@query()
-def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defense.redact(_view(spark, sf_dir, "payload"), "id", "payload")
-
-
 @query("SELECT event_type, CAST(ts AS DATE)::TIMESTAMP AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.streaming.catchup import windowed
@@ -501,18 +514,6 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT strftime(make_timestamp(\"at\" * 1000000), '%Y-%m') AS month, operation, count(*) AS n, CAST(sum(coalesce(duration, 0)) AS BIGINT) AS total_us FROM (SELECT DISTINCT ON (id) * FROM audit_events) GROUP BY ALL")
-def stream_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit log read as a stream of files, drained, and merged with late repeats counted once."""
-    from recordloom.session import new_path
-    from recordloom.streaming import catchup
-
-    target = new_path(spark, "catchup")
-    source = f"{sf_dir}/audit_events.parquet"
-    catchup.drain(spark, source, spark.read.parquet(source).schema, target, catchup.partial_counts)
-    return catchup.merged_counts(spark, target)
-
-
 @query("SELECT coalesce(nullif(lower(trim(source)), ''), '') AS source, count(*) AS n, count(DISTINCT sha256(text)) AS n_texts FROM documents GROUP BY 1")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.coalesce(clean_key(F.col("source")), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"))
@@ -535,7 +536,7 @@ _SCHEMAS = {
  + CAST(coalesce(json_type(payload, '$.rule') <> 'VARCHAR', false) AS INT) + CAST(coalesce(json_type(payload, '$.confidence') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT'), false) AS INT) + CAST(coalesce(json_type(payload, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND NOT (TRY_CAST(json_extract_string(payload, '$.confidence') AS DOUBLE) BETWEEN 0 AND 1), false) AS INT)
  ELSE CAST(json_type(payload, '$.title') IS NULL AS INT) + CAST(coalesce(json_type(payload, '$.role') NOT IN ('VARCHAR', 'ARRAY', 'NULL'), false) AS INT) END AS n FROM led WHERE type_name IN ('fleet.lesson.v1', 'fleet.roleset.v1')) WHERE n > 0""")
 def payload_schema_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _view(spark, sf_dir, "type_name", "payload").where(F.col("type_name").isin(sorted(_SCHEMAS)))
+    v = _view(spark, sf_dir, "type_name", "payload", only=_of_type(*sorted(_SCHEMAS)))
     return types.payload_faults(v, _SCHEMAS).select("id", "n_faults")
 
 
@@ -546,7 +547,7 @@ def type_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(VIEW + "SELECT id, '{' || CASE WHEN json_type(payload, '$.confidence') IS NOT NULL THEN '\"confidence\":' || json_extract(payload, '$.confidence') || ',' ELSE '' END || '\"type\":\"' || type_name || '\"}' AS fields FROM led WHERE type_name = 'fleet.lesson.v1'")
 def projected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _view(spark, sf_dir, "type_name", "payload").where(F.col("type_name") == "fleet.lesson.v1")
+    v = _view(spark, sf_dir, "type_name", "payload", only=_of_type("fleet.lesson.v1"))
     return types.project_fields(v, ["type", "confidence", "nowhere"])
 
 
@@ -561,8 +562,8 @@ def engine_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.search("the migration returned a frozen receipt", "hybrid", 100, namespace="fleet.memory", flags=["record.tags=!draft"]).hits
 
 
-@query(VIEW + """, p AS (SELECT id, count(*) AS n, bool_or(payload IS NOT NULL) AS pl, bool_or(evidence IS NOT NULL) AS ev, bool_or(tags IS NOT NULL) AS tg, min(supersedes) AS supersedes FROM d WHERE id IS NOT NULL GROUP BY id)
-SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_records, count(*) FILTER (n > 1) AS n_repeated, count(*) FILTER (NOT pl) AS n_without_payload, count(*) FILTER (NOT ev) AS n_without_evidence, count(*) FILTER (NOT tg) AS n_without_tags, 0 AS n_bad_instants,
+@query(VIEW + """, p AS (SELECT id, count(*) AS n, bool_or(payload IS NOT NULL) AS pl, bool_or(evidence IS NOT NULL) AS ev, bool_or(tags IS NOT NULL) AS tg, bool_or(TRY_CAST(regexp_replace(recorded_at, '(\\.\\d{6})\\d+', '\\1') AS TIMESTAMPTZ) IS NOT NULL) AS ok, min(supersedes) AS supersedes FROM d WHERE id IS NOT NULL GROUP BY id)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_records, count(*) FILTER (n > 1) AS n_repeated, count(*) FILTER (NOT pl) AS n_without_payload, count(*) FILTER (NOT ev) AS n_without_evidence, count(*) FILTER (NOT tg) AS n_without_tags, count(*) FILTER (NOT ok) AS n_bad_instants,
  count(*) FILTER (supersedes IS NOT NULL AND supersedes NOT IN (SELECT id FROM p)) AS n_dangling FROM p""")
 def integrity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.integrity(table(spark, sf_dir, "records"))
@@ -573,10 +574,3 @@ def projection_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a projection without the revoked has against a truth without the superseded."""
     v = _flagged(spark, sf_dir, "record_sha256")
     return ledger.compare(v.where(~F.col("superseded")), v.where(~F.col("revoked")))
-
-
-@query()
-def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from recordloom.functions.ids import point_id
-
-    return _view(spark, sf_dir).select("id", point_id("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("id")).alias("point_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -112,6 +113,26 @@ def get_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def kept(spark: SparkSession, name: str, sources: list[str], build) -> str:
+    """The folder of something derived from files, built once (``build(folder)``) and kept until the files change.
+
+    It outlives the session, in the shared folder; its name holds a digest of
+    the files' names, lengths and times of change. A build that dies leaves
+    nothing: the folder is moved to its name when it is whole.
+    """
+    state = repr(sorted((f, *v) for s in sources for f, v in list_files(spark, s).items()))
+    path = f"{shared_dir(spark)}/recordloom-kept/{name}-{hashlib.sha256(state.encode()).hexdigest()[:32]}"
+    if not path_exists(spark, path):
+        part = new_path(spark, name)
+        build(part)
+        try:
+            move_path(spark, part, path)
+        except OSError:
+            if not path_exists(spark, path):  # else another session was first
+                raise
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.operators import compaction, defense, digests, ingest, ledger, sync
 from recordloom.sources.tables import table
@@ -132,3 +133,62 @@ def test_word_count_and_validity_patterns(spark):
     assert [r[0] for r in df.select(ingest.word_count(F.col("t"))).collect()] == [3, 0, 0, 3]
     assert all(re.match(ingest.TYPE_NAME, t) for t in ("a.b.v1", "a-1.b.c.v20")) and not any(re.match(ingest.TYPE_NAME, t) for t in ("a.v1", "a.b.1", "A.b.v1", "a.b.v"))
     assert all(re.match(ingest.POINTER, t) for t in ("", "/a", "/a~1b/0")) and not any(re.match(ingest.POINTER, t) for t in ("a", "/a~2"))
+
+
+def test_sync_applied(spark):
+    s = "id string, record_sha256 string, input_sha256 string"
+    corpus = spark.createDataFrame([("1", "a", "x"), ("2", "b", "y"), ("3", "c", "z"), ("4", "d", "w")], s)
+    index = spark.createDataFrame([("1", "a", "x", [1.0]), ("2", "B", "y", [2.0]), ("3", "c", "Z", [3.0]), ("5", "e", "q", [5.0])], s + ", embedding array<double>")
+    plan = sync.delta(corpus, index)
+    fresh = spark.createDataFrame([("3", [30.0]), ("4", [40.0])], "id string, embedding array<double>")
+    after = sync.applied(index, plan, corpus, fresh)
+    assert {r.id: (r.record_sha256, r.input_sha256, r.embedding) for r in after.collect()} == {"1": ("a", "x", [1.0]), "2": ("b", "y", [2.0]), "3": ("c", "z", [30.0]), "4": ("d", "w", [40.0])}
+    assert {r.action for r in sync.delta(corpus, after).collect()} == {"unchanged"}
+
+
+def test_documents_are_whole_unless_asked(spark):
+    v = spark.createDataFrame([("1", "n", "t", "s", "[]", json.dumps({"a": "x" * 20_000})), ("2", " ", "t", "s", None, None)], "id string, namespace string, type_name string, record_sha256 string, tags string, payload string")
+    r = sync.documents(v).first()
+    assert len(r.text) > 20_000 and not r.truncated
+    cut = sync.documents(v, 100).first()
+    assert len(cut.text) == 100 and cut.truncated and cut.input_sha256 != r.input_sha256 and sync.documents(v).count() == 1
+
+
+def test_publish_verifies_swaps_and_recovers(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/led"
+    one, two = spark.createDataFrame([("a", 1)], "id string, n int"), spark.createDataFrame([("b", 2), ("c", 3)], "id string, n int")
+    compaction.publish(one, path)
+    first = compaction.publish(two, path, {"why": "test"})
+    assert sorted(r.id for r in spark.read.parquet(f"{path}/current").collect()) == ["b", "c"]
+    assert [r.id for r in spark.read.parquet(f"{path}/before-{first}").collect()] == ["a"]
+    assert compaction.recover(spark, path) == "nothing to do"
+    # Dies between the two moves: nothing is in force, the verified shadow is put there.
+    moves, real = [], compaction.move_path
+
+    def dying(s, a, b):
+        moves.append(b)
+        if len(moves) == 2:
+            raise RuntimeError("lost")
+        real(s, a, b)
+
+    monkeypatch.setattr(compaction, "move_path", dying)
+    with pytest.raises(RuntimeError):
+        compaction.publish(one, path)
+    monkeypatch.setattr(compaction, "move_path", real)
+    assert compaction.recover(spark, path) == "shadow put in force" and [r.id for r in spark.read.parquet(f"{path}/current").collect()] == ["a"]
+
+
+def test_point_reads_and_claims(spark):
+    records = table(spark, SF, "records")
+    some = [r[0] for r in records.select("id").limit(3).collect()]
+    got = ledger.get(records, spark.createDataFrame([(some[0].upper(),), (some[1],), ("no such id",), (None,)], "id string"))
+    assert {r.id for r in got.collect()} == {x.lower() for x in some[:2]} and got.columns[0] == "id"
+    reg = spark.createDataFrame([("a.v1", "dag", []), ("a.v2", "linear", ["a.v1"]), ("b.v1", "linear", None)], "type_name string, lifecycle_mode string, predecessor_types array<string>")
+    v = spark.createDataFrame([("1", "a.v1"), ("2", "a.v2"), ("3", "b.v1"), ("4", "c.v1")], "id string, type_name string")
+    assert {(r.id, r.claimed_by) for r in ledger.claims(v, reg).collect()} == {("1", "a.v2"), ("2", "a.v2"), ("3", "b.v1")}
+
+
+def test_ordinals_count_through_the_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+    assert [(r.ordinal, r.k) for r in ledger.ordinals(df, "k").orderBy("ordinal").collect()] == [(i + 1, i) for i in range(1000)]
+    assert ledger.ordinals(df.limit(0), "k").collect() == []

@@ -82,3 +82,48 @@ def test_nearest_against_numpy(spark):
 def test_metric_is_checked(spark):
     with pytest.raises(ValueError):
         search.similarity("hamming", None, None)
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_index_scores_as_the_texts_do(spark, tmp_path, stem):
+    rng = random.Random(7)
+    words = ["fails", "closed", "worktrees", "alpha", "beta", "running", "é"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(60)] + ["fails-closed, fails closed", None, ""]
+    v = view(spark, texts)
+    index = search.TextIndex(spark, str(tmp_path / "i")).build(v, stem)
+    for q in ("alpha", "alpha beta beta", "fails-closed alpha", "worktree", "run-closed-fails", "nowhere", '"', "", "É"):
+        want = {r.id: r.score for r in search.bm25(v, q, stem).collect()}
+        got = {r.id: r.score for r in index.score(q, stem).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want), q
+    empty = search.TextIndex(spark, str(tmp_path / "e")).build(view(spark, []), stem)
+    assert empty.score("alpha", stem).collect() == []
+
+
+def test_a_query_reads_its_own_terms(spark, tmp_path):
+    index = search.TextIndex(spark, str(tmp_path / "i")).build(view(spark, ["alpha beta", "beta"]))
+    plan = spark.read.parquet(f"{index.path}/postings").where("term in ('alpha', 'beta')")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan
+    assert {(r.term, r.n_records, r.n_uses) for r in index.terms().collect()} >= {("alpha", 1, 1), ("beta", 2, 2)}
+
+
+def test_an_index_is_kept_until_its_files_change(spark, tmp_path):
+    src, built = f"file://{tmp_path}/src", []
+
+    def make():
+        built.append(1)
+        return view(spark, ["alpha"] * len(built))
+
+    spark.range(3).coalesce(1).write.parquet(src)
+    a = search.kept_index(spark, [src], make)
+    assert search.kept_index(spark, [src], make).path == a.path and len(built) == 1
+    spark.range(1).coalesce(1).write.mode("append").parquet(src)
+    b = search.kept_index(spark, [src], make)
+    assert b.path != a.path and len(built) == 2 and b.score("alpha").count() == 2
+
+
+def test_points_in_scope_and_their_metadata(spark):
+    points = spark.createDataFrame([("a", "s", "m", "n", "t", [1.0]), ("b", "s", "m2", "n", "t", [2.0]), ("c", "s", "m", None, "u", [3.0])], "id string, store string, model string, namespace string, type_name string, embedding array<double>")
+    assert sorted(r.id for r in search.points_in_scope(points, "s", "m").collect()) == ["a", "c"]
+    assert [r.id for r in search.points_in_scope(points, model="m", namespace="n", type_name="t").collect()] == ["a"]
+    got = search.point_metadata(points, spark.createDataFrame([("b",), ("b",), ("z",)], "id string"))
+    assert got.columns == ["id", "store", "model", "namespace", "type_name"] and [r.id for r in got.collect()] == ["b"]
