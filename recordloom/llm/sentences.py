@@ -8,20 +8,29 @@ Method: candidate boundaries, each classified by a maximum-entropy model.
    and brackets, every closing quote or bracket right behind a mark, and (Thai)
    every blank between two Thai characters. Runs inside numbers, names, files
    and addresses are no candidates, since text follows them directly.
-3. Evidence. One pass over all documents counts for each word before a mark how
-   often it stands at a block's end, and for each following word how often it
-   begins a block. Only types above a share of all marks are kept, so the table
-   has a fixed bound.
+3. Evidence. The pass that finds the candidates also counts, for each word
+   before a mark, how often it stands at a block's end, and for each following
+   word how often it begins a block. All words of all documents are counted, in
+   a sketch of fixed width: SKETCH_ROWS rows of CELLS cells, a word's least
+   count is taken. Words met fewer than LEAST_SEEN times count as unknown; no
+   bound moves with the size of the input. The driver gets one byte a cell.
 4. Training. Reliable boundaries are marks at the end of a block and marks
    between a common last word and a common first word; reliable non-boundaries
    are words that never end a block, or are followed by a word that never begins
    one, although both are frequent. A bounded sample of these trains the model.
-5. All candidates of all documents are classified with it.
+5. All candidates of all documents are classified with it, from the contexts
+   kept in step 2: texts are read once.
+
+Words are whole, however long; a feature names a word by the WORD characters
+nearest to the mark (in scripts without blanks a "word" is all that stands
+between two marks).
 """
 
 from __future__ import annotations
 
+import ast
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +38,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +48,12 @@ from recordloom.session import materialize
 #: Documents the classifier's labelled rows are drawn from, and distinct labelled rows at most.
 TRAINING_DOCUMENTS = 20_000
 TRAINING_ROWS = 100_000
-#: A word type is kept if it makes up at least one in so many marks: bounds the table of evidence.
-MOST_TYPES = 200_000
+#: Cells in each row of the sketch of word counts: 8 MB for both tables, whatever the input.
+CELLS = 1 << 21
+SKETCH_ROWS = 2
 LEAST_SEEN = 5
+#: Characters by which a feature names a word.
+WORD = 24
 #: So many sightings without one at a block's edge make a type a reliable non-boundary.
 SURE_AFTER = 12
 
@@ -81,6 +94,8 @@ _EVENT = re.compile(
 )
 _THAI_BLANK = re.compile(r"[฀-๿]\s+(?=[฀-๿])")
 _GREEK = re.compile(r"[\u0370-\u03ff\u1f00-\u1fff]")
+_HEAD = re.compile(rf"\S{{1,{WORD}}}")
+_SEP = "\x1f"  # white space to Python, so in no word
 _STRIP = "([{（［【《「『“„«‹‘\"'¿¡"
 
 
@@ -159,9 +174,17 @@ def script(ch: str) -> str:
     return "cjk"
 
 
+@lru_cache(maxsize=2)
+def _greek_letters(text: str) -> list[int]:
+    return [m.start() for m in _GREEK.finditer(text)]
+
+
 def is_greek_question(text: str, start: int, at: int) -> bool:
-    """Greek asks with a semicolon: one behind Greek words is a mark, everywhere else it is none."""
-    return text[at] == "\u037e" or len(_GREEK.findall(text, max(start, at - 120), at)) >= 6
+    """Greek asks with a semicolon: one behind Greek words (six letters since ``start``) is a mark, everywhere else it is none."""
+    if text[at] == "\u037e":
+        return True
+    letters = _greek_letters(text)
+    return bisect_left(letters, at) - bisect_left(letters, start) >= 6
 
 
 def candidates(text: str, start: int, end: int) -> Iterator[tuple[int, str, int, bool]]:
@@ -238,22 +261,19 @@ def candidates(text: str, start: int, end: int) -> Iterator[tuple[int, str, int,
 
 
 def _tokens_before(text: str, start: int, at: int) -> tuple[str, str]:
-    """The word right before a mark, not reaching over ``start``, and the word before that one."""
-    wide = text[max(0, start - 40, at - 80) : at].rsplit(None, 2)
-    if not wide:
-        return "", ""
-    word = wide[-1][-40:]
-    reach = at - start
-    if len(word) > reach and not text[at - 1].isspace():  # a sentence glued to the one before
-        return word[-reach:] if reach else "", word[:-reach] if reach else word
-    return word, wide[-2] if len(wide) > 1 else ""
+    """The word right before a mark, not reaching over ``start``, and the word before that one (of a word in front of ``start``, what a feature names of it)."""
+    words = text[start:at].rsplit(None, 2)
+    if len(words) > 1:
+        return words[-1], words[-2]
+    ahead = text[max(0, start - 2 * WORD) : start].rsplit(None, 1)
+    return words[0] if words else "", ahead[-1] if ahead else ""
 
 
 def _first_token(text: str, at: int, end: int) -> str:
-    words = text[at : min(end, at + 60)].split(None, 1)
-    if not words:
+    m = _HEAD.search(text, at, end)
+    if m is None:
         return ""
-    w = words[0][:24]
+    w = m[0]
     bare = w.lstrip(_STRIP)
     return (bare or w).rstrip(".,;:!?)”»\"…") or w
 
@@ -265,7 +285,7 @@ def words_around(text: str, start: int, end: int, pos: int, mark: str, mark_at:
     """
     raw, before = _tokens_before(text, start, mark_at)
     kind = mark if len(mark) == 1 and mark != "…" else "..." if mark[0] == "…" or mark.startswith("..") else mark[:2]
-    return raw.lstrip(_STRIP).lower()[-24:], kind, before.lstrip(_STRIP).lower()[-24:], _first_token(text, pos, end) if pos < end else "", raw
+    return raw.lstrip(_STRIP).lower()[-WORD:], kind, before.lstrip(_STRIP).lower()[-WORD:], _first_token(text, pos, end) if pos < end else "", raw
 
 
 def context(text: str, start: int, end: int, pos: int, mark: str, mark_at: int, follow: str | None = None, follow_ch: str = "") -> tuple:
@@ -323,79 +343,144 @@ def _final_mark(text: str, start: int, end: int) -> tuple[int, str] | None:
     return None
 
 
-def occurrences(text: str, describe=context) -> Iterator[tuple[tuple, bool]]:
-    """(context, at a block's end) for every classifiable mark of a text; ``describe`` is context or words_around."""
-    found = blocks(text)
-    for i, (s, e, whole) in enumerate(found):
-        if whole:
-            continue
-        floor = s
-        for pos, mark, mark_at, sure in candidates(text, s, e):
-            if not sure:
-                yield describe(text, floor, e, pos, mark, mark_at), False
-            floor = pos
-        last = _final_mark(text, s, e)
-        if last and last[1][0] not in WIDE:
-            at_start = min(floor, last[0])
-            yield context(text, at_start, e, e, last[1], last[0], *_starts(text, found, i)) if describe is context else describe(text, at_start, e, e, last[1], last[0]), True
-
-
-def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(c: tuple) -> str:
+    return _SEP.join((*c[:6], "1" if c[6] else "", "1" if c[7] else ""))
+
+
+def unpacked(text: str) -> tuple:
+    p = text.split(_SEP)
+    return *p[:6], p[6] == "1", p[7] == "1"
+
+
+class Reading:
+    """What one pass over a text finds.
+
+    bounds: begin and end of each block; block, stop, go, context for each
+    candidate: the block it stands in, where a sentence that ends there ends and
+    the next begins, and what the model may look at (None: certain); ends: the
+    contexts of marks at a block's end; prev, end, next, start: word types
+    before any mark, at a block's end, behind a mark, at a block's begin.
+    """
+
+    def __init__(self, text: str, with_ends: bool = True) -> None:
+        self.bounds: list[int] = []
+        self.block: list[int] = []
+        self.stop: list[int] = []
+        self.go: list[int] = []
+        self.context: list[str | None] = []
+        self.ends: list[str] = []
+        self.prev: list[str] = []
+        self.end: list[str] = []
+        self.next: list[str] = []
+        self.start: list[str] = []
+        found = blocks(text)
+        for i, (s, e, whole) in enumerate(found):
+            head = _HEAD.search(text, s, e)
+            self.bounds += (head.start() if head else s, e)
+            if whole:
+                continue
+            if w := _first_token(text, s, e):
+                self.start.append(w)
+            floor = s
+            for pos, mark, mark_at, sure in candidates(text, s, e):
+                stop = pos
+                while stop > s and text[stop - 1].isspace():
+                    stop -= 1
+                self.block.append(i)
+                self.stop.append(stop)
+                self.go.append(_HEAD.search(text, pos, e).start())
+                if sure:
+                    self.context.append(None)
+                else:
+                    c = context(text, floor, e, pos, mark, mark_at)
+                    self.context.append(packed(c))
+                    self.prev += type_keys(c)
+                    if c[3]:
+                        self.next.append(c[3])
+                floor = pos
+            last = _final_mark(text, s, e)
+            if last and last[1][0] not in WIDE:
+                at = min(floor, last[0])
+                if with_ends:
+                    c = context(text, at, e, e, last[1], last[0], *_starts(text, found, i))
+                    self.ends.append(packed(c))
+                else:
+                    c = words_around(text, at, e, e, last[1], last[0])
+                keys = type_keys(c)
+                self.prev += keys
+                self.end += keys
+
+
+_READ = "doc_id long, sampled boolean, bounds array<long>, block array<int>, stop array<long>, go array<long>, context array<string>, ends array<string>, kind int, hashes array<long>, ns array<long>, ms array<long>"
+_NAMES = [f.split()[0] for f in _READ.split(", ")]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: doc_id, text, sampled -> a row a document, and rows of word counts in which kind is 0 (before marks) or 1 (behind them)."""
     seen = {what: Counter() for what in ("prev", "end", "next", "start")}
-    n_marks = 0
+
+    def lists(values: list[list], kind: pa.DataType) -> pa.Array:
+        off = np.concatenate(([0], np.cumsum([len(v) for v in values])))
+        flat = [x for v in values for x in v]
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), strings(flat) if kind == pa.string() else pa.array(flat, kind))
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for what, words in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([what] * len(words), pa.string()), strings(list(words)), pa.array(list(words.values()), pa.int64())], ["what", "word", "n"])
-            words.clear()
+        for kind, (many, edge) in enumerate((("prev", "end"), ("next", "start"))):
+            n, m = seen[many], seen[edge]
+            words = [*n, *(w for w in m if w not in n)]
+            if words:
+                h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+                none = [pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), *[pa.list_(x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())])]
+                counts = [lists([v], pa.int64()) for v in (h.tolist(), [n[w] for w in words], [m[w] for w in words])]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([kind], pa.int32()), *counts], _NAMES)
+            n.clear()
+            m.clear()
 
     for b in batches:
-        for text in b.column(0).to_pylist():
-            if not text:
-                continue
-            prev, end, following = [], [], []
-            seen["start"].update([w for s, e, whole in blocks(text) if not whole and (w := _first_token(text, s, e))])
-            for c, at_end in occurrences(text, words_around):
-                keys = type_keys(c)
-                prev += keys
-                if at_end:
-                    end += keys
-                elif c[3]:
-                    following.append(c[3])
-                n_marks += 1
-            seen["prev"].update(prev)
-            seen["end"].update(end)
-            seen["next"].update(following)
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            rows = []
+            for text, sampled in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                r = Reading(text or "", sampled)
+                for what, counter in seen.items():
+                    counter.update(getattr(r, what))
+                rows.append(r)
+            n = part.num_rows
+            got = [lists([getattr(r, name) for r in rows], t) for name, t in (("bounds", pa.int64()), ("block", pa.int32()), ("stop", pa.int64()), ("go", pa.int64()), ("context", pa.string()), ("ends", pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *got, pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(pa.int64()))] * 3], _NAMES)
         if sum(map(len, seen.values())) > 200_000:
             yield from flush()
-    seen["all"] = Counter({"": n_marks})
     yield from flush()
 
 
+#: Names of the levels of a word type, by the number the sketch holds.
+_LEVELS = (None, "0-few", "0-many", "1-rare", "2-some", "3-often")
+
+
 class Evidence:
-    """Counts of word types at marks, and the classes the model sees instead of them."""
+    """How often word types stand at a block's edge, from a sketch of one byte a cell: magnitude of the count and level.
 
-    def __init__(self, rows: list[tuple[str, str, int, int]]) -> None:
-        #: word and mark -> (times before a mark, times at a block's end); word -> (times after a mark, times at a block's start)
-        self.prev = {w: (n, m) for kind, w, n, m in rows if kind == "prev"}
-        self.next = {w: (n, m) for kind, w, n, m in rows if kind == "next"}
-        self.prev_level = {w: self.level(*nm) for w, nm in self.prev.items()}
-        self.next_level = {w: self.level(*nm) for w, nm in self.next.items()}
+    ``prev``: word and mark (times before a mark, times at a block's end);
+    ``next``: word (times behind a mark, times at a block's begin).
+    """
 
-    def before_mark(self, c: tuple) -> tuple[str, tuple[int, int] | None]:
-        """The most specific known type of a mark's word and its counts."""
-        for key in reversed(type_keys(c)):
-            if key in self.prev:
-                return key, self.prev[key]
-        return "", None
+    def __init__(self, prev: bytes | None = None, next: bytes | None = None) -> None:
+        none = bytes(SKETCH_ROWS * CELLS)
+        self.prev, self.next = prev or none, next or none
 
     @staticmethod
-    def level(n: int, m: int) -> str:
-        """Share of edge sightings, in steps; zero says more the more often a type was seen."""
-        if m == 0:
-            return "0-many" if n >= SURE_AFTER else "0-few"
-        share = m / n
-        return "1-rare" if share < 0.04 else "2-some" if share < 0.12 else "3-often"
+    def level(table: bytes, word: str) -> str | None:
+        """Share of edge sightings, in steps; zero says more the more often a type was seen; None: hardly ever seen."""
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        a, b = table[h & (CELLS - 1)], table[CELLS + ((h >> 32) & (CELLS - 1))]
+        return _LEVELS[(a if a >> 3 <= b >> 3 else b) & 7] if a and b else None
+
+    def before_mark(self, c: tuple) -> str | None:
+        """The level of the most specific known type of a mark's word."""
+        for key in reversed(type_keys(c)):
+            if found := self.level(self.prev, key):
+                return found
+        return None
 
     def features(self, c: tuple) -> tuple:
         prev, kind, before, nxt, ch, inner, glued, capital = c
@@ -404,34 +489,29 @@ class Evidence:
         level = None
         if len(prev) <= 2 and not prev.isdigit():
             key = f"{before} {plain}"
-            level = self.prev_level.get(key)
+            level = self.level(self.prev, key)
         if level is None:
-            key, level = plain, self.prev_level.get(plain)
-        after = self.next_level.get(nxt)
+            key, level = plain, self.level(self.prev, plain)
+        after = self.level(self.next, nxt) if nxt else None
         size = len(bare)
         number = "num" if bare[-1:].isdigit() else "letter" if size == 1 else "dots" if "." in bare else "word"
         known = kind[0] == "." and bare in ABBREVIATIONS
         return (
             kind, level or "new", after or ("none" if not nxt else "new"), key if level and (known or number != "num") else "", nxt if after else "", number, known, ch, inner, glued,
-            size if size < 5 else 5, capital, before if len(before) <= 3 or before in self.next_level or f"{before.rstrip('.')} ." in self.prev_level else "",
+            size if size < 5 else 5, capital, before if len(before) <= 3 or self.level(self.next, before) or self.level(self.prev, f"{before.rstrip('.')} .") else "",
         )
 
     def label(self, c: tuple, at_end: bool) -> int:
         """1 reliable boundary, 0 reliable non-boundary, -1 unknown."""
         if at_end:
             return 1
-        _, pn = self.before_mark(c)
-        nn = self.next.get(c[3])
-        number = c[0][-1:].isdigit()
-        if pn and pn[1] == 0 and pn[0] >= SURE_AFTER and not number:
+        pn = self.before_mark(c)
+        nn = self.level(self.next, c[3]) if c[3] else None
+        if pn == "0-many" and not c[0][-1:].isdigit() or nn == "0-many":
             return 0
-        if nn and nn[1] == 0 and nn[0] >= SURE_AFTER:
+        if c[0].rstrip(".") in ABBREVIATIONS and c[1] == "." and (not pn or pn[0] == "0"):
             return 0
-        if c[0].rstrip(".") in ABBREVIATIONS and c[1] == "." and (not pn or pn[1] == 0):
-            return 0
-        if pn and nn and pn[1] / pn[0] > 0.12 and nn[1] / max(1, nn[0]) > 0.12:
-            return 1
-        return -1
+        return 1 if pn == nn == "3-often" else -1
 
 
 def expand(f: tuple) -> list[tuple]:
@@ -499,84 +579,112 @@ class MaxEnt:
 
 
 class Splitter:
-    """Evidence and model together: text -> sentence offsets."""
+    """Evidence and model together: text, or what was read of it, -> sentence offsets."""
 
     def __init__(self, evidence: Evidence, model: MaxEnt) -> None:
         self.evidence, self.model = evidence, model
+        self._known: dict[str, bool] = {}
         self._scores: dict[tuple, bool] = {}
 
-    def ends(self, c: tuple) -> bool:
-        f = self.evidence.features(c)
-        got = self._scores.get(f)
+    def ends(self, packed_context: str) -> bool:
+        got = self._known.get(packed_context)
         if got is None:
-            if len(self._scores) > 100_000:
-                self._scores.clear()
-            if self.model.index:
-                got = self.model.score(f) > 0
-            else:  # nothing to learn from: the plain rule
-                got = not f[6] and f[7] != "lower"
-            self._scores[f] = got
+            f = self.evidence.features(unpacked(packed_context))
+            got = self._scores.get(f)
+            if got is None:
+                if len(self._scores) > 100_000:
+                    self._scores.clear()
+                if self.model.index:
+                    got = bool(self.model.score(f) > 0)
+                else:  # nothing to learn from: the plain rule
+                    got = not f[6] and f[7] != "lower"
+                self._scores[f] = got
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[packed_context] = got
         return got
 
+    def cut(self, bounds: list[int], block: list[int], stop: list[int], go: list[int], contexts: list[str | None], starts: list[int], ends: list[int]) -> None:
+        """Append the begin and end of every sentence."""
+        k, n = 0, len(block)
+        for i in range(len(bounds) // 2):
+            at, last = bounds[2 * i], bounds[2 * i + 1]
+            while k < n and block[k] == i:
+                c = contexts[k]
+                if c is None or self.ends(c):
+                    if stop[k] > at:
+                        starts.append(at)
+                        ends.append(stop[k])
+                    at = go[k]
+                k += 1
+            if last > at:
+                starts.append(at)
+                ends.append(last)
+
     def split(self, text: str) -> list[tuple[int, int]]:
-        out = []
-
-        def add(a: int, b: int) -> None:
-            part = text[a:b]
-            bare = part.lstrip()
-            if bare:
-                a = b - len(bare)
-                out.append((a, a + len(bare.rstrip())))
-
-        for s, e, whole in blocks(text):
-            at = floor = s
-            if not whole:
-                for pos, mark, mark_at, sure in candidates(text, s, e):
-                    if sure or self.ends(context(text, floor, e, pos, mark, mark_at)):
-                        add(at, pos)
-                        at = pos
-                    floor = pos
-            add(at, e)
-        return out
-
-
-def gather_evidence(documents: DataFrame) -> Evidence:
-    """Counts over all documents; the types kept are bounded by MOST_TYPES."""
-    counts = documents.select("text").mapInArrow(_count_types, "what string, word string, n long").groupBy("what", "word").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "word-types")
-    total = counts.where(F.col("what") == "all").agg(F.sum("n")).collect()[0][0] or 0
-    least = max(LEAST_SEEN, -(-total // MOST_TYPES))
-
-    def both(many: str, edge: str) -> DataFrame:
-        e = counts.where(F.col("what") == edge).select("word", F.col("n").alias("m"))
-        return counts.where((F.col("what") == many) & (F.col("n") >= least)).select(F.lit(many).alias("kind"), "word", "n").join(e, "word", "left").select("kind", "word", "n", F.coalesce("m", F.lit(0)).alias("m"))
-
-    rows = both("prev", "end").unionByName(both("next", "start")).collect()
-    return Evidence(sorted((r[0], r[1], r[2], r[3]) for r in rows))
-
-
-def train(documents: DataFrame, evidence: Evidence, most_documents: int = TRAINING_DOCUMENTS, most_rows: int = TRAINING_ROWS) -> MaxEnt:
-    """The classifier, fitted to reliable boundaries of a hash sample of at most about ``most_documents`` documents."""
-    held = documents.sparkSession.sparkContext.broadcast(evidence)
+        r, starts, ends = Reading(text, False), [], []
+        self.cut(r.bounds, r.block, r.stop, r.go, r.context, starts, ends)
+        return list(zip(starts, ends))
+
+
+def read_marks(documents: DataFrame, most_documents: int = TRAINING_DOCUMENTS) -> DataFrame:
+    """The table of step 2 and 3 over all documents: candidates with their contexts, and word counts.
+
+    ``sampled`` marks a hash sample of at most about ``most_documents`` documents, which the classifier may learn from.
+    """
+    share = max(1, documents.count() // most_documents)
+    source = documents.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).alias("sampled"))
+    return materialize(source.mapInArrow(_read, _READ), "marks")
+
+
+def gather_evidence(marks: DataFrame) -> Evidence:
+    """The sketches of word counts over all documents, summed cell by cell; SKETCH_ROWS x CELLS bytes a table come to the driver."""
+    each = marks.where(F.col("kind").isNotNull()).select("kind", F.explode(F.arrays_zip("hashes", "ns", "ms")).alias("x"))
+    h, mask = F.col("x.hashes"), F.lit(CELLS - 1)
+    cells = F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask) + CELLS)
+    sums = each.select((F.col("kind") * (SKETCH_ROWS * CELLS)).cast("long").alias("base"), F.explode(cells).alias("cell"), F.col("x.ns").alias("n"), F.col("x.ms").alias("m"))
+    sums = sums.groupBy((F.col("base") + F.col("cell")).alias("at")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= LEAST_SEEN)
+    share = F.col("m") / F.col("n")
+    level = F.when(F.col("m") == 0, F.when(F.col("n") >= SURE_AFTER, 2).otherwise(1)).when(share < 0.04, 3).when(share < 0.12, 4).otherwise(5)
+    coded = sums.select("at", (F.least(F.floor(F.log2("n")) + 1, F.lit(31)) * 8 + level).cast("int").alias("code"))
+    slice_bytes = 1 << 15
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at, code = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for part in np.unique(at // slice_bytes).tolist():
+                mine = at // slice_bytes == part
+                held.setdefault(part, np.zeros(slice_bytes, np.uint8))[at[mine] % slice_bytes] = code[mine]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["part", "codes"])
+
+    table = np.zeros(2 * SKETCH_ROWS * CELLS, np.uint8)
+    for part, codes in coded.repartition(F.floor(F.col("at") / slice_bytes)).mapInArrow(pack, "part long, codes binary").collect():
+        table[part * slice_bytes : (part + 1) * slice_bytes] = np.frombuffer(codes, np.uint8)
+    return Evidence(table[: SKETCH_ROWS * CELLS].tobytes(), table[SKETCH_ROWS * CELLS :].tobytes())
+
+
+def train(marks: DataFrame, evidence: Evidence, most_rows: int = TRAINING_ROWS) -> MaxEnt:
+    """The classifier, fitted to the ``most_rows`` most frequent labelled rows of the sampled documents."""
+    held = marks.sparkSession.sparkContext.broadcast(evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ev = held.value
-        seen: Counter = Counter()
+        contexts: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for c, at_end in occurrences(text) if text else ():
-                    y = ev.label(c, at_end)
-                    if y >= 0:
-                        seen[repr(ev.features(c)), y] += 1
+            for k in (0, 1):
+                contexts.update((c, k) for c in b.column(k).flatten().to_pylist() if c is not None)
+        seen: Counter = Counter()
+        for (text, at_end), n in contexts.items():
+            c = unpacked(text)
+            y = ev.label(c, bool(at_end))
+            if y >= 0:
+                seen[repr(ev.features(c)), y] += n
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["f", "y", "n"])
 
-    n = documents.count()
-    share = max(1, n // most_documents)
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
-    rows = sample.mapInArrow(run, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f", "y").limit(most_rows).collect()
-    import ast
-
+    rows = marks.where("sampled and kind is null").select("context", "ends").mapInArrow(run, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f", "y").limit(most_rows).collect()
     return MaxEnt().fit([(ast.literal_eval(r[0]), r[1], r[2]) for r in rows])
 
 
@@ -589,9 +697,9 @@ def sentences(documents: DataFrame) -> DataFrame:
     long. All text but white space lies in exactly one sentence. Further columns
     are ignored.
     """
-    documents = documents.select("doc_id", "text")
-    evidence = gather_evidence(documents)
-    splitter = documents.sparkSession.sparkContext.broadcast(Splitter(evidence, train(documents, evidence)))
+    marks = read_marks(documents)
+    evidence = gather_evidence(marks)
+    splitter = documents.sparkSession.sparkContext.broadcast(Splitter(evidence, train(marks, evidence)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp: Any = splitter.value
@@ -599,15 +707,13 @@ def sentences(documents: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 offsets, starts, ends = [0], [], []
-                for text in part.column(1).to_pylist():
-                    for s, e in sp.split(text) if text else ():
-                        starts.append(s)
-                        ends.append(e)
+                for row in zip(*(part.column(k).to_pylist() for k in range(1, 6))):
+                    sp.cut(*row, starts, ends)
                     offsets.append(len(starts))
                 off = pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(off, pa.array(starts, pa.int64())), pa.ListArray.from_arrays(off, pa.array(ends, pa.int64()))], ["doc_id", "starts", "ends"])
 
-    rows = documents.mapInArrow(run, "doc_id long, starts array<long>, ends array<long>")
+    rows = marks.where("kind is null").select("doc_id", "bounds", "block", "stop", "go", "context").mapInArrow(run, "doc_id long, starts array<long>, ends array<long>")
     return rows.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("doc_id", F.col("s.starts").alias("sent_start"), F.col("s.ends").alias("sent_end"))
 
 
