@@ -60,6 +60,22 @@ def withdrawals(view: DataFrame) -> DataFrame:
     return view.where(withdrawn(json_tags(F.col("tags")))).select("id")
 
 
+def rewritten_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """file, ordinal, line of JSONL sources (file, ordinal, line) after a plan (id, reason).
+
+    Lines of removed records go; of the others only a link to a removed record
+    is touched: its value becomes null. Everything else stays byte for byte, and
+    so do lines that are no records.
+    """
+    named = lambda key: F.get_json_object("line", f"$.{key}")
+    gone = plan.select("id").distinct()
+    kept = lines.withColumn("_id", named("id")).join(gone.withColumnRenamed("id", "_id"), "_id", "left_anti")
+    marked = kept.withColumn("_up", named("supersedes")).join(gone.select(F.col("id").alias("_up"), F.lit(True).alias("_cut")), "_up", "left")
+    # The key at the top level: nested objects with the same key hold other values, so key and value are matched together, once.
+    link = F.concat(F.lit('("supersedes"[ ]*:[ ]*)"'), F.regexp_replace("_up", r"([^A-Za-z0-9-])", r"\\$1"), F.lit('"'))
+    return marked.select("file", "ordinal", F.when(F.col("_cut"), F.regexp_replace("line", link, F.lit("$1null"))).otherwise(F.col("line")).alias("line"))
+
+
 class NotVerified(RuntimeError):
     """What was written does not hold what it should; the ledger in force stays."""
 

@@ -8,6 +8,7 @@ and it runs over the ordered candidates; more than MOST_CANDIDATES are an error.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -324,3 +325,20 @@ def tier_totals(picked: list[dict]) -> dict[str, int]:
     """Tokens by tier, and records by the source that found them."""
     out = {f"{t}_tokens": sum(p["tokens"] for p in picked if p["tier"] == t) for t in TIERS}
     return out | {f"{s}_records": sum(p.get("source") == s for p in picked) for s in ("vector", "fts")}
+
+
+def skipped_by(query: str, rules: list[tuple[str, str]]) -> str | None:
+    """Name of the first rule (name, pattern) a query matches: query-driven retrieval is then left out, everything else goes on."""
+    return next((name for name, pattern in rules if re.search(pattern, query)), None)
+
+
+def parse_coordinates(pairs: list[str]) -> dict[str, Any]:
+    """``key=value`` texts; a value with commas is a list. ValueError for anything else, and for a key named twice."""
+    out: dict[str, Any] = {}
+    for pair in pairs:
+        key, eq, raw = pair.partition("=")
+        values = [v.strip() for v in raw.split(",")]
+        if not eq or not key.strip() or not all(values) or key.strip() in out:
+            raise ValueError(f"{pair!r} is not a coordinate")
+        out[key.strip()] = values if len(values) > 1 else values[0]
+    return out

@@ -153,3 +153,10 @@ def _needed(flags: list[str]) -> tuple[str, ...]:
     """evidence and tags, where a condition may address them."""
     named = {p for f in flags for p in parse_flag(f).path[:2]}
     return tuple(c for c in ("evidence", "tags") if c in named)
+
+
+def guard_pool(records_in_scope: int, requested: int, most: int = 10_000) -> int:
+    """How many candidates a filtered search has to take: the whole scope, or ValueError where that is over ``most``."""
+    if records_in_scope > most:
+        raise ValueError(f"a filter over {records_in_scope} records needs a narrower scope than {most}")
+    return max(records_in_scope, requested)

@@ -3,8 +3,9 @@
 Text: BM25 over a kept inverted index (``TextIndex``: postings sorted by term, of
 which a query reads its own terms) or, without one, over the texts themselves
 (``bm25``). Corpus statistics cover all indexed records; lifecycle and scope are
-applied to the hits. Vector: exact nearest neighbours; a set of queries is
-compared with all rows block by block.
+applied to the hits. Vector: exact nearest neighbours (a set of queries is
+compared with all rows block by block), or through cells fitted on a bounded
+sample (``CellIndex``), of which a query meets the nearest few.
 Hybrid: a priority merge of ranked lists, or reciprocal ranks as exact fractions.
 """
 
@@ -216,16 +217,55 @@ def point_metadata(points: DataFrame, ids: DataFrame, vector: str = "embedding")
     return points.drop(vector).join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _unit(rows: list | np.ndarray) -> np.ndarray:
+    m = np.asarray(rows, float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best(k: int):
+    """Task body: lists of queries and points (key, v) -> the k best points of each query in its row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            s = col.flatten()
+            return s.field("key").to_numpy(), _unit(s.field("v").to_pylist())
+
+        for b in batches:
+            for i in range(b.num_rows):
+                qk, q = matrix(b.column(0).slice(i, 1))
+                pk, p = matrix(b.column(1).slice(i, 1))
+                score = np.round(q @ p.T, 12)
+                for j in range(len(qk)):
+                    top = np.lexsort((pk, -score[j]))[:k] if len(pk) <= 4 * k else (lambda c, s=score[j]: c[np.lexsort((pk[c], -s[c]))][:k])(np.flatnonzero(score[j] >= np.partition(score[j], len(pk) - k)[len(pk) - k]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), qk[j])), pa.array(pk[top]), pa.array(score[j][top])], ["query_id", "key", "score"])
+
+    return run
+
+
+_HITS = "query_id long, key long, score double"
+
+
+def _k_best(hits: DataFrame, k: int, key: str) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")
+
+
 def nearest_of_all(queries: DataFrame, points: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, rank, key, score: the k nearest by cosine of each query among all points, exactly.
 
     Points and queries are packed into blocks of about ``block`` vectors; every
     pair of blocks is one matrix product, of which only the k best of each query
-    leave the task. The merge sees k rows for each query and point block.
+    leave the task. The merge sees k rows for each query and point block. The
+    work is queries times points; ``CellIndex`` is the way for large numbers of both.
     """
 
     def packed(df: DataFrame, side: str) -> DataFrame:
-        usable = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+        usable = _usable(df, key, vector)
         parts = max(1, -(-usable.count() // block))
         return usable.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("b")).agg(F.collect_list(F.struct("key", "v")).alias(side)), parts  # a block is bounded
 
@@ -234,27 +274,77 @@ def nearest_of_all(queries: DataFrame, points: DataFrame, k: int, key: str = "ve
     # Each query block meets each point block once: the block number is spread over the other side's numbers.
     left = qs.select(F.col("b").alias("qb"), "qs", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"))
     right = ps.select(F.col("b").cast("int").alias("pb"), "ps")
+    return _k_best(left.join(right.hint("merge"), "pb").select("qs", "ps").mapInArrow(_best(k), _HITS), k, key)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            s = col.flatten()
-            keys = s.field("key").to_numpy()
-            m = np.array(s.field("v").to_pylist(), float)
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            return keys, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-        for b in batches:
-            for i in range(b.num_rows):
-                qk, q = matrix(b.column(0).slice(i, 1))
-                pk, p = matrix(b.column(1).slice(i, 1))
-                score = np.round(q @ p.T, 12)
-                for j in range(len(qk)):
-                    top = np.lexsort((pk, -score[j]))[:k] if len(pk) <= 4 * k else (lambda c, s=score[j]: c[np.lexsort((pk[c], -s[c]))][:k])(np.flatnonzero(score[j] >= np.partition(score[j], len(pk) - k)[len(pk) - k]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), qk[j])), pa.array(pk[top]), pa.array(score[j][top])], ["query_id", "key", "score"])
+def fit_cells(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Centres of ``cells`` cells by spherical k-means over unit vectors."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+    for _ in range(rounds):
+        own = np.argmax(sample @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centres)
+    return centres
 
-    hits = left.join(right, "pb").select("qs", "ps").mapInArrow(best, "query_id long, key long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")
+
+class CellIndex:
+    """Approximate nearest neighbours by cosine: every vector lies in the cell of its nearest centre, a query meets ``probes`` cells.
+
+    Centres and ``probes`` are fitted on a hash sample of at most about
+    ``sample_rows`` vectors (the only rows the driver sees); all rows are
+    indexed. ``probes`` is the least number whose recall of the 10 nearest, over
+    the sample, reaches ``recall``. Cells are kept in blocks of about ``block``
+    vectors, so a cell that holds a third of all rows is many blocks.
+    """
+
+    def __init__(self, points: DataFrame, key: str = "vec_id", vector: str = "embedding", sample_rows: int = 20_000, cells: int | None = None, recall: float = 0.97, block: int = 4096) -> None:
+        self.key, self.vector, self.block, self.spark = key, vector, block, points.sparkSession
+        usable = _usable(points, key, vector)
+        n = usable.count()
+        share = max(1, n // sample_rows)
+        rows = [r[0] for r in usable.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("v").collect()]
+        sample = _unit(rows) if rows else np.zeros((0, 0))
+        self.centres = fit_cells(sample, cells or min(4096, max(1, int(np.sqrt(n))))) if rows else sample
+        self.probes = self._probes(sample, recall) if rows else 0
+        self.cells = materialize(usable.mapInArrow(self._nearest_cells(1), "key long, v array<double>, cell int"), "cells")
+        sizes = self.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        spread = self.cells.join(sizes.hint("merge"), "cell").withColumn("b", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / block)))
+        self.blocks = materialize(spread.groupBy("cell", "b").agg(F.collect_list(F.struct("key", "v")).alias("ps")), "blocks")  # a block is bounded
+
+    def _probes(self, sample: np.ndarray, recall: float) -> int:
+        asked = sample[:: max(1, len(sample) // 200)]
+        near = np.argsort(-(asked @ sample.T), axis=1)[:, :10]
+        own = np.argmax(sample @ self.centres.T, axis=1)
+        order = np.argsort(-(asked @ self.centres.T), axis=1)
+        place = np.argsort(order, axis=1)  # at which probe a cell is met
+        met = np.sort(place[np.arange(len(asked))[:, None], own[near]].ravel())
+        return int(met[min(len(met) - 1, int(np.ceil(recall * len(met))))]) + 1
+
+    def _nearest_cells(self, probes: int):
+        held = self.spark.sparkContext.broadcast(self.centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for start in range(0, b.num_rows, 4096):
+                    part = b.slice(start, 4096)
+                    if not held.value.size:
+                        continue
+                    near = np.argsort(-(_unit(part.column(1).to_pylist()) @ held.value.T), axis=1, kind="stable")[:, :probes]
+                    at = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(near.ravel().astype(np.int32))], ["key", "v", "cell"])
+
+        return run
+
+    def nearest(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """query_id, rank, key, score of the k best of each query in the cells it meets."""
+        asked = _usable(queries, self.key, self.vector).mapInArrow(self._nearest_cells(probes or self.probes), "key long, v array<double>, cell int")
+        asked = materialize(asked, "asked")
+        n = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        qs = asked.join(n.hint("merge"), "cell").groupBy("cell", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / self.block)).alias("qb")).agg(F.collect_list(F.struct("key", "v")).alias("qs"))  # a block is bounded
+        hits = qs.join(self.blocks.hint("merge"), "cell").select("qs", "ps").mapInArrow(_best(k), _HITS)
+        return _k_best(hits, k, self.key)
 
 
 def first_ranks(hits: DataFrame) -> DataFrame:

@@ -20,6 +20,19 @@ def canonical_text(namespace: str, type_name: str, tags: list, payload: object)
     return "".join(f"{line}\n" for line in [*head, *(f"tag {t}" for t in sorted({t for t in tags if isinstance(t, str)})), *(f"{p} {v}" for p, v in leaves(payload))])
 
 
+def framed_query(instruction: str, query: str) -> str:
+    """A query as models with instructions take it."""
+    return f"Instruct: {instruction}\nQuery: {query}"
+
+
+def room_for_query(instruction: str | None, most_chars: int) -> int:
+    """Characters left for a query inside its frame; ValueError if there are none."""
+    room = most_chars - (len(framed_query(instruction, "")) if instruction is not None else 0)
+    if room < 1:
+        raise ValueError("the instruction leaves no room for a query")
+    return room
+
+
 def documents(view: DataFrame, max_chars: int | None = None) -> DataFrame:
     """id, namespace, type_name, record_sha256, input_sha256, text, truncated; whole texts.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import canonical_uuid, clean_key, instant, point_id, utc_month
-from recordloom.operators import compaction, context, defense, digests, ingest, ledger, search, sync, types
+from recordloom.operators import compaction, context, defense, digests, grants, ingest, ledger, search, sync, types
 from recordloom.plans.ledger_queries import _CLASS_SQL, _Q0, _TAGS, VIEW, _classified, _first_vector, _flagged, _view
 from recordloom.plans.registry import Registry
 from recordloom.plans.sqltext import us_sql, uuid_sql
@@ -160,6 +160,30 @@ def addressed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", at("options.label").alias("label"), at("payload.impact.cost.unit").alias("unit"))
 
 
+_GRANTS_SQL = "(VALUES ('*', 'fleet.memory', '*', NULL), ('*', '*', 'plan.task.v1', NULL), ('*', '*', 'work.incident.v2', 'tokens')) g(actor, namespace, type_name, unit)"
+
+
+@query(VIEW + f"""SELECT c.id, CASE WHEN c.actor = (SELECT min(actor) FROM led) THEN 'read_only' WHEN EXISTS (SELECT 1 FROM {_GRANTS_SQL} WHERE (g.namespace = '*' OR g.namespace = c.namespace) AND (g.type_name = '*' OR g.type_name = c.type_name) AND (p.id IS NULL OR ((g.namespace = '*' OR g.namespace = p.namespace) AND (g.type_name = '*' OR g.type_name = p.type_name)))
+ AND (g.unit IS NULL OR g.unit = json_extract_string(c.payload, '$.impact.cost.unit'))) THEN 'granted' ELSE 'refused' END AS verdict FROM led c LEFT JOIN led p ON p.id = c.supersedes""")
+def write_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record as a draft against three grants (one with a condition on the payload) and one actor on hold."""
+    v = materialize(_view(spark, sf_dir, "actor", "namespace", "type_name", "payload", "supersedes"), "drafts")
+    parents = v.select(F.col("id").alias("supersedes"), F.col("namespace").alias("parent_namespace"), F.col("type_name").alias("parent_type"))
+    grants_given = spark.createDataFrame([("*", "fleet.memory", "*", None), ("*", "*", "plan.task.v1", None), ("*", "*", "work.incident.v2", {"/impact/cost/unit": "tokens"})], "actor string, namespace string, type_name string, payload_equals map<string,string>")
+    return grants.write_verdicts(v.join(parents, "supersedes", "left"), grants_given, v.agg(F.min("actor").alias("actor")))
+
+
+@query(VIEW + """, g AS (SELECT id FROM v WHERE superseded OR revoked), k AS (SELECT v.id, v.supersedes IN (SELECT id FROM g) AS cut, v.supersedes FROM v WHERE namespace IS NOT NULL AND type_name IS NOT NULL AND NOT superseded AND NOT revoked)
+SELECT id, CASE WHEN NOT coalesce(cut, false) THEN supersedes END AS supersedes, NOT coalesce(cut, false) AS untouched FROM k""")
+def rewritten_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monthly files after a compaction: removed lines gone, links to them null, every other line as it was."""
+    lines = spark.read.text(_written(spark, sf_dir)).select(F.col("month").cast("string").alias("file"), F.xxhash64("value").alias("ordinal"), F.col("value").alias("line"))
+    lines = materialize(lines, "before")
+    after = compaction.rewritten_lines(lines, compaction.native_plan(_flagged(spark, sf_dir)))
+    both = after.join(lines.select("ordinal", F.col("line").alias("before")), "ordinal")
+    return both.select(F.get_json_object("line", "$.id").alias("id"), F.get_json_object("line", "$.supersedes").alias("supersedes"), (F.col("line") == F.col("before")).alias("untouched"))
+
+
 # --- context ---------------------------------------------------------------------
 
 
@@ -253,6 +277,17 @@ def vector_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.point_metadata(_points(spark, sf_dir), ledger.predecessors(table(spark, sf_dir, "records")))
 
 
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 through the cell index: whether its recall of the exact 10 nearest reaches 0.9."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.where(F.col("vec_id") % 20 == 0)
+    got = search.CellIndex(e).nearest(queries, 10)
+    exact = search.nearest_of_all(queries, e, 10)
+    hit = exact.join(got.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)) >= 0.9).alias("enough"))
+
+
 _INDEXED = "ledger <= 'records/2026-01.jsonl' AND NOT revoked AND trim(namespace) <> '' AND trim(type_name) <> ''"
 _WANTED = "NOT superseded AND NOT revoked AND trim(namespace) <> '' AND trim(type_name) <> ''"
 _TAGGED = f"type_name = 'fleet.lesson.v1' AND len(list_filter({_TAGS}, lambda t: t IS NOT NULL)) > 0"

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.operators import search
 
@@ -127,3 +128,20 @@ def test_points_in_scope_and_their_metadata(spark):
     assert [r.id for r in search.points_in_scope(points, model="m", namespace="n", type_name="t").collect()] == ["a"]
     got = search.point_metadata(points, spark.createDataFrame([("b",), ("b",), ("z",)], "id string"))
     assert got.columns == ["id", "store", "model", "namespace", "type_name"] and [r.id for r in got.collect()] == ["b"]
+
+
+def test_cells_find_what_all_pairs_find(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16))
+    vectors = [(centres[0 if i % 3 == 0 else i % 30] + 0.4 * rng.normal(size=16)).tolist() for i in range(3000)]  # a third near one centre
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)] + [(-1, None), (-2, [])], "vec_id long, embedding array<double>").repartition(4)
+    queries = df.where("vec_id % 20 = 0")
+    index = search.CellIndex(df, sample_rows=800, block=128)
+    assert index.cells.count() == 3000 and index.probes < len(index.centres) / 2
+    assert index.blocks.select(F.max(F.size("ps"))).first()[0] < 400
+    exact = {(r.query_id, r.vec_id) for r in search.nearest_of_all(queries, df, 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in index.nearest(queries, 10).collect()}
+    assert len(exact & got) / len(exact) >= 0.9
+    every = {(r.query_id, r.rank, r.vec_id) for r in index.nearest(queries, 10, len(index.centres)).collect()}
+    assert every == {(r.query_id, r.rank, r.vec_id) for r in search.nearest_of_all(queries, df, 10).collect()}
+    assert search.CellIndex(df.limit(0)).nearest(queries, 3).collect() == []

@@ -145,3 +145,40 @@ def _uuid5_of_bytes(store, rec):
     import uuid
 
     return str(uuid.UUID(bytes=hashlib.sha1(store.bytes + rec.bytes).digest()[:16], version=5))
+
+
+def test_guards_frames_and_coordinates():
+    from recordloom.operators import context, filters, sync
+
+    assert filters.guard_pool(50, 100) == 100 and filters.guard_pool(200, 100) == 200
+    with pytest.raises(ValueError):
+        filters.guard_pool(10_001, 10)
+    rules = [("greeting", r"(?i)^(hi|hello)\b"), ("short", r"^.{0,3}$")]
+    assert [context.skipped_by(q, rules) for q in ("Hello there", "ok", "a real question")] == ["greeting", "short", None]
+    assert context.parse_coordinates(["role=runner", "project=a, b"]) == {"role": "runner", "project": ["a", "b"]}
+    for bad in (["role"], ["=x"], ["role="], ["role=a,,b"], ["role=a", "role=b"]):
+        with pytest.raises(ValueError):
+            context.parse_coordinates(bad)
+    assert sync.room_for_query(None, 10) == 10 and sync.room_for_query("find", 40) == 40 - len(sync.framed_query("find", ""))
+    with pytest.raises(ValueError):
+        sync.room_for_query("x" * 100, 50)
+
+
+def test_write_verdicts(spark):
+    from recordloom.operators import grants
+
+    drafts = spark.createDataFrame([("1", "a", "n", "t", '{"k":{"x":"v"}}', None, None), ("2", "a", "m", "t", None, None, None), ("3", "b", "n", "t", "{}", "m", "t"), ("4", "b", "n", "t", "{}", "n", "t"), ("5", "held", "n", "t", "{}", None, None), ("6", None, "n", "t", "{}", None, None)], "id string, actor string, namespace string, type_name string, payload string, parent_namespace string, parent_type string")
+    given = spark.createDataFrame([("a", "n", "*", {"/k/x": "v"}), ("b", "n", "t", None), ("held", "*", "*", None)], "actor string, namespace string, type_name string, payload_equals map<string,string>")
+    hold = spark.createDataFrame([("held",), ("*",)], "actor string")
+    want = {"1": "granted", "2": "refused", "3": "refused", "4": "granted", "5": "read_only", "6": "refused"}
+    assert {r.id: r.verdict for r in grants.write_verdicts(drafts, given, hold).collect()} == want
+    assert grants.write_verdicts(drafts.limit(0), given, hold).collect() == []
+
+
+def test_rewritten_lines_touch_nothing_else(spark):
+    from recordloom.operators import compaction
+
+    lines = ['{"id": "a",  "supersedes": "x.1",\t"payload": "{\\"supersedes\\":\\"x.1\\"}"}', '{"id":"b","supersedes":"keep"}', '{"id":"x.1"}', "no record", '{"id":"c"}']
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, ordinal int, line string")
+    got = {r.ordinal: r.line for r in compaction.rewritten_lines(df, spark.createDataFrame([("x.1", "superseded")], "id string, reason string")).collect()}
+    assert got == {0: lines[0].replace('"supersedes": "x.1"', '"supersedes": null'), 1: lines[1], 3: lines[3], 4: lines[4]}
