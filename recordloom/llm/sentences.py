@@ -353,16 +353,19 @@ def unpacked(text: str) -> tuple:
 
 
 class Reading:
-    """What one pass over a text finds.
+    """What one pass over texts finds, text behind text.
 
     bounds: begin and end of each block; block, stop, go, context for each
-    candidate: the block it stands in, where a sentence that ends there ends and
-    the next begins, and what the model may look at (None: certain); ends: the
-    contexts of marks at a block's end; prev, end, next, start: word types
-    before any mark, at a block's end, behind a mark, at a block's begin.
+    candidate: the block it stands in (counted from the first text), where a
+    sentence that ends there ends and the next begins, and what the model may
+    look at (None: certain); ends: the contexts of marks at a block's end; prev,
+    end, next, start: word types before any mark, at a block's end, behind a
+    mark, at a block's begin.
     """
 
-    def __init__(self, text: str, with_ends: bool = True) -> None:
+    FIELDS = ("bounds", "block", "stop", "go", "context", "ends")
+
+    def __init__(self) -> None:
         self.bounds: list[int] = []
         self.block: list[int] = []
         self.stop: list[int] = []
@@ -373,10 +376,18 @@ class Reading:
         self.end: list[str] = []
         self.next: list[str] = []
         self.start: list[str] = []
+
+    def sizes(self) -> tuple[int, int, int]:
+        return len(self.bounds), len(self.block), len(self.ends)
+
+    def read(self, text: str, with_ends: bool = True) -> "Reading":
+        bounds, block, stops, gos, contexts, prev, following = self.bounds, self.block, self.stop, self.go, self.context, self.prev, self.next
+        search = _HEAD.search
+        base = len(bounds) // 2
         found = blocks(text)
         for i, (s, e, whole) in enumerate(found):
-            head = _HEAD.search(text, s, e)
-            self.bounds += (head.start() if head else s, e)
+            head = search(text, s, e)
+            bounds += (head.start() if head else s, e)
             if whole:
                 continue
             if w := _first_token(text, s, e):
@@ -386,17 +397,17 @@ class Reading:
                 stop = pos
                 while stop > s and text[stop - 1].isspace():
                     stop -= 1
-                self.block.append(i)
-                self.stop.append(stop)
-                self.go.append(_HEAD.search(text, pos, e).start())
+                block.append(base + i)
+                stops.append(stop)
+                gos.append(search(text, pos, e).start())
                 if sure:
-                    self.context.append(None)
+                    contexts.append(None)
                 else:
                     c = context(text, floor, e, pos, mark, mark_at)
-                    self.context.append(packed(c))
-                    self.prev += type_keys(c)
+                    contexts.append(packed(c))
+                    prev += type_keys(c)
                     if c[3]:
-                        self.next.append(c[3])
+                        following.append(c[3])
                 floor = pos
             last = _final_mark(text, s, e)
             if last and last[1][0] not in WIDE:
@@ -407,8 +418,25 @@ class Reading:
                 else:
                     c = words_around(text, at, e, e, last[1], last[0])
                 keys = type_keys(c)
-                self.prev += keys
+                prev += keys
                 self.end += keys
+        return self
+
+
+def cut(bounds: np.ndarray, block: np.ndarray, stop: np.ndarray, go: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, begin, end) of every sentence: each block is cut where a candidate ends one."""
+    block, stop, go = block[ends], stop[ends], go[ends]
+    n = len(bounds) // 2
+    first = np.arange(n) + np.concatenate(([0], np.cumsum(np.bincount(block, minlength=n))))[:n]  # of a block's sentences
+    total = n + len(block)
+    starts, stops, owner = np.empty(total, np.int64), np.empty(total, np.int64), np.repeat(np.arange(n), np.bincount(block, minlength=n) + 1)
+    inner = np.arange(len(block)) + block  # the sentence a candidate ends
+    starts[first] = bounds[0::2]
+    starts[inner + 1] = go
+    stops[inner] = stop
+    stops[np.concatenate((first[1:], [total]))[:n] - 1] = bounds[1::2]
+    some = stops > starts
+    return owner[some], starts[some], stops[some]
 
 
 _READ = "doc_id long, sampled boolean, bounds array<long>, block array<int>, stop array<long>, go array<long>, context array<string>, ends array<string>, kind int, hashes array<long>, ns array<long>, ms array<long>"
@@ -419,11 +447,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task body: doc_id, text, sampled -> a row a document, and rows of word counts in which kind is 0 (before marks) or 1 (behind them)."""
     seen = {what: Counter() for what in ("prev", "end", "next", "start")}
 
-    def lists(values: list[list], kind: pa.DataType) -> pa.Array:
-        off = np.concatenate(([0], np.cumsum([len(v) for v in values])))
-        flat = [x for v in values for x in v]
-        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), strings(flat) if kind == pa.string() else pa.array(flat, kind))
-
     def flush() -> Iterator[pa.RecordBatch]:
         for kind, (many, edge) in enumerate((("prev", "end"), ("next", "start"))):
             n, m = seen[many], seen[edge]
@@ -431,7 +454,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if words:
                 h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
                 none = [pa.nulls(1, t) for t in (pa.int64(), pa.bool_(), *[pa.list_(x) for x in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())])]
-                counts = [lists([v], pa.int64()) for v in (h.tolist(), [n[w] for w in words], [m[w] for w in words])]
+                counts = [pa.array([v], pa.list_(pa.int64())) for v in (h, [n[w] for w in words], [m[w] for w in words])]
                 yield pa.RecordBatch.from_arrays([*none, pa.array([kind], pa.int32()), *counts], _NAMES)
             n.clear()
             m.clear()
@@ -439,14 +462,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
             part = b.slice(at, 512)
-            rows = []
+            r, sizes = Reading(), [(0, 0, 0)]
             for text, sampled in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                r = Reading(text or "", sampled)
-                for what, counter in seen.items():
-                    counter.update(getattr(r, what))
-                rows.append(r)
+                if text:
+                    r.read(text, sampled)
+                sizes.append(r.sizes())
+            for what, counter in seen.items():
+                counter.update(getattr(r, what))
             n = part.num_rows
-            got = [lists([getattr(r, name) for r in rows], t) for name, t in (("bounds", pa.int64()), ("block", pa.int32()), ("stop", pa.int64()), ("go", pa.int64()), ("context", pa.string()), ("ends", pa.string()))]
+            offsets = [pa.array(x, pa.int32()) for x in zip(*sizes)]
+            # Blocks are counted from each document's first one.
+            block = np.array(r.block, np.int64) - np.repeat(np.array([x[0] for x in sizes[:-1]], np.int64) // 2, np.diff([x[1] for x in sizes]))
+            values = [pa.array(r.bounds, pa.int64()), pa.array(block.astype(np.int32)), pa.array(r.stop, pa.int64()), pa.array(r.go, pa.int64()), strings(r.context), strings(r.ends)]
+            got = [pa.ListArray.from_arrays(offsets[k], v) for k, v in zip((0, 1, 1, 1, 1, 2), values)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *got, pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.list_(pa.int64()))] * 3], _NAMES)
         if sum(map(len, seen.values())) > 200_000:
             yield from flush()
@@ -604,27 +632,16 @@ class Splitter:
             self._known[packed_context] = got
         return got
 
-    def cut(self, bounds: list[int], block: list[int], stop: list[int], go: list[int], contexts: list[str | None], starts: list[int], ends: list[int]) -> None:
-        """Append the begin and end of every sentence."""
-        k, n = 0, len(block)
-        for i in range(len(bounds) // 2):
-            at, last = bounds[2 * i], bounds[2 * i + 1]
-            while k < n and block[k] == i:
-                c = contexts[k]
-                if c is None or self.ends(c):
-                    if stop[k] > at:
-                        starts.append(at)
-                        ends.append(stop[k])
-                    at = go[k]
-                k += 1
-            if last > at:
-                starts.append(at)
-                ends.append(last)
+    def end_at(self, contexts: pa.Array) -> np.ndarray:
+        """Which candidates end a sentence; equal contexts are judged once."""
+        coded = contexts.dictionary_encode()
+        judged = np.array([self.ends(c) for c in coded.dictionary.to_pylist()] + [True])  # the last: certain ones
+        return judged[coded.indices.fill_null(len(judged) - 1).to_numpy()]
 
     def split(self, text: str) -> list[tuple[int, int]]:
-        r, starts, ends = Reading(text, False), [], []
-        self.cut(r.bounds, r.block, r.stop, r.go, r.context, starts, ends)
-        return list(zip(starts, ends))
+        r = Reading().read(text, False)
+        _, starts, ends = cut(*(np.array(x, np.int64) for x in (r.bounds, r.block, r.stop, r.go)), self.end_at(strings(r.context)))
+        return list(zip(starts.tolist(), ends.tolist()))
 
 
 def read_marks(documents: DataFrame, most_documents: int = TRAINING_DOCUMENTS) -> DataFrame:
@@ -704,14 +721,17 @@ def sentences(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp: Any = splitter.value
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                offsets, starts, ends = [0], [], []
-                for row in zip(*(part.column(k).to_pylist() for k in range(1, 6))):
-                    sp.cut(*row, starts, ends)
-                    offsets.append(len(starts))
-                off = pa.array(offsets, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(off, pa.array(starts, pa.int64())), pa.ListArray.from_arrays(off, pa.array(ends, pa.int64()))], ["doc_id", "starts", "ends"])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                n = part.num_rows
+                bounds, block, stop, go = (part.column(k).flatten().to_numpy() for k in range(1, 5))
+                n_blocks = part.column(1).value_lengths().to_numpy() // 2
+                first = np.concatenate(([0], np.cumsum(n_blocks)))
+                block = block + np.repeat(first[:-1], part.column(2).value_lengths().to_numpy())
+                owner, starts, ends = cut(bounds, block, stop, go, sp.end_at(part.column(5).flatten()))
+                doc = np.repeat(np.arange(n), n_blocks)[owner]
+                off = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n)))), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(off, pa.array(starts)), pa.ListArray.from_arrays(off, pa.array(ends))], ["doc_id", "starts", "ends"])
 
     rows = marks.where("kind is null").select("doc_id", "bounds", "block", "stop", "go", "context").mapInArrow(run, "doc_id long, starts array<long>, ends array<long>")
     return rows.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("doc_id", F.col("s.starts").alias("sent_start"), F.col("s.ends").alias("sent_end"))
