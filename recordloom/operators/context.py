@@ -124,6 +124,14 @@ def _pointer_text(ptr: str | None) -> Column:
     return F.get_json_object("payload", path)
 
 
+def may_read(grants: list[tuple[str, str]]) -> Column:
+    """The condition that some grant (namespace, type_name) covers a record; where refused records are not asked for, it can cut the scan."""
+    granted = F.lit(False)
+    for ns in sorted({g[0] for g in grants}):
+        granted = granted | ((F.col("namespace") == ns) & F.col("type_name").isin(sorted(t for n, t in grants if n == ns)))
+    return granted
+
+
 def gate(view: DataFrame, grants: list[tuple[str, str]], selectors: list[Selector], request: Request) -> DataFrame:
     """The view (with ``superseded``) plus ``reason``: why a record is left out, null if it stays.
 
@@ -132,9 +140,7 @@ def gate(view: DataFrame, grants: list[tuple[str, str]], selectors: list[Selecto
     kind). ``grants``: (namespace, type_name) pairs that may be read.
     """
     selectors = list({s.type_name: s for s in selectors}.values())  # the last selector of a type wins
-    granted = F.lit(False)
-    for ns in sorted({g[0] for g in grants}):
-        granted = granted | ((F.col("namespace") == ns) & F.col("type_name").isin(sorted(t for n, t in grants if n == ns)))
+    granted = may_read(grants)
     at = instant(F.lit(request.at))
     tags = json_tags(F.col("tags"))
     expiry_tag = F.regexp_replace(F.try_element_at(F.filter(tags, lambda t: t.startswith("expires:")), F.lit(1)), "^expires:", "")

@@ -402,7 +402,9 @@ def gate_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _gated(spark, sf_dir).where(F.col("reason").isNull())
+    scoped = _view(spark, sf_dir, "namespace", "type_name", "observed_at", "valid_at", "payload", "tags", "record_sha256", only=context.may_read(_GRANTS))
+    flagged = ledger.with_superseded(scoped, ledger.predecessors(table(spark, sf_dir, "records")))
+    kept = context.gate(flagged, _GRANTS, _SELECTORS, _REQUEST).where(F.col("reason").isNull())
     return context.classify(kept, _SELECTORS, _REQUEST)
 
 
