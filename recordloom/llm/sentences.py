@@ -601,6 +601,13 @@ class MaxEnt:
         self.w = mean / max(1, seen)
         return self
 
+    @classmethod
+    def of(cls, weights: list[tuple[tuple, float]]) -> "MaxEnt":
+        model = cls()
+        model.index = {k: i for i, (k, _) in enumerate(weights)}
+        model.w = np.array([w for _, w in weights])
+        return model
+
     def score(self, f: tuple) -> float:
         """Log-odds of a boundary."""
         return sum(self.w[i] for k in expand(f) if (i := self.index.get(k)) is not None)
@@ -701,8 +708,15 @@ def train(marks: DataFrame, evidence: Evidence, most_rows: int = TRAINING_ROWS)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["f", "y", "n"])
 
-    rows = marks.where("sampled and kind is null").select("context", "ends").mapInArrow(run, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f", "y").limit(most_rows).collect()
-    return MaxEnt().fit([(ast.literal_eval(r[0]), r[1], r[2]) for r in rows])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        model = MaxEnt().fit([(ast.literal_eval(f), y, n) for f, y, n in sorted(rows, key=lambda r: (-r[2], r[0], r[1]))])
+        yield pa.RecordBatch.from_arrays([pa.array([repr(k) for k in model.index], pa.string()), pa.array(model.w, pa.float64())], ["feature", "weight"])
+
+    labelled = marks.where("sampled and kind is null").select("context", "ends").mapInArrow(run, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n"))
+    # One task fits the model to its bounded number of rows; the driver gets the weights.
+    weights = labelled.orderBy(F.desc("n"), "f", "y").limit(most_rows).coalesce(1).mapInArrow(fit, "feature string, weight double").collect()
+    return MaxEnt.of([(ast.literal_eval(k), w) for k, w in weights])
 
 
 def sentences(documents: DataFrame) -> DataFrame:
