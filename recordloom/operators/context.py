@@ -327,6 +327,25 @@ def cardinality_faults(candidates: DataFrame, expect: dict[str, str]) -> DataFra
     return j.where(((F.col("expected") == "some") & (F.col("n_found") < 1)) | ((F.col("expected") == "one") & (F.col("n_found") != 1)))
 
 
+def strategies_used(classified: DataFrame) -> DataFrame:
+    """strategies: the distinct strategies of all classified records, sorted; one row."""
+    return classified.select(F.explode("strategies").alias("s")).agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("strategies"))  # a handful of names
+
+
+def uncovered(selectors: list[Selector], embed_types: list[str]) -> list[str]:
+    """Types whose selector asks the vector half but that are not embedded; no embed types means all are."""
+    return sorted({s.type_name for s in selectors if "hybrid" in s.strategies} - set(embed_types)) if embed_types else []
+
+
+def health(classified: DataFrame, expect: dict[str, str], findings: DataFrame, selectors: list[Selector], embed_types: list[str]) -> DataFrame:
+    """n_uncovered, n_cardinality_faults, n_findings, ok: one row; all must be zero."""
+    zero = F.lit(0).cast("long")
+    parts = [cardinality_faults(classified, expect).agg(F.count(F.lit(1)).alias("c")).select("c", zero.alias("f")), findings.agg(F.count(F.lit(1)).alias("f")).select(zero.alias("c"), "f")]
+    both = parts[0].unionByName(parts[1]).agg(F.sum("c").alias("n_cardinality_faults"), F.sum("f").alias("n_findings"))
+    out = both.withColumn("n_uncovered", F.lit(len(uncovered(selectors, embed_types))).cast("long"))
+    return out.withColumn("ok", F.col("n_uncovered") + F.col("n_cardinality_faults") + F.col("n_findings") == 0)
+
+
 def tier_totals(picked: list[dict]) -> dict[str, int]:
     """Tokens by tier, and records by the source that found them."""
     out = {f"{t}_tokens": sum(p["tokens"] for p in picked if p["tier"] == t) for t in TIERS}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.ids import canonical_uuid, instant
-from recordloom.session import get_text
+from recordloom.session import get_text, list_files, open_tail
 
 ENVELOPE = (
     "id string, namespace string, type string, actor string, recorded_at string, observed_at string, valid_at string, payload string, "
@@ -22,15 +22,28 @@ class BrokenLedger(ValueError):
     """A ledger that does not verify is not read at all."""
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, sha256, file of every non-blank line of JSONL files."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+def read_lines(spark: SparkSession, path: str, whole_only: bool = False) -> DataFrame:
+    """line, sha256, file of every non-blank line of JSONL files.
+
+    ``whole_only`` leaves out the last line of a file if no line end follows it:
+    a writer is, or was, in the middle of it (``torn_tails``).
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"))
+    if whole_only:
+        for f, tail in torn_tails(spark, path).items():  # one a file, and hardly any
+            lines = lines.where(~((F.col("_path").endswith(f)) & (F.col("value") == tail)))
     return lines.where(F.trim("value") != "").select(F.col("value").alias("line"), F.sha2("value", 256).alias("sha256"), "file")
 
 
-def read_ledger(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """The canonical scan: every line an envelope, ids unique; fails closed."""
-    rows = read_lines(spark, path).withColumn("r", F.from_json("line", ENVELOPE + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+def torn_tails(spark: SparkSession, path: str) -> dict[str, str]:
+    """Files of a folder whose last line is not ended, with what stands of it; only the ends of the files are read."""
+    tails = {f.split(":", 1)[-1].lstrip("/"): open_tail(spark, f, length) for f, (length, _) in list_files(spark, path).items()}
+    return {f: t for f, t in tails.items() if t}
+
+
+def read_ledger(spark: SparkSession, path: str, verify: bool = True, whole_only: bool = False) -> DataFrame:
+    """The canonical scan: every line an envelope, ids unique; fails closed. ``whole_only`` as in ``read_lines``."""
+    rows = read_lines(spark, path, whole_only).withColumn("r", F.from_json("line", ENVELOPE + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}))
     out = rows.select("r.*", "sha256", "file")
     if verify:
         bad = out.where(F.col("_broken").isNotNull() | F.col("id").isNull() | F.col("namespace").isNull() | F.col("type").isNull()).limit(1).count()

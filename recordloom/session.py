@@ -85,6 +85,21 @@ def list_files(spark: SparkSession, folder: str) -> dict[str, list]:
     return out
 
 
+def open_tail(spark: SparkSession, path: str, length: int, block: int = 1 << 20) -> str:
+    """What stands behind the last line end of a text file: '' if its last line is ended. Reads from the end, a block at a time."""
+    fs, where = _at(spark, path)
+    stream, held, at = fs.open(where), b"", length
+    try:
+        while at > 0 and b"\n" not in held:
+            step = min(block, at)
+            at -= step
+            stream.seek(at)
+            held = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, step)) + held
+    finally:
+        stream.close()
+    return held.rpartition(b"\n")[2].decode("utf-8", "replace")
+
+
 def move_path(spark: SparkSession, source: str, target: str) -> None:
     """Rename on the shared file system; the target must not exist."""
     fs, to = _at(spark, target)

@@ -26,6 +26,18 @@ def test_read_fails_closed(spark, tmp_path):
     assert ingest.read_ledger(spark, str(tmp_path / "c.jsonl")).count() == 0
 
 
+def test_a_line_in_the_making_is_left_out(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.jsonl").write_text(f"{line(1)}\n{line(2)[:20]}é")
+    (tmp_path / "l" / "b.jsonl").write_text(f"{line(3)}\n")
+    (tmp_path / "l" / "c.jsonl").write_text("")
+    path = f"file://{tmp_path}/l"
+    assert [x.rsplit("/", 1)[1] for x in ingest.torn_tails(spark, path)] == ["a.jsonl"]
+    assert sorted(r.id for r in ingest.read_ledger(spark, path, whole_only=True).collect()) == ["id1", "id3"]
+    with pytest.raises(ingest.BrokenLedger):
+        ingest.read_ledger(spark, path)
+
+
 def test_round_trip_by_month(spark, tmp_path):
     rows = [("1", "n", "a.b.v1", "x", "2025-01-31T23:30:00-02:00", "o", "v", '{"k":1}', '[{"kind":"k","reference":"r"}]', '["t"]', None), ("2", "n", "a.b.v1", None, "2025-01-02T00:00:00Z", "o", None, None, None, None, "1")]
     df = spark.createDataFrame(rows, "id string, namespace string, type_name string, actor string, recorded_at string, observed_at string, valid_at string, payload string, evidence string, tags string, supersedes string")
