@@ -33,7 +33,7 @@ from recordloom.session import materialize, task_count
 ROWS_PER_TASK = 500_000
 #: Path elements a task holds at once.
 _ELEMENTS = 2_000_000
-_FRAGMENT = "id string, zone string, top string, steps long, revoked_below long, top_revoked long, exit string, loop string, seg array<string>"
+_FRAGMENT = "id string, zone string, top string, steps long, revoked_below long, top_revoked long, exit string, loop string, low string, seg array<string>"
 
 
 def follow(par: np.ndarray, steps: np.ndarray, rev: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,10 +118,11 @@ def _segments(par: np.ndarray, loop: np.ndarray, pieces: pa.ListArray) -> Iterat
 
 
 def _contract(with_paths: bool):
-    """Task body: id, zone, parent, revoked, w, wr, loop, piece -> fragment rows.
+    """Task body: id, zone, parent, revoked, w, wr, loop, low, piece -> fragment rows.
 
     ``w`` and ``wr`` weigh the edge to the parent (1 and the node's own flag at
-    the first level), ``piece`` holds the ids it leads through, the parent last.
+    the first level), ``piece`` holds the ids it leads through, the parent last,
+    ``low`` is the smallest of them (the node's own id at the first level).
     A node may arrive with ``loop`` set: its line is already known to run into
     that circle.
     """
@@ -137,16 +138,17 @@ def _contract(with_paths: bool):
         revoked = _int(t, "revoked")
         top, steps, rev, loop = follow(par, _int(t, "w"), _int(t, "wr"))
         rank = np.empty(n, np.int64)
-        order = pc.sort_indices(ids).to_numpy()
+        lows = _col(t, "low")
+        order = pc.sort_indices(lows).to_numpy()
         rank[order] = np.arange(n)
-        low = order[circle_min(par, rank)[np.maximum(loop, 0)]]
-        named = pc.take(ids, pa.array(np.where(loop >= 0, low, -1), mask=loop < 0))
+        low_up = order[circle_min(par, rank)]
+        named = pc.take(lows, pa.array(np.where(loop >= 0, low_up[np.maximum(loop, 0)], -1), mask=loop < 0))
         inherited = pc.take(known, pa.array(top))
         loops = pc.coalesce(named, inherited)
         open_exit = pc.if_else(pc.is_null(pc.take(known, pa.array(top))), pc.take(parent, pa.array(top)), pa.scalar(None, pa.string()))
         exits = pc.if_else(pa.array(loop >= 0), pa.scalar(None, pa.string()), open_exit)
         out = pa.table(
-            {"id": ids, "zone": _col(t, "zone"), "top": pc.take(ids, pa.array(top)), "steps": steps, "revoked_below": rev, "top_revoked": revoked[top], "exit": exits, "loop": loops}
+            {"id": ids, "zone": _col(t, "zone"), "top": pc.take(ids, pa.array(top)), "steps": steps, "revoked_below": rev, "top_revoked": revoked[top], "exit": exits, "loop": loops, "low": pc.take(lows, pa.array(low_up))}
         )
         if not with_paths:
             yield from out.append_column("seg", pa.nulls(n, pa.list_(pa.string()))).to_batches(max_chunksize=50_000)
@@ -165,7 +167,7 @@ def _local(nodes: DataFrame, rows_per_task: int, with_paths: bool, count: int) -
 
 def _quotient(frag: DataFrame) -> DataFrame:
     """One row for each fragment top with an exit: its parent is the top of the fragment the exit leads to."""
-    entry = frag.select(F.col("id").alias("exit"), F.col("top").alias("e_top"), F.col("steps").alias("e_steps"), F.col("revoked_below").alias("e_rev"), F.col("top_revoked").alias("e_top_rev"), F.col("loop").alias("e_loop"), F.col("exit").alias("e_exit"), F.col("seg").alias("e_seg"))
+    entry = frag.select(F.col("id").alias("exit"), F.col("top").alias("e_top"), F.col("steps").alias("e_steps"), F.col("revoked_below").alias("e_rev"), F.col("top_revoked").alias("e_top_rev"), F.col("loop").alias("e_loop"), F.col("exit").alias("e_exit"), F.col("low").alias("e_low"), F.col("seg").alias("e_seg"))
     tops = frag.where((F.col("id") == F.col("top")) & F.col("exit").isNotNull())
     return tops.select("id", "zone", "exit", F.col("top_revoked").alias("revoked")).join(entry.hint("merge"), "exit", "left")
 
@@ -182,7 +184,7 @@ def _double(q: DataFrame, count: int, with_paths: bool = False) -> DataFrame:
     """Distributed pointer doubling for a quotient too large and too tangled for a task."""
     state = q.select(
         "id", F.when(F.col("loop").isNull(), F.col("parent")).alias("ptr"), F.coalesce("parent", "id").alias("end"), F.when(F.col("parent").isNotNull(), F.col("w")).otherwise(0).alias("steps"),
-        F.when(F.col("parent").isNotNull(), F.col("wr")).otherwise(0).alias("rev"), "loop", F.least("id", "parent").alias("low"),
+        F.when(F.col("parent").isNotNull(), F.col("wr")).otherwise(0).alias("rev"), "loop", "low",
     )
     state = materialize(state, "double")
     for _ in range(max(1, int(count).bit_length() + 1)):
@@ -227,10 +229,10 @@ def _solve(q: DataFrame, rows_per_task: int, with_paths: bool = False, spent: in
         return whole.select("id", F.col("top").alias("end"), "steps", F.col("revoked_below").alias("rev"), "loop", F.col("seg").alias("above"))
     frag = materialize(_local(q, rows_per_task, with_paths, count), "fragments")
     inner = _quotient(frag).where(F.col("e_top").isNotNull())
-    nxt = inner.select("id", "zone", F.col("e_top").alias("parent"), "revoked", F.lit(None).cast("long").alias("x"), "e_steps", "e_rev", "e_loop", "e_seg", "exit")
-    edge = q.select("id", F.col("w").alias("own_w"), F.col("wr").alias("own_wr"), F.col("piece").alias("own_piece"))
+    nxt = inner.select("id", "zone", F.col("e_top").alias("parent"), "revoked", F.lit(None).cast("long").alias("x"), "e_steps", "e_rev", "e_loop", "e_low", "e_seg", "exit")
+    edge = q.select("id", F.col("w").alias("own_w"), F.col("wr").alias("own_wr"), F.col("low").alias("own_low"), F.col("piece").alias("own_piece"))
     nxt = nxt.join(edge.hint("merge"), "id").select(
-        "id", "zone", "parent", "revoked", (F.col("own_w") + F.col("e_steps")).alias("w"), (F.col("own_wr") + F.col("e_rev")).alias("wr"), F.col("e_loop").alias("loop"), _joined(F.col("own_piece"), F.col("e_seg"), with_paths).alias("piece")
+        "id", "zone", "parent", "revoked", (F.col("own_w") + F.col("e_steps")).alias("w"), (F.col("own_wr") + F.col("e_rev")).alias("wr"), F.col("e_loop").alias("loop"), F.least("own_low", "e_low").alias("low"), _joined(F.col("own_piece"), F.col("e_seg"), with_paths).alias("piece")
     )
     missing = nxt.select(F.col("parent").alias("id")).distinct().join(nxt.select("id").hint("merge"), "id", "left_anti")
     nxt = nxt.unionByName(_quotient_roots(missing.withColumn("revoked", F.lit(0).cast("long"))))
@@ -244,7 +246,7 @@ def _solve(q: DataFrame, rows_per_task: int, with_paths: bool = False, spent: in
 def _quotient_roots(roots: DataFrame) -> DataFrame:
     """Quotient rows of fragment tops (id, revoked) without an exit."""
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    return roots.select("id", F.lit("").alias("zone"), none.alias("parent"), "revoked", zero.alias("w"), zero.alias("wr"), none.alias("loop"), F.array().cast(_NO_IDS).alias("piece"))
+    return roots.select("id", F.lit("").alias("zone"), none.alias("parent"), "revoked", zero.alias("w"), zero.alias("wr"), none.alias("loop"), F.col("id").alias("low"), F.array().cast(_NO_IDS).alias("piece"))
 
 
 def ledger_nodes(records: DataFrame) -> DataFrame:
@@ -270,13 +272,13 @@ def hierarchy(nodes: DataFrame, rows_per_task: int = ROWS_PER_TASK, with_paths:
     ``path`` runs from the node to its root, both included (empty if cyclic).
     """
     one = F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast(_NO_IDS)) if with_paths else F.lit(None).cast(_NO_IDS)
-    nodes = materialize(nodes.select("id", "zone", "parent", "revoked", F.lit(1).cast("long").alias("w"), F.col("revoked").cast("long").alias("wr"), F.lit(None).cast("string").alias("loop"), one.alias("piece")), "nodes")
+    nodes = materialize(nodes.select("id", "zone", "parent", "revoked", F.lit(1).cast("long").alias("w"), F.col("revoked").cast("long").alias("wr"), F.lit(None).cast("string").alias("loop"), F.col("id").alias("low"), one.alias("piece")), "nodes")
     count = nodes.count()
     frag = materialize(_local(nodes, rows_per_task, with_paths, count), "fragments")
     exits = materialize(_quotient(frag), "exits")
     found = F.col("e_top").isNotNull()
     edges = exits.where(found).select(
-        "id", "zone", F.col("e_top").alias("parent"), "revoked", (1 + F.col("e_steps")).alias("w"), (F.col("revoked") + F.col("e_rev")).alias("wr"), F.col("e_loop").alias("loop"), _joined(F.array("exit"), F.col("e_seg"), with_paths).alias("piece")
+        "id", "zone", F.col("e_top").alias("parent"), "revoked", (1 + F.col("e_steps")).alias("w"), (F.col("revoked") + F.col("e_rev")).alias("wr"), F.col("e_loop").alias("loop"), F.col("e_low").alias("low"), _joined(F.array("exit"), F.col("e_seg"), with_paths).alias("piece")
     )
     # A fragment top that an exit leads to and that has no exit of its own is a root of the quotient.
     roots = exits.where(found & F.col("e_loop").isNull()).select(F.col("e_top").alias("id"), F.col("e_top_rev").alias("revoked")).distinct().join(edges.select("id").hint("merge"), "id", "left_anti")

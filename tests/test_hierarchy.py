@@ -120,7 +120,7 @@ def test_doubling_gives_the_same_paths(spark):
     """A quotient that does not shrink: every chain hops between ranges, so each task holds single nodes."""
     rows = random_forest(11, 90)
     nodes = make(spark, rows)
-    q = hierarchy_module.materialize(nodes.select("id", "zone", "parent", "revoked", F.lit(1).cast("long").alias("w"), F.col("revoked").cast("long").alias("wr"), F.lit(None).cast("string").alias("loop"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("piece")), "q")
+    q = hierarchy_module.materialize(nodes.select("id", "zone", "parent", "revoked", F.lit(1).cast("long").alias("w"), F.col("revoked").cast("long").alias("wr"), F.lit(None).cast("string").alias("loop"), F.col("id").alias("low"), F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("piece")), "q")
     known = q.join(q.select(F.col("id").alias("parent")), "parent", "left_semi").unionByName(q.join(q.select(F.col("id").alias("parent")), "parent", "left_anti").withColumn("parent", F.lit(None).cast("string")).withColumn("piece", F.array().cast("array<string>")))
     a = {r.id: (r.steps, r.rev, r.loop, r.above if r.loop is None else None) for r in hierarchy_module._double(known, 90, True).collect()}
     b = {r.id: (r.steps, r.rev, r.loop, r.above if r.loop is None else None) for r in hierarchy_module._solve(known, 500_000, True).collect()}
@@ -131,3 +131,10 @@ def test_growing_sides_are_never_broadcast(spark):
     for with_paths in (False, True):
         plan = hierarchy(make(spark, random_forest(5, 50)), 10, with_paths)._jdf.queryExecution().toString()
         assert "Broadcast" not in plan
+
+
+def test_the_smallest_id_of_a_circle_may_lie_inside_a_fragment(spark):
+    """0 and 1 share a zone, 2 stands alone: the fragment's top is 1, the circle's smallest id still 0."""
+    nodes = spark.createDataFrame([("0", "a", "1", 0), ("1", "a", "2", 0), ("2", "b", "0", 0)] + [(f"x{i}", "c", None, 0) for i in range(3)], "id string, zone string, parent string, revoked long")
+    for per_task in (1, 2, 3, 500_000):
+        assert {(r.id, r.root) for r in hierarchy(nodes, rows_per_task=per_task).collect()} == {("0", "0"), ("1", "0"), ("2", "0")}
